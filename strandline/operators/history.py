@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions.arrays import real_ids
 from strandline.layout import Encounter, Stay
 from strandline.operators.linkage import range_summary, running_max
-from strandline.operators.skew import spread_join
+from strandline.operators.skew import crowded, spread_join
 
 DAY_US = 86_400_000_000
 
@@ -67,7 +67,6 @@ def with_history(
     """Add counts, sums, maxima and code bags of the stays before each index."""
     keys = [*layout.entity, "axis"]
     rows = index.withColumn("axis", (2 * F.col(layout.start)).cast("long"))
-    at = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     frames = {"ytd": (None, 0), "30d": (-60, 0), "90d": (-180, 0), "180d": (-360, 0)}
     zero = lambda c: F.coalesce(c, F.lit(0))
     aggs = {"prior_count_ytd": ("ytd", F.sum("n")), "_last_end": ("ytd", F.max("last_end"))}
@@ -81,8 +80,9 @@ def with_history(
     aggs |= {f"prior_max_{s}_180d": ("180d", F.max(f"max_{s}")) for s in severities}
     numbers = [name for name in aggs if name != "_last_end"]
     aggs |= {f"prior_{c}_180d": ("180d", F.collect_list(f"bag_{c}")) for c in codes}
-    found = range_summary(cells, at, layout.entity, "axis", frames, aggs)
-    joined = spread_join(rows, found, keys, "left", counts=at)
+    found = range_summary(cells, rows, layout.entity, "axis", frames, aggs)
+    hot = crowded(cells, list(layout.entity))
+    joined = spread_join(rows, found, keys, "left") if hot else rows.join(found, keys, "left")
     month = F.col(layout.month)
     return joined.withColumns(
         {

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandline.functions.text import to_number
 from strandline.functions.values import window_fits_year
 from strandline.layout import Encounter
-from strandline.operators.skew import spread_join
+from strandline.operators.skew import crowded, spread_join
 from strandline.session import materialise
 
 
@@ -91,13 +91,12 @@ def running_max(
 # cells --------------------------------------------------------------------
 
 def numeric_days(adm: DataFrame, layout: Encounter = Encounter()) -> DataFrame:
-    """Day and stay read from text as whole numbers; rows without both are dropped.
+    """Day and stay read from text as whole numbers; unreadable text becomes null.
 
     Must come before any ordering: as text, day 100 sorts before day 90.
     """
     whole = lambda name: F.floor(to_number(F.col(name))).cast("int")
-    out = adm.withColumns({layout.start: whole(layout.start), layout.stay: whole(layout.stay)})
-    return out.where(F.col(layout.start).isNotNull() & F.col(layout.stay).isNotNull())
+    return adm.withColumns({layout.start: whole(layout.start), layout.stay: whole(layout.stay)})
 
 
 def day_cells(adm: DataFrame, layout: Encounter = Encounter(), carry: Sequence[str] = ()) -> DataFrame:
@@ -122,7 +121,14 @@ def day_cells(adm: DataFrame, layout: Encounter = Encounter(), carry: Sequence[s
     )
 
 
-def with_next_start(rows: DataFrame, cells: DataFrame, layout: Encounter = Encounter()) -> DataFrame:
+def _attach(rows: DataFrame, answers: DataFrame, on: list[str], crowd: bool) -> DataFrame:
+    """Left join of rows to their answers; spread out when an entity is crowded."""
+    return spread_join(rows, answers, on, "left") if crowd else rows.join(answers, on, "left")
+
+
+def with_next_start(
+    rows: DataFrame, cells: DataFrame, layout: Encounter = Encounter(), crowd: bool | None = None
+) -> DataFrame:
     """Add ``next_start``: start of the next encounter by (day, key).
 
     Equals ``lead(start)`` over the entity; within a day every row but the one
@@ -130,8 +136,9 @@ def with_next_start(rows: DataFrame, cells: DataFrame, layout: Encounter = Encou
     """
     on = [*layout.entity, layout.start]
     w = Window.partitionBy(*layout.entity).orderBy(layout.start)
-    ahead = cells.select(*on, "n", "max_key", F.lead(layout.start).over(w).alias("next_day"))
-    joined = spread_join(rows, ahead.drop("n"), on, "left", counts=cells.select(*on, "n"))
+    ahead = cells.select(*on, "max_key", F.lead(layout.start).over(w).alias("next_day"))
+    crowd = crowded(cells, list(layout.entity)) if crowd is None else crowd
+    joined = _attach(rows, ahead, on, crowd)
     same_day = F.col(layout.key) < F.col("max_key")
     return joined.withColumn(
         "next_start", F.when(same_day, F.col(layout.start)).otherwise(F.col("next_day"))
@@ -143,22 +150,28 @@ def stay_days(layout: Encounter, clip: bool) -> Column:
     return F.greatest(stay, F.lit(0)) if clip else stay
 
 
-def with_next_gap(rows: DataFrame, cells: DataFrame, layout: Encounter = Encounter(), clip: bool = False) -> DataFrame:
+def with_next_gap(
+    rows: DataFrame, cells: DataFrame, layout: Encounter = Encounter(), clip: bool = False, crowd: bool | None = None
+) -> DataFrame:
     """Add ``next_gap``: days from the end of this stay to the next start."""
-    out = with_next_start(rows, cells, layout)
+    out = with_next_start(rows, cells, layout, crowd)
     return out.withColumn("next_gap", F.col("next_start") - F.col(layout.start) - stay_days(layout, clip))
 
 
 def with_follow_up(
-    rows: DataFrame, cells: DataFrame, layout: Encounter = Encounter(), days: int = 30, clip: bool = False
+    rows: DataFrame,
+    cells: DataFrame,
+    layout: Encounter = Encounter(),
+    days: int = 30,
+    clip: bool = False,
+    crowd: bool | None = None,
 ) -> DataFrame:
     """Add the summary of encounters that start 1 .. ``days`` days after the stay."""
     end_cols = [*layout.entity, "end_day"]
     rows = rows.withColumn("end_day", F.col(layout.start) + stay_days(layout, clip))
-    at_end = rows.groupBy(*end_cols).agg(F.count(F.lit(1)).alias("n"))
     found = range_summary(
         cells.withColumnRenamed(layout.start, "end_day"),
-        at_end,
+        rows,
         layout.entity,
         "end_day",
         {"ahead": (1, days)},
@@ -169,7 +182,8 @@ def with_follow_up(
             "unknown_follow_ups": ("ahead", F.sum("n_unknown")),
         },
     )
-    joined = spread_join(rows, found, end_cols, "left", counts=at_end)
+    crowd = crowded(cells, list(layout.entity)) if crowd is None else crowd
+    joined = _attach(rows, found, end_cols, crowd)
     return joined.withColumns(
         {
             "first_unplanned_day": F.col("unplanned.day"),
@@ -217,6 +231,8 @@ def evaluation_rule(
     gap = F.col("next_gap")
     return (
         F.col(index_flag)
+        & F.col(layout.start).isNotNull()
+        & F.col(layout.stay).isNotNull()
         & (number(age) >= 18)
         & (number(died) == 0)
         & ~number(disposition).isin([float(x) for x in excluded])
@@ -262,8 +278,9 @@ def build_episodes(
     ``cohort`` selects the rows kept; ``eligible`` may refer to ``next_gap``.
     """
     cells = materialise(cells if cells is not None else day_cells(adm, layout, carry), "day_cells")
-    rows = with_follow_up(adm.where(cohort), cells, layout, clip=clip)
-    rows = with_next_gap(rows, cells, layout, clip)
+    crowd = crowded(cells, list(layout.entity))
+    rows = with_follow_up(adm.where(cohort), cells, layout, clip=clip, crowd=crowd)
+    rows = with_next_gap(rows, cells, layout, clip, crowd)
     rows = rows.withColumns(
         {
             **observability(layout),

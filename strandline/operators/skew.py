@@ -46,6 +46,11 @@ def hot_keys(df: DataFrame, on: list[str], rows: int = HOT_ROWS, counts: DataFra
     )
 
 
+def crowded(counts: DataFrame, on: list[str], rows: int = HOT_ROWS) -> bool:
+    """Some key of ``on`` may hold more than ``rows`` rows, from a table with counts ``n``."""
+    return not counts.groupBy(*on).agg(F.sum("n").alias("n")).where(F.col("n") > rows).isEmpty()
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from strandline.functions.arrays import any_in, any_prefix
 from strandline.functions.text import normalize_code
 from strandline.functions.values import sigmoid
-from strandline.operators.codes import cause_code, planned_columns
+from strandline.operators.codes import cause_code, code_rows, encode_array, fit_vocabulary, planned_columns
 from strandline.plans.registry import cte
+from strandline.plans.stages import staged
 
 POSITIONS = 7
 INDEX_PREFIXES = ("ECONOMY", "PROMO")
@@ -120,23 +121,19 @@ def line_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encounter_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed code positions of an encounter as arrays.
 
-    Position k is the smallest value on lines numbered k, so one aggregate with
-    a fixed number of buffers does it, however many lines an order has.
+    Position k takes the smallest value of the lines numbered k; after that
+    step an encounter has at most ``POSITIONS`` rows to put in order.
     """
-    lines = line_codes(spark, sf_dir)
-    at = lambda k, c: F.min(F.when(F.col("l_linenumber") == k, F.col(c)))
     columns = ("dx", "pr", "prday", "l_suppkey")
-    wide = lines.groupBy("l_orderkey").agg(
-        *[at(k, c).alias(f"{c}{k}") for k in range(1, POSITIONS + 1) for c in columns]
+    slots = (
+        line_codes(spark, sf_dir)
+        .where(F.col("l_linenumber").between(1, POSITIONS))
+        .groupBy("l_orderkey", "l_linenumber")
+        .agg(*[F.min(c).alias(c) for c in columns])
+        .groupBy(F.col("l_orderkey").alias("enc_id"))
+        .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", *columns))).alias("s"))
     )
-    slots = F.array(
-        *[
-            F.struct(*[F.col(f"{c}{k}").alias(c) for c in columns])
-            for k in range(1, POSITIONS + 1)
-        ]
-    )
-    filled = wide.select(F.col("l_orderkey").alias("enc_id"), F.filter(slots, lambda s: s["dx"].isNotNull()).alias("s"))
-    return filled.select(
+    return slots.select(
         "enc_id",
         F.transform("s.dx", normalize_code).alias("dx"),
         F.transform("s.pr", normalize_code).alias("pr"),
@@ -205,6 +202,7 @@ FLAGS = (
 )
 
 
+@staged
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encounters with code arrays and the flag table."""
     no_text = F.array().cast("array<string>")
@@ -351,3 +349,59 @@ cte(
   event_type AS kind, (props->>'$.k')::INT AS k
 FROM events""",
 )
+
+
+# encoded codes ------------------------------------------------------------------
+
+@staged
+def vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabularies of both code columns, fitted on the development years."""
+    adm = admissions(spark, sf_dir)
+    out = []
+    for side in ("dx", "pr"):
+        rows = code_rows(adm, ["year"], side)
+        out.append(fit_vocabulary(rows, "year", DEVELOPMENT_YEARS).withColumn("side", F.lit(side)))
+    return out[0].unionByName(out[1])
+
+
+def vocabulary(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    return vocabularies(spark, sf_dir).where(F.col("side") == side).drop("side")
+
+
+@staged
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admissions with both code arrays as ids."""
+    adm = admissions(spark, sf_dir)
+    for side in ("dx", "pr"):
+        adm = encode_array(adm, "enc_id", side, vocabulary(spark, sf_dir, side), f"{side}_ids")
+    return adm
+
+
+cte(
+    "code_rows",
+    """SELECT enc_id, year, 'dx' AS side, unnest(range(0, len(dx)))::INT AS pos, unnest(dx) AS code FROM adm
+UNION ALL SELECT enc_id, year, 'pr', unnest(range(0, len(pr)))::INT, unnest(pr) FROM adm""",
+    "adm",
+)
+cte(
+    "vocab",
+    f"""SELECT side, code, first_year, n,
+  (3 + row_number() OVER (PARTITION BY side ORDER BY first_year, code))::INT AS id
+FROM (SELECT side, code, min(year) AS first_year, count(*) AS n FROM code_rows
+      WHERE year IN {sql_in(DEVELOPMENT_YEARS)} AND code <> '' GROUP BY 1, 2)""",
+    "code_rows",
+)
+cte(
+    "id_rows",
+    """SELECT r.*, CASE WHEN code = '' THEN 3 ELSE coalesce(v.id, 2) END AS id
+FROM code_rows r LEFT JOIN vocab v USING (side, code)""",
+    "vocab",
+)
+cte(
+    "encoded",
+    """SELECT a.*, coalesce(d.ids, []::INT[]) AS dx_ids, coalesce(p.ids, []::INT[]) AS pr_ids
+FROM adm a
+LEFT JOIN (SELECT enc_id, list(id ORDER BY pos) AS ids FROM id_rows WHERE side = 'dx' GROUP BY 1) d USING (enc_id)
+LEFT JOIN (SELECT enc_id, list(id ORDER BY pos) AS ids FROM id_rows WHERE side = 'pr' GROUP BY 1) p USING (enc_id)""",
+    "id_rows",
+)
