@@ -327,12 +327,12 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     seconds = (F.col("value") * 60).cast("long")
     kind = F.col("event_type")
-    begin = F.timestamp_micros(F.unix_micros("ts"))
+    begin = F.col("ts").cast("timestamp")
     return ev.select(
         F.col("user_id").alias("subject_id"),
         F.col("event_id").alias("stay_id"),
         begin.alias("begin_ts"),
-        F.timestamp_micros(F.unix_micros("ts") + seconds * 1_000_000).alias("end_ts"),
+        F.timestamp_micros(F.unix_micros(begin) + seconds * 1_000_000).alias("end_ts"),
         F.when(kind == "signup", " acute  hospital").when(kind == "view", "Emergency Room").otherwise("home").alias("from_place"),
         F.when(kind == "purchase", "Transfer to other hospital").otherwise("home").alias("to_place"),
         kind.alias("kind"),
