@@ -196,9 +196,8 @@ def unfounded_claims(codebook: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     ``years`` of the code book is text such as ``1995;1997``.
     """
-    claims = codebook.select(
-        "system", "code", F.explode(F.filter(F.split("years", ";"), lambda y: y != "")).cast("int").alias("year")
-    )
+    years = F.filter(F.split("years", ";"), lambda y: y != "").cast("array<int>")
+    claims = codebook.select("system", "code", F.explode(years).alias("year"))
     return claims.join(catalogue.select("system", "code", "year"), ["system", "code", "year"], "left_anti")
 
 

@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from strandline.plans import linkage, scalars  # noqa: F401
+from strandline.plans import codes, linkage, scalars, scans  # noqa: F401
 from strandline.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
