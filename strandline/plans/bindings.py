@@ -273,6 +273,23 @@ FROM lineitem""",
 )
 
 
+cte(
+    "uniq",
+    """SELECT row_id, any_value(entity_id) AS entity_id, min(facility_id) AS facility_id, min(stratum) AS stratum, any_value(line_no) AS line_no,
+  min(weight) AS weight, min(y_any) AS y_any, min(y_part) AS y_part, min(p_tied) AS p_tied, min(p_fine) AS p_fine, min(status) AS status FROM scored GROUP BY 1""",
+    "scored",
+)
+
+
+@staged
+def unique_lines(spark, sf_dir):
+    """Scored lines with one row per key, for results that depend on a row order."""
+    firsts = ("facility_id", "stratum", "weight", "y_any", "y_part", "p_tied", "p_fine", "status")
+    return scored_lines(spark, sf_dir).groupBy("row_id").agg(
+        F.min("entity_id").alias("entity_id"), F.min("line_no").alias("line_no"), *[F.min(c).alias(c) for c in firsts]
+    )
+
+
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a score from their length."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
