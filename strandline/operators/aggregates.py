@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,27 +16,19 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 def weighted_sd(value: Column, weight: Column) -> Column:
     """Population standard deviation with weights."""
-    return F.sqrt(
-        F.greatest(weighted_mean(value * value, weight) - F.pow(weighted_mean(value, weight), F.lit(2.0)), F.lit(0.0))
-    )
+    spread = weighted_mean(value * value, weight) - F.pow(weighted_mean(value, weight), F.lit(2.0))
+    return F.sqrt(F.when(spread.isNotNull(), F.greatest(spread, F.lit(0.0))))
 
 
 def level_shares(df: DataFrame, level: str, weight: str, levels: Sequence[str]) -> DataFrame:
     """Weight share of every listed level; a level without rows has share 0."""
     found = df.groupBy(F.col(level).alias("level")).agg(F.sum(weight).alias("w"))
-    total = F.sum("w").over(_all_levels())
+    total = F.sum("w").over(Window.partitionBy(F.lit(0)))  # over the few levels, after aggregation
     shares = found.select("level", (F.col("w") / total).alias("share"))
     wanted = df.sparkSession.createDataFrame([(x,) for x in levels], "level string")
     return wanted.join(shares, "level", "left").select("level", F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
-def _all_levels():
-    # a window over the handful of levels, after aggregation
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
-
-
 def moments(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """Count, mean and population sd of the values inside [low, high]."""
     v = F.when(F.col(value).between(low, high), F.col(value).cast("double"))

@@ -88,7 +88,8 @@ def profile(df: DataFrame, covariates: Sequence[Covariate], weight: str) -> Data
         [(v.name, v.column, "numeric_binned" if v.numeric else "categorical", i, label) for v in covariates for i, label in enumerate(v.labels())],
         "covariate string, source_column string, kind string, level_no int, level string",
     )
-    variance = F.greatest(F.col("_second") - F.pow("weighted_mean", F.lit(2.0)), F.lit(0.0))
+    spread = F.col("_second") - F.pow("weighted_mean", F.lit(2.0))
+    variance = F.when(spread.isNotNull(), F.greatest(spread, F.lit(0.0)))
     return (
         declared.join(per_level.select("covariate", "level", "w"), ["covariate", "level"], "left")
         .join(per_covariate, "covariate")

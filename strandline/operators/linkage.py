@@ -76,9 +76,9 @@ def running_max(
     """
     keys = list(keys)
     marked = df.withColumn("_value", value)
-    cells = marked.groupBy(*keys, cell).agg(F.max("_value").alias("_cell"))
+    cells = marked.groupBy(*keys, cell).agg(F.max("_value").alias("_whole"))
     earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    carry = cells.select(*keys, cell, F.max("_cell").over(earlier).alias("_carry"))
+    carry = cells.select(*keys, cell, F.max("_whole").over(earlier).alias("_carry"))
     inside = (
         Window.partitionBy(*keys, cell)
         .orderBy(*order)

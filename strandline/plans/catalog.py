@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from strandline.plans import arrays, codes, evaluation, linkage, relations, scalars, scans  # noqa: F401
+from strandline.plans import arrays, chains, codes, evaluation, linkage, prediction_sets, relations, scalars, scans  # noqa: F401
 from strandline.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
