@@ -313,9 +313,13 @@ FROM documents d JOIN labels l USING (doc_id)""",
 
 
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five class scores per vector, the true class and two groupings."""
+    """Five class scores per vector, the true class and two groupings.
+
+    The true class gets a higher score on four of five rows.
+    """
     e = table(spark, sf_dir, "embeddings")
-    raw = [F.exp(6 * F.col("embedding")[k].cast("double")) for k in range(5)]
+    hint = lambda k: F.when((F.pmod("label", F.lit(5)) == k) & (F.pmod("vec_id", F.lit(5)) > 0), 3.0).otherwise(0.0)
+    raw = [F.exp(6 * F.col("embedding")[k].cast("double") + hint(k)) for k in range(5)]
     total = reduce(lambda a, b: a + b, raw)
     return e.select(
         "vec_id",
@@ -327,7 +331,10 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_RAW = [f"exp(6 * embedding[{k + 1}]::DOUBLE)" for k in range(5)]
+_RAW = [
+    f"exp(6 * embedding[{k + 1}]::DOUBLE + CASE WHEN label % 5 = {k} AND vec_id % 5 > 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    for k in range(5)
+]
 cte(
     "classes",
     f"""SELECT vec_id, (label % 5)::INT AS y, (vec_id % 2)::VARCHAR AS sex, 'band' || (label % 3) AS band,

@@ -1,6 +1,17 @@
 """All registered queries; importing this module fills the registry."""
 
-from strandline.plans import arrays, chains, codes, evaluation, linkage, prediction_sets, relations, scalars, scans  # noqa: F401
+from strandline.plans import (  # noqa: F401
+    arrays,
+    chains,
+    codes,
+    evaluation,
+    linkage,
+    modelling,
+    prediction_sets,
+    relations,
+    scalars,
+    scans,
+)
 from strandline.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

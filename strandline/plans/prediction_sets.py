@@ -17,7 +17,7 @@ from strandline.plans.registry import cte, query, rnd, rounded, sql
 from strandline.plans.stages import staged
 
 ALPHAS = (0.1, 0.2, 0.05)
-MIN_ROWS = 120
+MIN_ROWS = 145
 DIMENSIONS = {"sex": "sex", "band": "band"}
 NAMES = ("none", "ap", "biliary", "sepsis_or_organ", "other")
 
@@ -456,16 +456,16 @@ def label_drift_bounds(spark, sf_dir):
 # disclosure -------------------------------------------------------------------------------
 
 cte(
-    "facility_rates",
-    """SELECT partition_label, facility_id::VARCHAR AS facility, count(*) AS n_rows, sum(any_follow_up::INT)::BIGINT AS event_count, avg(any_follow_up::INT) AS event_rate,
+    "monthly_rates",
+    """SELECT partition_label, lpad(month::VARCHAR, 2, '0') AS month, count(*) AS n_rows, sum(any_follow_up::INT)::BIGINT AS event_count, avg(any_follow_up::INT) AS event_rate,
   'OK' AS status, 60 AS n_replicates FROM parts WHERE eligible GROUP BY 1, 2""",
     "parts",
 )
 
 
-def facility_rates(spark, sf_dir):
+def monthly_rates(spark, sf_dir):
     rows = episodes(spark, sf_dir).where("eligible").withColumn("partition_label", partition_label())
-    return rows.groupBy("partition_label", F.col("facility_id").cast("string").alias("facility")).agg(
+    return rows.groupBy("partition_label", F.lpad(F.col("month").cast("string"), 2, "0").alias("month")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if("any_follow_up").alias("event_count"),
         F.avg(F.col("any_follow_up").cast("double")).alias("event_rate"),
@@ -475,42 +475,42 @@ def facility_rates(spark, sf_dir):
 @query(
     "small_cell_suppression",
     sql(
-        """SELECT partition_label, facility, CASE WHEN ok THEN n_rows END AS n_rows, CASE WHEN ok THEN event_count END AS event_count,
+        """SELECT partition_label, month, CASE WHEN ok THEN n_rows END AS n_rows, CASE WHEN ok THEN event_count END AS event_count,
   CASE WHEN ok THEN round(event_rate, 6) END AS event_rate, CASE WHEN ok THEN status ELSE 'SUPPRESSED_SMALL_CELL' END AS status, n_replicates
-FROM (SELECT *, n_rows > 10 AND event_count > 10 AS ok FROM facility_rates)""",
-        "facility_rates",
+FROM (SELECT *, n_rows > 10 AND event_count > 10 AS ok FROM monthly_rates)""",
+        "monthly_rates",
     ),
 )
 def small_cell_suppression(spark, sf_dir):
-    return rounded(X.suppress(X.check_public_columns(facility_rates(spark, sf_dir))))
+    return rounded(X.suppress(X.check_public_columns(monthly_rates(spark, sf_dir))))
 
 
 @query(
     "suppression_audit",
     sql(
-        """SELECT 'partition_label=' || partition_label || '|facility=' || coalesce(facility, '<MISSING>') AS row_key,
+        """SELECT 'partition_label=' || partition_label || '|month=' || month AS row_key,
   concat_ws(';', CASE WHEN n_rows <= 10 THEN 'n_rows' END, CASE WHEN event_count <= 10 THEN 'event_count' END) AS trigger_fields, true AS suppressed
-FROM facility_rates WHERE n_rows <= 10 OR event_count <= 10""",
-        "facility_rates",
+FROM monthly_rates WHERE n_rows <= 10 OR event_count <= 10""",
+        "monthly_rates",
     ),
 )
 def suppression_audit(spark, sf_dir):
-    return X.suppression_audit(facility_rates(spark, sf_dir), ["partition_label", "facility"])
+    return X.suppression_audit(monthly_rates(spark, sf_dir), ["partition_label", "month"])
 
 
 @query(
     "public_counts",
     sql(
-        """SELECT partition_label, facility, CASE WHEN event_count > 10 THEN event_count END AS events_shown, event_count <= 10 AS events_held_back,
-  CASE WHEN n_rows <= 10 THEN 'SUPPRESSED_N_LE_10' ELSE n_rows::VARCHAR END AS n_text FROM facility_rates""",
-        "facility_rates",
+        """SELECT partition_label, month, CASE WHEN event_count > 10 THEN event_count END AS events_shown, event_count <= 10 AS events_held_back,
+  CASE WHEN n_rows <= 10 THEN 'SUPPRESSED_N_LE_10' ELSE n_rows::VARCHAR END AS n_text FROM monthly_rates""",
+        "monthly_rates",
     ),
 )
 def public_counts(spark, sf_dir):
     shown, held = X.public_count(F.col("event_count"))
-    return facility_rates(spark, sf_dir).select(
+    return monthly_rates(spark, sf_dir).select(
         "partition_label",
-        "facility",
+        "month",
         shown.alias("events_shown"),
         held.alias("events_held_back"),
         X.public_count_text(F.col("n_rows")).alias("n_text"),
@@ -519,10 +519,10 @@ def public_counts(spark, sf_dir):
 
 @query(
     "public_table_scan",
-    sql("SELECT 'event_count' AS \"column\", event_count::DOUBLE AS value FROM facility_rates WHERE event_count BETWEEN 1 AND 10", "facility_rates"),
+    sql("SELECT 'event_count' AS \"column\", event_count::DOUBLE AS value FROM monthly_rates WHERE event_count BETWEEN 1 AND 10", "monthly_rates"),
 )
 def public_table_scan(spark, sf_dir):
-    rates = facility_rates(spark, sf_dir)
+    rates = monthly_rates(spark, sf_dir)
     if X.leaked_identifiers(rates) or not X.unsuppressed_counts(X.suppress(rates)).isEmpty():
         raise ValueError("the suppressed table still shows small counts")
     return X.unsuppressed_counts(rates)

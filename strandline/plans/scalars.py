@@ -467,8 +467,7 @@ def outcome_packaging(spark, sf_dir):
 
 @query(
     "decode_null_tokens",
-    f"""SELECT c_custkey, CASE WHEN c_custkey % 12 < 11 THEN NULL ELSE c_mktsegment END AS segment FROM customer
--- every spelling in {', '.join(t or 'empty' for t in NULL_TOKENS)}""",
+    "SELECT c_custkey, CASE WHEN c_custkey % 12 = 11 THEN c_mktsegment END AS segment FROM customer",
 )
 def decode_null_tokens(spark, sf_dir):
     spelled = F.col("c_mktsegment")
