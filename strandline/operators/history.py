@@ -110,9 +110,9 @@ def with_stay_history(
     who = layout.entity
     begin, end = F.unix_micros(layout.begin), F.unix_micros(layout.end)
     cells = chains.select(
-        who, end.alias("axis"), ((end - begin) / DAY_US).alias("stay_days"), *sums
+        who, end.alias("axis"), (end - begin).alias("stay_us"), *sums
     ).groupBy(who, "axis").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("stay_days").alias("stay_days"), *[F.sum(s).alias(s) for s in sums]
+        F.count(F.lit(1)).alias("n"), F.sum("stay_us").alias("stay_us"), *[F.sum(s).alias(s) for s in sums]
     )
     rows = index.withColumn("axis", begin)
     found = range_summary(
@@ -123,7 +123,7 @@ def with_stay_history(
         {d: (-int(d[:-1]) * DAY_US, -1) for d in ("30d", "90d", "180d")},
         {
             **{f"prior_count_{d}": (d, F.sum("n")) for d in ("30d", "90d", "180d")},
-            "prior_stay_days_180d": ("180d", F.sum("stay_days")),
+            "_stay_us": ("180d", F.sum("stay_us")),
             **{f"prior_{s}_180d": ("180d", F.sum(s)) for s in sums},
         },
     )
@@ -157,11 +157,11 @@ def with_stay_history(
     return out.withColumns(
         {
             **{c: F.coalesce(F.col(c), F.lit(0)) for c in counts},
-            "prior_stay_days_180d": F.coalesce("prior_stay_days_180d", F.lit(0.0)),
+            "prior_stay_days_180d": F.coalesce("_stay_us", F.lit(0)) / DAY_US,
             "days_since_prior": (F.col("axis") - F.col("_last")) / DAY_US,
             **{
                 f"seen_{d}": (F.col("axis") - F.col("_first") >= int(d[:-1]) * DAY_US).cast("int")
                 for d in ("30d", "90d", "180d")
             },
         }
-    ).drop("axis", "_last", "_first")
+    ).drop("axis", "_last", "_first", "_stay_us")

@@ -286,13 +286,11 @@ def eligible(spark, sf_dir):
 
 @query(
     "timestamp_eligibility",
-    sql("SELECT subject_id, chain_id, age, female, n_stays, round(date_diff('microsecond', anchor_begin, end_ts) / 86400000000.0::DOUBLE, 6) AS stay_days FROM eligible_chains", "eligible_chains"),
+    sql("SELECT subject_id, chain_id, age, female, n_stays, date_diff('microsecond', anchor_begin, end_ts) / 86400000000.0::DOUBLE AS stay_days FROM eligible_chains", "eligible_chains"),
 )
 def timestamp_eligibility(spark, sf_dir):
     days = (F.unix_micros("end_ts") - F.unix_micros("anchor_begin")) / 86_400e6
-    return rounded(
-        eligible(spark, sf_dir).select("subject_id", "chain_id", "age", "female", "n_stays", days.alias("stay_days"))
-    )
+    return eligible(spark, sf_dir).select("subject_id", "chain_id", "age", "female", "n_stays", days.alias("stay_days"))
 
 
 # history and labels -------------------------------------------------------------------------------
@@ -307,8 +305,8 @@ cte(
     """SELECT i.subject_id, i.chain_id, count(r.chain_id) FILTER (WHERE i.begin_ts - r.end_ts <= INTERVAL 30 DAYS) AS prior_count_30d,
   count(r.chain_id) FILTER (WHERE i.begin_ts - r.end_ts <= INTERVAL 90 DAYS) AS prior_count_90d, count(r.chain_id) FILTER (WHERE i.begin_ts - r.end_ts <= INTERVAL 180 DAYS) AS prior_count_180d,
   count(r.chain_id) FILTER (WHERE year(r.end_ts) = year(i.begin_ts)) AS prior_count_ytd, coalesce(sum(r.emergency) FILTER (WHERE i.begin_ts - r.end_ts <= INTERVAL 180 DAYS), 0)::BIGINT AS prior_emergency_180d,
-  round(coalesce(sum(date_diff('microsecond', r.begin_ts, r.end_ts) / 86400000000.0::DOUBLE) FILTER (WHERE i.begin_ts - r.end_ts <= INTERVAL 180 DAYS), 0.0::DOUBLE), 6) AS prior_stay_days_180d,
-  round(date_diff('microsecond', max(r.end_ts), any_value(i.begin_ts)) / 86400000000.0::DOUBLE, 6) AS days_since_prior,
+  coalesce(sum(date_diff('microsecond', r.begin_ts, r.end_ts)) FILTER (WHERE i.begin_ts - r.end_ts <= INTERVAL 180 DAYS), 0)::DOUBLE / 86400000000.0::DOUBLE AS prior_stay_days_180d,
+  date_diff('microsecond', max(r.end_ts), any_value(i.begin_ts)) / 86400000000.0::DOUBLE AS days_since_prior,
   (any_value(i.begin_ts) - (SELECT min(c.begin_ts) FROM chains c WHERE c.subject_id = i.subject_id) >= INTERVAL 30 DAYS)::INT AS seen_30d,
   (any_value(i.begin_ts) - (SELECT min(c.begin_ts) FROM chains c WHERE c.subject_id = i.subject_id) >= INTERVAL 90 DAYS)::INT AS seen_90d
 FROM eligible_chains i LEFT JOIN chain_flags r ON r.subject_id = i.subject_id AND r.end_ts < i.begin_ts GROUP BY 1, 2""",
@@ -326,7 +324,7 @@ def history_timestamps(spark, sf_dir):
     emergency = F.max((F.col("from_place") == "Emergency Room").cast("int")).alias("emergency")
     chains = C.chain_table(linked(spark, sf_dir), [emergency])
     out = with_stay_history(eligible(spark, sf_dir), chains, ["emergency"])
-    return rounded(out.select("subject_id", "chain_id", *STAY_HISTORY))
+    return out.select("subject_id", "chain_id", *STAY_HISTORY)
 
 
 cte(

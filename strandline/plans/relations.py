@@ -88,10 +88,10 @@ def enriched_encounters(spark, sf_dir):
 
 @query(
     "left_ratio_lookup",
-    sql("SELECT enc_id, ratio, round(cost, 4) AS cost, round(cost_adjusted, 4) AS cost_adjusted FROM enriched", "enriched"),
+    sql("SELECT enc_id, ratio, cost, cost_adjusted FROM enriched", "enriched"),
 )
 def left_ratio_lookup(spark, sf_dir):
-    return rounded(enriched(spark, sf_dir).select("enc_id", "ratio", "cost", "cost_adjusted"), 4, "cost", "cost_adjusted")
+    return enriched(spark, sf_dir).select("enc_id", "ratio", "cost", "cost_adjusted")
 
 
 @query(

@@ -150,7 +150,7 @@ HIGH_COST = 150_000.0
 @query(
     "cost_labels",
     sql(
-        f"""SELECT enc_id, round(cost, 4) AS cost, round(cost * {_FACTOR}, 4) AS adjusted,
+        f"""SELECT enc_id, cost, cost * {_FACTOR} AS adjusted,
   CASE WHEN cost > 0 THEN (cost * {_FACTOR} > {HIGH_COST})::INT END AS high_cost, (cost > 0) IS TRUE AS observed,
   coalesce(long_stay > 5, false)::INT AS long_stay, coalesce(died = 1, false)::INT AS death
 FROM (SELECT *, CASE WHEN charge > 0 AND ratio > 0 THEN charge * ratio END AS cost,
@@ -168,8 +168,8 @@ def cost_labels(spark, sf_dir):
     high = V.label_if_known(F.col("adjusted"), HIGH_COST)
     return enc.select(
         "enc_id",
-        rnd(F.col("cost"), 4).alias("cost"),
-        rnd(F.col("adjusted"), 4).alias("adjusted"),
+        "cost",
+        "adjusted",
         high.alias("high_cost"),
         high.isNotNull().alias("observed"),
         V.label_total(known_stay > 5).alias("long_stay"),
