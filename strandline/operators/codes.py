@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import normalize_code
+from strandline.functions.values import ratio
 from strandline.layout import EMPTY_ID, FIRST_CODE_ID, UNSEEN_ID
 from strandline.operators.ordering import dense_index
 from strandline.operators.skew import lookup_join
@@ -142,7 +143,7 @@ def encode_hierarchy(vocabulary: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def hierarchy_coverage(encoded: DataFrame, minimum: float = 0.95) -> DataFrame:
     mapped = F.count_if(F.col("category_id") > 0)
-    share = mapped / F.count(F.lit(1))
+    share = ratio(mapped, F.count(F.lit(1)))
     return encoded.agg(
         F.count(F.lit(1)).alias("codes"),
         mapped.alias("mapped"),

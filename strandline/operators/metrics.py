@@ -126,10 +126,6 @@ def binary_metrics(df: DataFrame, groups: Sequence[str], p: str, y: str, weight:
 
 # order-dependent variants ---------------------------------------------------
 
-def _keyed(groups: Sequence[str]) -> list[str]:
-    return list(groups)
-
-
 def auroc_row_order(df: DataFrame, groups: Sequence[str], p: str, y: str, weight: str, tie: str) -> DataFrame:
     """AUROC of sorted rows: equal scores are told apart by ``tie``."""
     w = F.col(weight).cast("double")
@@ -140,7 +136,7 @@ def auroc_row_order(df: DataFrame, groups: Sequence[str], p: str, y: str, weight
     )
     cum = running_rows(marked, groups, ["_p"], "_tie", ["neg"])
     below = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
-    return cum.groupBy(*groups).agg((below / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
+    return cum.groupBy(*groups).agg(ratio(below, F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
 def average_precision_rows(df: DataFrame, groups: Sequence[str], p: str, y: str, tie: str, positives_first: bool = False) -> DataFrame:
@@ -156,7 +152,7 @@ def average_precision_rows(df: DataFrame, groups: Sequence[str], p: str, y: str,
     lead = ["_neg", "_last"] if positives_first else ["_neg"]
     cum = running_rows(marked, groups, lead, "_tie", ["pos", "one"])
     steps = F.sum(F.when(F.col("pos") == 1, F.col("cum_pos") / F.col("cum_one")))
-    return cum.groupBy(*groups).agg((steps / F.sum("pos")).alias("average_precision"))
+    return cum.groupBy(*groups).agg(ratio(steps, F.sum("pos")).alias("average_precision"))
 
 
 # calibration ----------------------------------------------------------------

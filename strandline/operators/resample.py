@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.ids import draw
+from strandline.functions.values import ratio
 from strandline.operators.metrics import confusion, operating_rates, summarise_scores
 from strandline.operators.ordering import RANGE_ROWS, dense_index, range_edges
 from strandline.operators.skew import lookup_join, spread_join
@@ -134,10 +135,10 @@ def max_t(replicates: DataFrame, points: DataFrame, family: str, value: str = "d
     """
     spread = replicates.groupBy(family).agg(F.stddev_samp(value).alias("se"))
     base = points.join(spread, family)
-    t = replicates.join(base, family).withColumn("_t", F.abs((F.col(value) - F.col("estimate")) / F.col("se")))
+    t = replicates.join(base, family).withColumn("_t", F.abs(ratio(F.col(value) - F.col("estimate"), F.col("se"))))
     largest = t.groupBy("replicate").agg(F.max("_t").alias("_max"))
     critical = largest.agg(F.percentile("_max", F.lit(0.95)).alias("c"), F.count(F.lit(1)).alias("r")).first()
-    observed = base.withColumn("_obs", F.abs(F.col("estimate") / F.col("se")))
+    observed = base.withColumn("_obs", F.abs(ratio(F.col("estimate"), F.col("se"))))
     # replicates of a family are few; one row per (replicate, contrast)
     exceed = (
         t.select("replicate", family).join(largest, "replicate").join(observed.select(family, "_obs"), family)

@@ -265,8 +265,8 @@ def threshold_report(spark, sf_dir):
     return rounded(rounded(out, 4, "tp", "fp", "tn", "fn"))
 
 
-_CURVE = """SELECT {groups}, threshold, round((tp - fp * threshold / (1 - threshold)) / n, 6) + 0.0 AS net_benefit,
-  round(pos / n - (1 - pos / n) * threshold / (1 - threshold), 6) + 0.0 AS treat_all_net_benefit, 0.0::DOUBLE AS treat_none_net_benefit
+_CURVE = """SELECT {groups}, threshold, round((tp - fp * threshold / (1 - threshold)) / n, 8) + 0.0 AS net_benefit,
+  round(pos / n - (1 - pos / n) * threshold / (1 - threshold), 8) + 0.0 AS treat_all_net_benefit, 0.0::DOUBLE AS treat_none_net_benefit
 FROM (SELECT {groups}, threshold, sum(w) AS n, sum(w * y) AS pos, sum(w * y * (p >= threshold)::INT) AS tp, sum(w * (1 - y) * (p >= threshold)::INT) AS fp
       FROM {source}, (SELECT {points} AS threshold) GROUP BY ALL)"""
 
@@ -280,7 +280,7 @@ FROM (SELECT {groups}, threshold, sum(w) AS n, sum(w * y) AS pos, sum(w * y * (p
 )
 def decision_curve(spark, sf_dir):
     thresholds = [i / 100 for i in range(1, 51)]
-    return rounded(M.decision_curve(grid_rows(spark, sf_dir), GRID, "p", "y", "w", thresholds))
+    return rounded(M.decision_curve(grid_rows(spark, sf_dir), GRID, "p", "y", "w", thresholds), 8)
 
 
 @query(
