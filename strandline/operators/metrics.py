@@ -267,13 +267,14 @@ def with_equal_count_bin(df: DataFrame, groups: Sequence[str], p: str, tie: str,
     Row i of n (from 0) lies in bin ceil(bins * i / (n - 1)), the first row in bin 1.
     """
     groups = list(groups)
-    df = df if groups else df.withColumn("_all", F.lit(0))
-    keys = groups or ["_all"]
-    numbered = order_number(df, keys, [p], tie, "_i")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    joined = lookup_join(numbered, sizes, keys, "left")
+    numbered = order_number(df, groups, [p], tie, "_i")
+    if groups:
+        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        sized = lookup_join(numbered, sizes, groups, "left")
+    else:
+        sized = numbered.withColumn("_n", F.lit(df.count()))
     number = F.ceil((F.col("_i") - 1) * bins / F.greatest(F.col("_n") - 1, F.lit(1)))
-    return joined.withColumn(out, F.greatest(number, F.lit(1)).cast("int")).drop("_i", "_n", "_all")
+    return sized.withColumn(out, F.greatest(number, F.lit(1)).cast("int")).drop("_i", "_n")
 
 
 # operating points -----------------------------------------------------------

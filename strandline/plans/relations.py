@@ -354,16 +354,17 @@ def weighted_quantile_step(spark, sf_dir):
 @query(
     "high_cost_threshold",
     sql(
-        f"""SELECT (SELECT v FROM ({_step_sql("(SELECT * FROM enc WHERE year <= 1998)", "charge", "weight", 0.9)})) AS weighted_p90,
-  (SELECT round(quantile_cont(charge, 0.9), 4) FROM enc WHERE year <= 1998) AS unweighted_p90""",
+        f"""SELECT 'weighted_p90' AS rule, v AS threshold FROM ({_step_sql("(SELECT * FROM enc WHERE year <= 1998)", "charge", "weight", 0.9)})
+UNION ALL SELECT 'unweighted_p90', round(quantile_cont(charge, 0.9), 4) FROM enc WHERE year <= 1998""",
         "enc",
     ),
 )
 def high_cost_threshold(spark, sf_dir):
     development = encounters(spark, sf_dir).where("year <= 1998")
-    weighted = O.weighted_step_quantile(development, [], "charge", "weight", 0.9, "weighted_p90").select("weighted_p90")
-    plain = O.linear_quantile(development, [], "charge", 0.9, "unweighted_p90").select("unweighted_p90")
-    return rounded(weighted.withColumn("_k", F.lit(0)).join(plain.withColumn("_k", F.lit(0)), "_k").drop("_k"), 4, "unweighted_p90")
+    weighted = O.weighted_step_quantile(development, [], "charge", "weight", 0.9, "threshold")
+    plain = O.linear_quantile(development, [], "charge", 0.9, "threshold")
+    named = lambda df, name: df.select(F.lit(name).alias("rule"), "threshold")
+    return named(weighted, "weighted_p90").unionByName(rounded(named(plain, "unweighted_p90"), 4))
 
 
 _QS = (0.1, 0.5, 0.9)

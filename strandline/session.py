@@ -45,7 +45,7 @@ def shared_root(spark: SparkSession) -> str:
     cluster a missing setting is an error, because a machine-local folder
     would be lost with its machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

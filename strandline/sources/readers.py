@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from strandline.functions.text import decode_nulls
 from strandline.layout import NULL_TOKENS
+from strandline.operators.skew import lookup_join
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, keep: Sequence[str] | None = None, header: bool = False, quote: str = '"') -> DataFrame:
@@ -47,7 +48,7 @@ def repair_ragged(lines: DataFrame, columns: Sequence[str], line: str = "value")
     parts = F.split(F.col(line), ",")
     checked = F.when(F.size(parts) < n, F.raise_error(F.concat(F.lit("short row: "), F.col(line))).cast("array<string>")).otherwise(parts)
     split = lines.select(checked.alias("_p"))
-    last = F.concat_ws(",", F.slice("_p", n, 1_000_000))
+    last = F.concat_ws(",", F.slice("_p", F.lit(n), F.size("_p")))
     return split.select(*[F.col("_p")[i].alias(c) for i, c in enumerate(columns[:-1])], last.alias(columns[-1]))
 
 
@@ -83,7 +84,7 @@ def read_related(admissions: DataFrame, keys: DataFrame, on: Sequence[str]) -> D
     wanted = keys.select(*on).distinct()
     if wanted.isEmpty():
         raise ValueError("no entity to read rows for")
-    return admissions.join(wanted, list(on), "left_semi")
+    return lookup_join(admissions, wanted, list(on), "left_semi")
 
 
 def read_first(df: DataFrame, rows: int) -> DataFrame:

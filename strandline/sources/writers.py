@@ -17,15 +17,12 @@ class AlreadyPublished(RuntimeError):
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), block_bytes: int = 128 * 1024 * 1024) -> None:
     """Parquet with zstd; never over an existing table.
 
-    Rows are brought together by partition value first, cut further by a hash
-    of the row, so that a partition is written by several tasks and each task
-    writes few files.
+    With partition columns, rows are brought together by their values first, so
+    that few files are written; the rebalance hint lets Spark cut a partition
+    value with many rows into several tasks.
     """
-    writer_of = df
-    if partition_by:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-        writer_of = df.repartition(*[F.col(c) for c in partition_by], spread)
-    writer = writer_of.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", block_bytes)
+    rows = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+    writer = rows.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", block_bytes)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
