@@ -48,6 +48,8 @@ def range_summary(
         near = F.array_distinct(F.array(at(F.col(axis)), at(F.col(axis) - F.lit(length - 1))))
         cells = cells.withColumn("_bucket", F.explode(near))
         parts = [*keys, "_bucket"]
+    # only parts that hold a query are worth a window
+    cells = cells.join(points.select(*parts).distinct(), parts, "left_semi")
     together = points.unionByName(cells.withColumn("_query", F.lit(False)), allowMissingColumns=True)
     base = Window.partitionBy(*parts).orderBy(axis)
     spans = {

@@ -96,6 +96,9 @@ def running_rows(
     """
     groups, lead, measures = list(groups), list(lead), list(measures)
     tie_edges = range_edges(df, tie, rows)
+    if not tie_edges:  # no more than ``rows`` rows altogether
+        w = Window.partitionBy(*groups).orderBy(*lead, tie).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(m).over(w).alias(f"cum_{m}") for m in measures])
     cut = with_range(df, tie, tie_edges, "_tie_range")
     cells = materialise(cut.groupBy(*groups, *lead, "_tie_range").agg(*[F.sum(m).alias(m) for m in measures]), "cells")
     per_lead = cells.groupBy(*groups, *lead).agg(*[F.sum(m).alias(m) for m in measures])

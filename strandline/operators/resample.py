@@ -72,11 +72,14 @@ def replicate_metrics(df: DataFrame, draws: DataFrame, groups: Sequence[str], on
     return summarise_scores(table, ["replicate", *groups], rows, edges)
 
 
-def replicate_sums(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
-    """Weighted sums per (replicate, group): added up per cluster, then multiplied."""
+def replicate_sums(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """Weighted sums per (replicate, group): added up per cluster, then multiplied.
+
+    ``by`` names columns of ``on`` that the result keeps apart as well.
+    """
     per_cluster = materialise(df.groupBy(*groups, *on).agg(*[c.alias(n) for n, c in sums.items()]), "cluster_sums")
     met = per_cluster.join(draws, list(on))
-    return met.groupBy("replicate", *groups).agg(*[F.sum(F.col(n) * F.col("mult")).alias(n) for n in sums])
+    return met.groupBy("replicate", *groups, *by).agg(*[F.sum(F.col(n) * F.col("mult")).alias(n) for n in sums])
 
 
 def replicate_rates(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], y: str, weight: str) -> DataFrame:

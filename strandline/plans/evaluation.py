@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions.values import wilson
 from strandline.operators import metrics as M
 from strandline.operators import resample as S
-from strandline.plans.bindings import scored_lines, unique_lines
+from strandline.plans.bindings import scored_documents, scored_lines, unique_lines
 from strandline.plans.registry import cte, query, rnd, rounded, sql
 from strandline.plans.stages import staged
 
@@ -484,6 +484,59 @@ def calibration_curve_intervals(spark, sf_dir):
     return rounded(rounded(point.join(bounds, "bin"), 5, "observed_low", "observed_high", "predicted_low", "predicted_high"))
 
 
+@query(
+    "weighted_bin_intervals",
+    sql(
+        """SELECT line_no, bin, round(quantile_cont(o, 0.025), 5) AS observed_low, round(quantile_cont(o, 0.975), 5) AS observed_high,
+  round(quantile_cont(p, 0.025), 5) AS predicted_low, round(quantile_cont(p, 0.975), 5) AS predicted_high
+FROM (SELECT line_no, bin, replicate, sum(mult * weight * y_any) / sum(mult * weight) AS o, sum(mult * weight * p_fine) / sum(mult * weight) AS p
+      FROM binned JOIN draws_f USING (stratum, facility_id) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+        "binned",
+        "draws_f",
+    ),
+)
+def weighted_bin_intervals(spark, sf_dir):
+    """Resampled bounds of observed and predicted rate in weighted-quantile bins."""
+    w, y, p = F.col("weight"), F.col("y_any"), F.col("p_fine")
+    sums = S.replicate_sums(
+        binned_lines(spark, sf_dir), facility_draws(spark, sf_dir), ["line_no", "bin"], ON,
+        {"w": F.sum(w), "wy": F.sum(w * y), "wp": F.sum(w * p)},
+    )
+    reps = sums.select("line_no", "bin", (F.col("wy") / F.col("w")).alias("observed"), (F.col("wp") / F.col("w")).alias("predicted"))
+    bounds = S.intervals(reps, ["line_no", "bin"], ["observed", "predicted"])
+    return rounded(bounds.drop("observed_defined", "predicted_defined"), 5)
+
+
+BIN_SEED, BIN_REPS = 23, 40
+cte(
+    "doc_bins",
+    """SELECT doc_id, y, greatest(ceil(i * 10 / greatest(n - 1, 1)::DOUBLE), 1)::INT AS bin FROM
+ (SELECT *, row_number() OVER (ORDER BY p, doc_id) - 1 AS i, count(*) OVER () AS n FROM docs)""",
+    "docs",
+)
+cte("draws_b", draws_sql("doc_bins", "bin", "doc_id", BIN_REPS, BIN_SEED), "doc_bins")
+
+
+@query(
+    "in_bin_resampling",
+    sql(
+        """SELECT bin, any_value(n) AS n, any_value(events) AS events, round(quantile_cont(o, 0.025), 6) AS observed_low, round(quantile_cont(o, 0.975), 6) AS observed_high
+FROM (SELECT bin, replicate, sum(mult * y) / sum(mult)::DOUBLE AS o FROM doc_bins JOIN draws_b USING (bin, doc_id) GROUP BY 1, 2)
+JOIN (SELECT bin, count(*) AS n, sum(y)::BIGINT AS events FROM doc_bins GROUP BY 1) USING (bin) GROUP BY 1""",
+        "doc_bins",
+        "draws_b",
+    ),
+)
+def in_bin_resampling(spark, sf_dir):
+    """Rows drawn with replacement inside each equal-count bin."""
+    rows = M.with_equal_count_bin(scored_documents(spark, sf_dir).select("doc_id", "y", "p"), [], "p", "doc_id")
+    draws = S.draw_table(rows, ["bin"], "doc_id", BIN_REPS, BIN_SEED)
+    sums = S.replicate_sums(rows, draws, [], ["bin", "doc_id"], {"n": F.count(F.lit(1)), "k": F.sum("y")}, by=["bin"])
+    reps = sums.select("bin", (F.col("k") / F.col("n")).alias("observed"))
+    point = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
+    return rounded(point.join(S.intervals(reps, ["bin"], ["observed"]).drop("observed_defined"), "bin"))
+
+
 # paired comparison: two scores, two outcomes ------------------------------------------------
 
 cte(

@@ -13,6 +13,7 @@ from strandline.operators.ordering import order_number
 from strandline.plans.bindings import admissions, encoded, encounters
 from strandline.plans.registry import cte, query, rnd, sql
 from strandline.plans.stages import staged
+from strandline.session import materialise
 from strandline.sources.readers import read_related
 
 CARRY = ("any_1", "any_2", "any_3")
@@ -477,6 +478,7 @@ BAGS = ("prior_dx_ids_180d", "prior_pr_ids_180d")
 @staged
 def histories(spark, sf_dir):
     cells = history_cells(encoded(spark, sf_dir), "emergency", "elective", CAUSES, SEVERITIES, ("dx_ids", "pr_ids"))
+    cells = materialise(cells, "history_cells")
     index = episodes(spark, sf_dir).where("eligible")
     return with_history(index, cells, CAUSES, SEVERITIES, ("dx_ids", "pr_ids")).select(
         "enc_id", "year", "entity_id", *HISTORY, *BAGS
