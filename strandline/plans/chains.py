@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions.text import normalize_code, parse_timestamp
-from strandline.layout import UNSEEN_ID
+from strandline.layout import FIRST_CODE_ID
 from strandline.operators import chains as C
 from strandline.operators import metrics as M
 from strandline.operators.history import with_stay_history
@@ -201,22 +201,26 @@ def chain_code_join(spark, sf_dir):
     return joined.groupBy("subject_id", "chain_id", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
+cte(
+    "common_stay_codes",
+    """SELECT code FROM (SELECT code, count(*) AS n FROM stay_codes GROUP BY 1) WHERE n >= (SELECT count(*) / count(DISTINCT code)::DOUBLE FROM stay_codes)""",
+    "stay_codes",
+)
+
+
 @query(
     "unseen_codes_per_chain",
     sql(
-        """SELECT subject_id, chain_id, count(*) AS n_events, count(*) FILTER (WHERE code NOT IN (SELECT code FROM stay_codes WHERE stay_id % 2 = 0 AND code < 'C2')) AS unseen FROM chain_events GROUP BY 1, 2""",
+        """SELECT subject_id, chain_id, count(*) AS n_events, count(*) FILTER (WHERE code NOT IN (SELECT code FROM common_stay_codes)) AS unseen FROM chain_events GROUP BY 1, 2""",
         "chain_events",
+        "common_stay_codes",
     ),
 )
 def unseen_codes_per_chain(spark, sf_dir):
     """Events whose code a vocabulary does not have; this source maps them to id 3."""
-    known = (
-        stay_codes(spark, sf_dir)
-        .where((F.pmod("stay_id", F.lit(2)) == 0) & (F.col("code") < "C2"))
-        .select("code")
-        .distinct()
-        .withColumn("id", F.lit(UNSEEN_ID + 2))
-    )
+    counts = stay_codes(spark, sf_dir).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    common = counts.agg(F.sum("n") / F.count(F.lit(1))).first()[0]
+    known = counts.where(F.col("n") >= F.lit(common)).select("code", F.lit(FIRST_CODE_ID).alias("id"))
     events = lookup_join(chain_events(spark, sf_dir), known, ["code"], "left")
     return events.groupBy("subject_id", "chain_id").agg(
         F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("id").isNull()).alias("unseen")

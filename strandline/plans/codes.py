@@ -41,24 +41,24 @@ def encoded_arrays(spark, sf_dir):
 
 
 cte(
-    "small_vocab",
-    f"""SELECT code, (3 + row_number() OVER (ORDER BY first_year, code))::INT AS id
-FROM (SELECT code, min(year) AS first_year FROM code_rows WHERE side = 'dx' AND year = 1995 AND code < 'P' GROUP BY 1)""",
-    "code_rows",
+    "common_codes",
+    "SELECT code, id FROM vocab WHERE side = 'dx' AND n >= (SELECT avg(n) FROM vocab WHERE side = 'dx')",
+    "vocab",
 )
 
 
 @query(
     "unseen_code_audit",
     sql(
-        "SELECT code, count(*) AS n FROM code_rows WHERE side = 'dx' AND code <> '' AND code NOT IN (SELECT code FROM small_vocab) GROUP BY 1",
-        "small_vocab",
+        "SELECT code, count(*) AS n FROM code_rows WHERE side = 'dx' AND code <> '' AND code NOT IN (SELECT code FROM common_codes) GROUP BY 1",
+        "common_codes",
     ),
 )
 def unseen_code_audit(spark, sf_dir):
-    """Codes outside a vocabulary that was frozen early, with their frequency."""
+    """Codes outside a frozen vocabulary that kept the more common half, with their frequency."""
     rows = C.code_rows(admissions(spark, sf_dir), ["enc_id", "year"], "dx")
-    frozen = C.fit_vocabulary(rows.where(F.col("code") < "P"), "year", [1995])
+    fitted = vocabulary(spark, sf_dir, "dx")
+    frozen = fitted.where(F.col("n") >= F.lit(fitted.agg(F.avg("n")).first()[0]))
     return C.unseen_audit(C.encode_rows(rows, frozen))
 
 

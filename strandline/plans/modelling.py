@@ -13,7 +13,7 @@ from strandline.operators.codes import frequent_codes
 from strandline.operators.features import fit_levels, fit_numeric
 from strandline.operators.joins import checked_join
 from strandline.plans.bindings import encoded, scored_documents, scored_lines
-from strandline.plans.evaluation import newton_sql
+from strandline.plans.evaluation import metrics_sql, newton_sql
 from strandline.plans.linkage import episodes, histories
 from strandline.plans.registry import cte, query, rounded, sql
 from strandline.plans.stages import staged
@@ -26,6 +26,7 @@ NUMERIC = (
 CATEGORICAL = ("female", "payer")
 BAGS = ("dx_ids", "pr_ids")
 BOOST_ROUNDS = 5
+MINIMUM = 20
 GROUPS = {"no_prior": [c for c in NUMERIC if c.startswith("prior_") or c == "days_since_prior"], "no_payer": ["payer"]}
 
 
@@ -49,7 +50,7 @@ def split(rows):
     return rows.where("year <= 1998"), rows.where("year > 1998")
 
 
-def design(spark, sf_dir, columns=None, bags=BAGS, minimum=20):
+def design(spark, sf_dir, columns=None, bags=BAGS, minimum=MINIMUM):
     """Feature vectors; all state is fitted on the development years."""
     rows = model_rows(spark, sf_dir)
     columns = columns if columns is not None else [*NUMERIC, *CATEGORICAL]
@@ -65,7 +66,42 @@ def full_design(spark, sf_dir):
     return design(spark, sf_dir).select("enc_id", "year", "y", "features")
 
 
-@query("sparse_design_table")
+_PRIOR = [c for c in NUMERIC if c.startswith("prior_") or c == "days_since_prior"]
+_PLAIN = [c for c in NUMERIC if c not in _PRIOR]
+cte(
+    "model_rows",
+    f"""SELECT e.enc_id, e.year, {', '.join(f'e.{c}::DOUBLE AS {c}' for c in _PLAIN)}, {', '.join(f'h.{c}::DOUBLE AS {c}' for c in _PRIOR)},
+  e.female, e.payer, (e.planned_status = 1)::INT AS y, c.dx_ids, c.pr_ids
+FROM eps e JOIN hist h USING (enc_id) JOIN encoded c USING (enc_id) WHERE e.eligible""",
+    "hist",
+    "encoded",
+)
+cte(
+    "kept_ids",
+    f"""SELECT side, id FROM (SELECT 'dx' AS side, enc_id, unnest(dx_ids) AS id FROM model_rows WHERE year <= 1998
+  UNION ALL SELECT 'pr', enc_id, unnest(pr_ids) FROM model_rows WHERE year <= 1998) WHERE id > 3 GROUP BY 1, 2 HAVING count(DISTINCT enc_id) >= {MINIMUM}""",
+    "model_rows",
+)
+cte(
+    "row_ids",
+    """SELECT enc_id, count(*) AS n FROM (SELECT DISTINCT enc_id, side, id FROM (SELECT enc_id, 'dx' AS side, unnest(dx_ids) AS id FROM model_rows
+  UNION ALL SELECT enc_id, 'pr', unnest(pr_ids) FROM model_rows)) JOIN kept_ids USING (side, id) GROUP BY 1""",
+    "kept_ids",
+)
+
+
+@query(
+    "sparse_design_table",
+    sql(
+        f"""WITH med AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS {c}' for c in NUMERIC)} FROM model_rows WHERE year <= 1998)
+SELECT r.enc_id, r.y, (2 * {len(NUMERIC)} + (SELECT count(DISTINCT female) + 2 + count(DISTINCT payer) + 2 FROM model_rows WHERE year <= 1998)
+    + (SELECT count(*) FROM kept_ids))::INT AS width,
+  ({' + '.join(f'(r.{c} IS NULL OR r.{c} <> med.{c})::INT' for c in NUMERIC)} + 2 + coalesce(i.n, 0))::INT AS filled
+FROM model_rows r LEFT JOIN row_ids i USING (enc_id), med""",
+        "model_rows",
+        "row_ids",
+    ),
+)
 def sparse_design_table(spark, sf_dir):
     """Size and number of filled cells of every feature vector."""
     filled = vector_to_array("features")
@@ -113,7 +149,23 @@ def boosted_trees_grid(spark, sf_dir):
     return rounded(report(spark, reports, chosen))
 
 
-@query("candidate_validity")
+_CASES = {"sound": "p_fine", "constant": "0.3::DOUBLE", "reversed": "1 - p_fine"}
+cte(
+    "cases",
+    " UNION ALL ".join(f"SELECT '{n}' AS name, y_any AS y, {p} AS p FROM scored" for n, p in _CASES.items()),
+    "scored",
+)
+
+
+@query(
+    "candidate_validity",
+    sql(
+        f"""SELECT name, auroc, spread > 1e-7 AND auroc >= 0.5 AS valid,
+  concat_ws(';', CASE WHEN spread <= 1e-7 THEN 'degenerate_prediction_distribution' END, CASE WHEN auroc < 0.5 THEN 'inverse_or_undefined_ranking' END) AS reasons
+FROM ({metrics_sql("cases", "name", "1.0::DOUBLE")}) JOIN (SELECT name, max(p) - min(p) AS spread FROM cases GROUP BY 1) USING (name)""",
+        "cases",
+    ),
+)
 def candidate_validity(spark, sf_dir):
     """Gates on a sound score, a constant one and a reversed one."""
     rows = materialise(scored_lines(spark, sf_dir).select(F.col("y_any").alias("y"), F.col("p_fine").alias("p")), "scores")

@@ -189,15 +189,12 @@ def duplicate_keys(spark, sf_dir):
     return K.key_repeats(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query(
-    "schema_contract",
-    "SELECT n_nationkey, n_name, n_regionkey FROM nation",
-)
+@query("schema_contract", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def schema_contract(spark, sf_dir):
-    schema = T.StructType(
-        [T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())]
-    )
-    return K.require_schema(table(spark, sf_dir, "nation"), schema)
+    kinds = {"c_custkey": T.LongType(), "c_name": T.StringType(), "c_nationkey": T.IntegerType()}
+    kinds |= {"c_acctbal": T.DoubleType(), "c_mktsegment": T.StringType()}
+    schema = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+    return K.require_schema(table(spark, sf_dir, "customer"), schema)
 
 
 @query(

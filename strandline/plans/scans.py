@@ -236,10 +236,10 @@ def report_files(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
-@query("publish_once", "SELECT n_nationkey, n_name, true AS refused FROM nation")
+@query("publish_once", "SELECT o_orderkey, o_custkey, true AS refused FROM orders")
 def publish_once(spark, sf_dir):
     path = scratch_path(spark, "published")
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     W.publish(spark, path, lambda p: W.write_table(rows, p))
     try:
         W.publish(spark, path, lambda p: W.write_table(rows, p))
