@@ -41,6 +41,16 @@ def require_schema(df: DataFrame, schema: T.StructType, exact: bool = True) -> D
     return df
 
 
+def required(df: DataFrame, *columns: str) -> DataFrame:
+    """Stop the job where one of the columns is null.
+
+    For keys of joins and groups: a null key would meet no partner, and its
+    rows would silently go missing.  Label missing levels first.
+    """
+    guard = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} must not be null"))).otherwise(F.col(c))
+    return df.withColumns({c: guard(c) for c in dict.fromkeys(columns)})
+
+
 def require_no_columns(df: DataFrame, forbidden: Sequence[str] = DIRECT_IDENTIFIERS, tokens: Sequence[str] = ()) -> DataFrame:
     """No forbidden column, and none whose name contains a forbidden token."""
     bad = [

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.values import clip, ratio
+from strandline.operators.contracts import required
 from strandline.operators.ordering import (
     RANGE_ROWS,
     midpoint_quantiles,
@@ -65,7 +66,7 @@ def score_table(df: DataFrame, groups: Sequence[str], p: str, y: str, weight: st
     """One row per (group, score): rows, events and their weights."""
     w = F.col(weight) if weight else F.lit(1.0)
     event = F.col(y) == 1
-    return df.groupBy(*groups, F.col(p).alias("p")).agg(
+    return required(df, *groups, p, y).groupBy(*groups, F.col(p).alias("p")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(event).alias("events"),
         F.sum(F.when(event, w).otherwise(0.0)).alias("pos"),

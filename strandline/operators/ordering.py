@@ -17,6 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.contracts import required
 from strandline.operators.skew import lookup_join
 from strandline.session import materialise
 
@@ -95,6 +96,7 @@ def running_rows(
     by (group, lead, range of tie).
     """
     groups, lead, measures = list(groups), list(lead), list(measures)
+    df = required(df, *groups, *lead, tie)
     tie_edges = range_edges(df, tie, rows)
     if not tie_edges:  # no more than ``rows`` rows altogether
         w = Window.partitionBy(*groups).orderBy(*lead, tie).rowsBetween(Window.unboundedPreceding, 0)
@@ -146,6 +148,7 @@ def dense_index(
     """
     groups, cell, order = list(groups), list(cell), list(order)
     keys = [*groups, *cell]
+    df = required(df, *keys, *order)
     cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*groups).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
@@ -162,7 +165,7 @@ def dense_index(
 def value_counts(df: DataFrame, groups: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """One row per (group, value): ``n`` rows and their weight ``w``."""
     w = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
-    return df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"), w.alias("w"))
+    return required(df, *groups, value).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"), w.alias("w"))
 
 
 def _ranked(df: DataFrame, groups: list[str], value: str, weight: str | None, rows: int) -> DataFrame:
@@ -242,7 +245,7 @@ def midpoint_points(df: DataFrame, groups: Sequence[str], value: str, weight: st
     one value are ordered by ``tie``; only the outer two matter for
     interpolation, so the collapsed table carries just those.
     """
-    df, keys = _single(df, groups)
+    df, keys = _single(required(df, *groups, value, weight, tie), groups)
     collapsed = df.groupBy(*keys, value).agg(
         F.sum(weight).alias("w"),
         F.min_by(weight, tie).alias("_first"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.ids import draw
 from strandline.functions.values import ratio
+from strandline.operators.contracts import required
 from strandline.operators.metrics import confusion, operating_rates, summarise_scores
 from strandline.operators.ordering import RANGE_ROWS, dense_index, range_edges
 from strandline.operators.skew import lookup_join, spread_join
@@ -27,7 +28,7 @@ def draw_table(clusters: DataFrame, strata: Sequence[str], cluster: str, replica
     many replicates be worked off in blocks.
     """
     strata = list(strata)
-    members = clusters.select(*strata, cluster).distinct().withColumn(
+    members = required(clusters.select(*strata, cluster).distinct(), *strata, cluster).withColumn(
         "_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*strata, cluster)]))
     )
     members = members.withColumn("_lead", F.substring("_hash", 1, 3))
@@ -51,7 +52,7 @@ def replicate_scores(df: DataFrame, draws: DataFrame, groups: Sequence[str], on:
     """
     w = F.col(weight) if weight else F.lit(1.0)
     event = F.col(y) == 1
-    per_cluster = df.groupBy(*groups, *on, F.col(p).alias("p")).agg(
+    per_cluster = required(df, *groups, *on, p, y).groupBy(*groups, *on, F.col(p).alias("p")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(event).alias("events"),
         F.sum(F.when(event, w).otherwise(0.0)).alias("pos"),
@@ -77,7 +78,7 @@ def replicate_sums(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: S
 
     ``by`` names columns of ``on`` that the result keeps apart as well.
     """
-    per_cluster = materialise(df.groupBy(*groups, *on).agg(*[c.alias(n) for n, c in sums.items()]), "cluster_sums")
+    per_cluster = materialise(required(df, *groups, *on).groupBy(*groups, *on).agg(*[c.alias(n) for n, c in sums.items()]), "cluster_sums")
     met = per_cluster.join(draws, list(on))
     return met.groupBy("replicate", *groups, *by).agg(*[F.sum(F.col(n) * F.col("mult")).alias(n) for n in sums])
 

@@ -99,3 +99,20 @@ def test_lookup_join_beyond_the_bound(spark):
     small = skew.lookup_join(left, right, ["k"], "left", rows=100)
     large = skew.lookup_join(left, right, ["k"], "left", rows=2)
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
+def test_running_rows_without_groups(df, rows):
+    out = {r["id"]: r["cum_w"] for r in O.running_rows(df, [], ["v"], "id", ["w"], rows=7).collect()}
+    total = 0.0
+    for i, _, _, w in sorted(rows, key=lambda r: (r[2], r[0])):
+        total += w
+        assert out[i] == pytest.approx(total)
+    assert len(out) == len(rows)
+
+
+def test_null_keys_stop_instead_of_losing_rows(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, 1, 3.0)], "id long, g int, v double")
+    with pytest.raises(Exception, match="g must not be null"):
+        O.linear_quantile(df, ["g"], "v", 0.5).collect()
+    with pytest.raises(Exception, match="g must not be null"):
+        O.order_number(df, ["g"], ["v"], "id").collect()
