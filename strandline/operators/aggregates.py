@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,8 +23,8 @@ def weighted_sd(value: Column, weight: Column) -> Column:
 def level_shares(df: DataFrame, level: str, weight: str, levels: Sequence[str]) -> DataFrame:
     """Weight share of every listed level; a level without rows has share 0."""
     found = df.groupBy(F.col(level).alias("level")).agg(F.sum(weight).alias("w"))
-    total = F.sum("w").over(Window.partitionBy(F.lit(0)))  # over the few levels, after aggregation
-    shares = found.select("level", (F.col("w") / total).alias("share"))
+    total = df.agg(F.sum(weight)).first()[0]
+    shares = found.select("level", F.try_divide(F.col("w"), F.lit(total).cast("double")).alias("share"))
     wanted = df.sparkSession.createDataFrame([(x,) for x in levels], "level string")
     return wanted.join(shares, "level", "left").select("level", F.coalesce("share", F.lit(0.0)).alias("share"))
 

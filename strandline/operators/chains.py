@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.text import is_transfer_place, parse_timestamp
 from strandline.layout import Stay
 from strandline.operators.history import DAY_US
-from strandline.operators.linkage import range_summary, running_max
+from strandline.operators.linkage import running, running_max
 from strandline.session import materialise
 
 
@@ -130,10 +130,15 @@ def with_chain_label(
         F.when(F.col(state) == "algorithm_unknown", place).alias("_x"),
     ).groupBy(who, "axis").agg(F.min("_u").alias("_u"), F.min("_x").alias("_x"))
     rows = index.withColumn("axis", F.unix_micros(layout.end))
-    found = range_summary(
-        cells, rows, [who], "axis", {"ahead": (1, days * DAY_US)},
-        {"_unplanned": ("ahead", F.min("_u")), "_unknown": ("ahead", F.min("_x"))},
-    )
+    # the first chain after an end is the smallest one behind it, walking from the far end;
+    # at equal times the point comes first, so a chain that begins at the end is not seen
+    marks = cells.withColumn("_chain", F.lit(1)).unionByName(
+        rows.select(who, "axis").distinct().withColumn("_chain", F.lit(0)), allowMissingColumns=True
+    ).withColumn("_hour", F.date_trunc("hour", F.timestamp_micros("axis")))
+    nearest = {"_unplanned": ("min", F.col("_u")), "_unknown": ("min", F.col("_x"))}
+    found = running(marks, [who], "_hour", [F.desc("axis"), "_chain"], nearest, backward=True).where(F.col("_chain") == 0)
+    in_reach = lambda c: F.when(c["at"] - F.col("axis") <= days * DAY_US, c)
+    found = found.select(who, "axis", *[in_reach(F.col(c)).alias(c) for c in nearest])
     out = rows.join(found, [who, "axis"], "left")
     unplanned, unknown = F.col("_unplanned"), F.col("_unknown")
     first = lambda c: F.struct(c["at"], c["chain"])

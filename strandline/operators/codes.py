@@ -46,17 +46,28 @@ def encode_rows(rows: DataFrame, vocabulary: DataFrame, unseen: int = UNSEEN_ID)
     ).drop("_id")
 
 
-def encode_array(df: DataFrame, key: str, codes: str, vocabulary: DataFrame, out: str) -> DataFrame:
-    """Code array to id array, position by position.
+def encode_arrays(df: DataFrame, key: str, columns: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Code arrays to id arrays, position by position.
 
-    An encounter has a fixed number of code positions, so regrouping by its key
-    collects at most that many ids.
+    ``columns`` maps an array column to its vocabulary and the name of the ids.
+    All arrays of a row are taken apart together, so their rows move once to be
+    grouped again and once to meet the table.
     """
-    coded = encode_rows(code_rows(df, [key], codes), vocabulary)
-    arrays = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_a"))
-    arrays = arrays.select(key, F.col("_a.id").alias(out))
+    rows = df.select(key, F.posexplode(F.arrays_zip(*columns)).alias("pos", "_z"))
+    for column, (vocabulary, out) in columns.items():
+        rows = rows.withColumn("code", normalize_code(F.col("_z")[column]))
+        rows = encode_rows(rows, vocabulary).withColumnRenamed("id", out).drop("code")
+    outs = [out for _, out in columns.values()]
+    arrays = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", *outs))).alias("_a"))
+    joined = df.join(arrays, key, "left")
     empty = F.array().cast("array<int>")
-    return df.join(arrays, key, "left").withColumn(out, F.coalesce(out, empty))
+    # a shorter array was filled up beside a longer one
+    ids = {out: F.when(F.size(c) > 0, F.slice(F.col("_a")[out], F.lit(1), F.size(c))).otherwise(empty) for c, (_, out) in columns.items()}
+    return joined.withColumns(ids).drop("_a")
+
+
+def encode_array(df: DataFrame, key: str, codes: str, vocabulary: DataFrame, out: str) -> DataFrame:
+    return encode_arrays(df, key, {codes: (vocabulary, out)})
 
 
 def unseen_audit(encoded: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.layout import MISSING_LEVEL, UNSEEN_LEVEL
-from strandline.operators.drift import frozen_levels
 from strandline.operators.ordering import linear_quantile
 
 
@@ -58,13 +57,22 @@ def scaled(state: NumericState, centre: str = "median") -> tuple[Column, Column]
 
 
 def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
-    return {c: frozen_levels(df, c) for c in columns}
+    """All observed levels of each column in text order; they are part of the model."""
+    return {
+        c: tuple(r["v"] for r in df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().orderBy("v").collect())
+        for c in columns
+    }
+
+
+def frozen_level(column: str, levels: Sequence[str]) -> Column:
+    """The level as text; a null is the missing level, any other new value the unseen one."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(MISSING_LEVEL))
+    return F.when(text.isin(list(levels)) | (text == MISSING_LEVEL), text).otherwise(UNSEEN_LEVEL)
 
 
 def one_hot(column: str, levels: Sequence[str]) -> Column:
     """Array over the frozen levels in text order, then missing, then unseen."""
-    text = F.coalesce(F.col(column).cast("string"), F.lit(MISSING_LEVEL))
-    seen = F.when(text.isin(list(levels)) | (text == MISSING_LEVEL), text).otherwise(UNSEEN_LEVEL)
+    seen = frozen_level(column, levels)
     return F.array(*[(seen == level).cast("double") for level in (*levels, MISSING_LEVEL, UNSEEN_LEVEL)])
 
 

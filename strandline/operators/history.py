@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.arrays import real_ids
 from strandline.layout import Encounter, Stay
-from strandline.operators.linkage import range_summary, running_max
-from strandline.operators.skew import crowded, spread_join
+from strandline.operators.linkage import range_summary, running
+from strandline.operators.skew import crowded, lookup_join, spread_join
 
 DAY_US = 86_400_000_000
 
@@ -109,59 +109,42 @@ def with_stay_history(
     """
     who = layout.entity
     begin, end = F.unix_micros(layout.begin), F.unix_micros(layout.end)
-    cells = chains.select(
-        who, end.alias("axis"), (end - begin).alias("stay_us"), *sums
-    ).groupBy(who, "axis").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("stay_us").alias("stay_us"), *[F.sum(s).alias(s) for s in sums]
+    measures = ["n", "stay_us", *sums]
+    cells = chains.select(who, end.alias("axis"), (end - begin).alias("stay_us"), *sums).groupBy(who, "axis").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in measures[1:]]
     )
     rows = index.withColumn("axis", begin)
-    found = range_summary(
-        cells,
-        rows,
-        [who],
-        "axis",
-        {d: (-int(d[:-1]) * DAY_US, -1) for d in ("30d", "90d", "180d")},
-        {
-            **{f"prior_count_{d}": (d, F.sum("n")) for d in ("30d", "90d", "180d")},
-            "_stay_us": ("180d", F.sum("stay_us")),
-            **{f"prior_{s}_180d": ("180d", F.sum(s)) for s in sums},
-        },
+    # a frame is the difference of two running totals: at the begin, and where the frame starts
+    year = F.unix_micros(F.date_trunc("year", F.timestamp_micros("axis")))
+    starts = {"now": F.col("axis"), "ytd": year, **{d: F.col("axis") - int(d[:-1]) * DAY_US for d in ("30d", "90d", "180d")}}
+    probes = rows.select(who, "axis").distinct().select(
+        who,
+        F.col("axis").alias("_at"),
+        F.inline(F.array(*[F.struct(F.lit(name).alias("_name"), at.alias("axis")) for name, at in starts.items()])),
     )
-    # chains that ended earlier in the year the index begins
-    year = lambda axis: F.year(F.timestamp_micros(axis))
-    in_year = range_summary(
-        cells.withColumn("_year", year(F.col("axis"))),
-        rows.withColumn("_year", year(F.col("axis"))),
-        [who, "_year"],
-        "axis",
-        {"ytd": (None, -1)},
-        {"prior_count_ytd": ("ytd", F.sum("n"))},
-    ).drop("_year")
-    marks = cells.select(who, "axis", F.lit(1).alias("_is_end")).unionByName(
-        rows.select(who, "axis", F.lit(0).alias("_is_end")).distinct()
-    ).withColumn("_month", F.date_trunc("month", F.timestamp_micros("axis")))
-    # at equal times the index comes first, so an end at its begin is not seen
-    last = (
-        running_max(marks, [who], "_month", ["axis", "_is_end"], F.when(F.col("_is_end") == 1, F.col("axis")), "_last")
-        .where(F.col("_is_end") == 0)
-        .select(who, "axis", "_last")
+    marks = cells.withColumn("_end", F.lit(1)).unionByName(probes.withColumn("_end", F.lit(0)), allowMissingColumns=True)
+    marks = marks.withColumn("_hour", F.date_trunc("hour", F.timestamp_micros("axis")))
+    # at equal times the probe comes first, so an end at its time is not seen
+    before = {f"_before_{m}": ("sum", F.coalesce(F.col(m), F.lit(0))) for m in measures}
+    before["_last"] = ("max", F.when(F.col("_end") == 1, F.col("axis")))
+    seen = running(marks, [who], "_hour", ["axis", "_end"], before).where(F.col("_end") == 0)
+    at = lambda name, m: F.max(F.when(F.col("_name") == name, F.col(m)))
+    frames = [("30d", "n"), ("90d", "n"), ("180d", "n"), ("ytd", "n"), ("180d", "stay_us"), *[("180d", m) for m in sums]]
+    found = seen.groupBy(who, F.col("_at").alias("axis")).agg(
+        at("now", "_last").alias("_last"),
+        *[(at("now", f"_before_{m}") - at(d, f"_before_{m}")).alias(f"_{m}_{d}") for d, m in frames],
     )
     first_seen = chains.groupBy(who).agg(F.min(begin).alias("_first"))
-    out = (
-        rows.join(found, [who, "axis"], "left")
-        .join(in_year, [who, "axis"], "left")
-        .join(last, [who, "axis"], "left")
-        .join(first_seen, who, "left")
-    )
-    counts = [f"prior_count_{d}" for d in ("30d", "90d", "180d", "ytd")] + [f"prior_{s}_180d" for s in sums]
+    out = lookup_join(rows.join(found, [who, "axis"], "left"), first_seen, [who], "left")
     return out.withColumns(
         {
-            **{c: F.coalesce(F.col(c), F.lit(0)) for c in counts},
-            "prior_stay_days_180d": F.coalesce("_stay_us", F.lit(0)) / DAY_US,
+            **{f"prior_count_{d}": F.coalesce(f"_n_{d}", F.lit(0)) for d in ("30d", "90d", "180d", "ytd")},
+            **{f"prior_{m}_180d": F.coalesce(f"_{m}_180d", F.lit(0)) for m in sums},
+            "prior_stay_days_180d": F.coalesce("_stay_us_180d", F.lit(0)) / DAY_US,
             "days_since_prior": (F.col("axis") - F.col("_last")) / DAY_US,
             **{
                 f"seen_{d}": (F.col("axis") - F.col("_first") >= int(d[:-1]) * DAY_US).cast("int")
                 for d in ("30d", "90d", "180d")
             },
         }
-    ).drop("axis", "_last", "_first", "_stay_us")
+    ).drop("axis", "_last", "_first", *[f"_{m}_{d}" for d, m in frames])

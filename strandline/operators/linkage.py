@@ -62,32 +62,51 @@ def range_summary(
     return found.where("_query").drop("_query")
 
 
-def running_max(
+def running(
     df: DataFrame,
     keys: Sequence[str],
     cell: str,
-    order: Sequence[str],
-    value: Column,
-    out: str,
+    order: Sequence[str | Column],
+    values: Mapping[str, tuple[str, Column]],
     include_current: bool = False,
+    backward: bool = False,
 ) -> DataFrame:
-    """Largest value so far in each group, in the order (cell, order).
+    """Sums, largest or smallest values over all earlier rows of each group, in the order (cell, order).
 
-    ``cell`` cuts the order axis of a group into parts, for instance hours;
-    only the maxima of whole cells are carried from one part to the next.
+    ``values`` maps a new column to one of sum, max and min, and an expression.
+    ``cell`` cuts the order axis of a group into parts, for instance hours; only
+    the totals of whole cells are carried from one part to the next, so a group
+    of any size is many short windows.  ``backward`` runs from the last cell to
+    the first; ``order`` is then the order inside a cell as it is walked.
     """
     keys = list(keys)
-    marked = df.withColumn("_value", value)
-    cells = marked.groupBy(*keys, cell).agg(F.max("_value").alias("_whole"))
-    earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    carry = cells.select(*keys, cell, F.max("_whole").over(earlier).alias("_carry"))
-    inside = (
-        Window.partitionBy(*keys, cell)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    total = {"sum": F.sum, "max": F.max, "min": F.min}
+    none = {"sum": lambda c: F.coalesce(c, F.lit(0)), "max": lambda c: c, "min": lambda c: c}
+    both = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
+    marked = df.withColumns({f"_{n}": v for n, (_, v) in values.items()})
+    cells = marked.groupBy(*keys, cell).agg(*[total[how](f"_{n}").alias(f"_whole_{n}") for n, (how, _) in values.items()])
+    along = F.desc(cell) if backward else F.asc(cell)
+    earlier = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cells.select(
+        *keys, cell, *[none[how](total[how](f"_whole_{n}").over(earlier)).alias(f"_carry_{n}") for n, (how, _) in values.items()]
     )
-    local = marked.join(carry, [*keys, cell]).withColumn("_local", F.max("_value").over(inside))
-    return local.withColumn(out, F.greatest("_carry", "_local")).drop("_value", "_carry", "_local")
+    inside = Window.partitionBy(*keys, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    found = {n: both[how](F.col(f"_carry_{n}"), none[how](total[how](f"_{n}").over(inside))) for n, (how, _) in values.items()}
+    joined = marked.join(carry, [*keys, cell])
+    return joined.select(*df.columns, *[c.alias(n) for n, c in found.items()])
+
+
+def running_max(
+    df: DataFrame,
+    keys: Sequence[str],
+    cell: str,
+    order: Sequence[str | Column],
+    value: Column,
+    out: str,
+    include_current: bool = False,
+) -> DataFrame:
+    """Largest value so far in each group, in the order (cell, order)."""
+    return running(df, keys, cell, order, {out: ("max", value)}, include_current)
 
 
 # cells --------------------------------------------------------------------

@@ -24,7 +24,7 @@ from strandline.operators.ordering import (
 from strandline.operators.skew import lookup_join
 from strandline.session import materialise
 
-FIT_GROUPS = 200_000
+FIT_STEPS = 3  # Newton steps between two written states
 
 
 def scores_long(df: DataFrame, keep: Sequence[str], pairs: Mapping[tuple[str, str], tuple[str, str]]) -> DataFrame:
@@ -74,7 +74,7 @@ def score_table(df: DataFrame, groups: Sequence[str], p: str, y: str, weight: st
     )
 
 
-def summarise_scores(table: DataFrame, groups: Sequence[str], rows: int = RANGE_ROWS, edges: Sequence[float] | None = None, eps: float = 1e-15) -> DataFrame:
+def summarise_scores(table: DataFrame, groups: Sequence[str], rows: int = RANGE_ROWS, edges: Sequence[str | float] | None = None, eps: float = 1e-15) -> DataFrame:
     """Discrimination and error metrics from a score table.
 
     AUROC counts ties half; average precision steps once per distinct score.
@@ -83,7 +83,7 @@ def summarise_scores(table: DataFrame, groups: Sequence[str], rows: int = RANGE_
     groups = list(groups)
     down = table.withColumn("_neg", -F.col("p")).withColumn("all", F.col("pos") + F.col("neg"))
     if edges is not None:
-        edges = sorted(-e for e in edges)
+        edges = sorted(-float(e) for e in edges)
     cum = running_totals(down, groups, "_neg", ["pos", "neg", "all"], rows, edges)
     p, q = F.col("p"), clip(F.col("p"), eps)
     pos, neg = F.col("pos"), F.col("neg")
@@ -162,10 +162,10 @@ def fit_logit(table: DataFrame, groups: Sequence[str], eps: float = 1e-7, steps:
     """Intercept and slope of y on logit(p), one unpenalised fit per group.
 
     ``table`` is a score table.  Each Newton step is one grouped aggregate of
-    five sums; only the two numbers per group pass through the driver.  Groups
-    that cannot be identified get nulls.
+    five sums.  The state of the groups is a table, written every few steps, and
+    the loop ends when no group is open.  Groups that cannot be identified get
+    nulls.
     """
-    spark = table.sparkSession
     groups = list(groups)
     keys = groups or ["_all"]
     table = table if groups else table.withColumn("_all", F.lit(0))
@@ -174,50 +174,49 @@ def fit_logit(table: DataFrame, groups: Sequence[str], eps: float = 1e-7, steps:
         table.select(*keys, F.log(q / (1 - q)).alias("x"), "pos", "neg").where(F.col("pos") + F.col("neg") > 0),
         "logits",
     )
-    state = {tuple(r): (0.0, 1.0) for r in points.select(*keys).distinct().limit(FIT_GROUPS + 1).collect()}
-    if len(state) > FIT_GROUPS:
-        raise ValueError(f"more than {FIT_GROUPS} groups; fit them in blocks")
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema)
-    done: dict[tuple, tuple] = {}
     x = F.col("x")
     mu = 1 / (1 + F.exp(-F.least(F.greatest(F.col("b0") + F.col("b1") * x, F.lit(-35.0)), F.lit(35.0))))
     weight = F.col("pos") + F.col("neg")
     rest = F.col("pos") - weight * F.col("mu")
     curve = weight * F.greatest(F.col("mu") * (1 - F.col("mu")), F.lit(1e-12))
-    for _ in range(steps):
-        if not state:
-            break
-        current = spark.createDataFrame([(*k, *b) for k, b in state.items()], f"{key_schema}, b0 double, b1 double")
+    det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
+    moved = [
+        (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / F.col("det"),
+        (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / F.col("det"),
+    ]
+    status = F.when(F.col("d0").isNull(), "UNIDENTIFIED").when(F.greatest(F.abs("d0"), F.abs("d1")) < tolerance, "OK")
+
+    def step(state: DataFrame) -> DataFrame:
+        """One more step for groups without a status."""
         sums = (
-            points.join(F.broadcast(current), keys)
+            lookup_join(points, state.where("status IS NULL"), keys, "inner")
             .withColumn("mu", mu)
-            .groupBy(*keys)
+            .groupBy(*keys, "b0", "b1")
             .agg(
                 F.sum(rest).alias("g0"), F.sum(rest * x).alias("g1"),
                 F.sum(curve).alias("h00"), F.sum(curve * x).alias("h01"), F.sum(curve * x * x).alias("h11"),
             )
-            .collect()
+            .withColumn("det", F.when(det > 1e-12, det))
+            .withColumns({"d0": moved[0], "d1": moved[1]})
+            .withColumns({"b0": F.col("b0") + F.col("d0"), "b1": F.col("b1") + F.col("d1"), "status": status})
         )
-        for row in sums:
-            k = tuple(row[c] for c in keys)
-            det = row["h00"] * row["h11"] - row["h01"] ** 2
-            if not det > 1e-12:
-                done[k] = (None, None, "UNIDENTIFIED")
-                del state[k]
-                continue
-            d0 = (row["h11"] * row["g0"] - row["h01"] * row["g1"]) / det
-            d1 = (row["h00"] * row["g1"] - row["h01"] * row["g0"]) / det
-            b0, b1 = state[k]
-            state[k] = (b0 + d0, b1 + d1)
-            if max(abs(d0), abs(d1)) < tolerance:
-                done[k] = (*state.pop(k), "OK")
-    for k in state:
-        done[k] = (None, None, "NOT_CONVERGED")
-    out = spark.createDataFrame(
-        [(*k, *v) for k, v in done.items()],
-        f"{key_schema}, calibration_intercept double, calibration_slope double, calibration_status string",
+        return state.where("status IS NOT NULL").unionByName(sums.select(*state.columns))
+
+    state = points.select(*keys).distinct().withColumns({"b0": F.lit(0.0), "b1": F.lit(1.0), "status": F.lit(None).cast("string")})
+    state = materialise(state, "newton")
+    for done in range(0, steps, FIT_STEPS):
+        if state.where("status IS NULL").isEmpty():
+            break
+        for _ in range(min(FIT_STEPS, steps - done)):
+            state = step(state)
+        state = materialise(state, "newton")
+    found = F.col("status") == "OK"
+    return state.select(
+        *groups,
+        F.when(found, F.col("b0")).alias("calibration_intercept"),
+        F.when(found, F.col("b1")).alias("calibration_slope"),
+        F.coalesce("status", F.lit("NOT_CONVERGED")).alias("calibration_status"),
     )
-    return out.select(*groups, "calibration_intercept", "calibration_slope", "calibration_status")
 
 
 def decile_cuts(df: DataFrame, groups: Sequence[str], p: str, weight: str, tie: str, bins: int = 10) -> DataFrame:
@@ -246,7 +245,7 @@ def with_weighted_bin(df: DataFrame, groups: Sequence[str], p: str, weight: str,
 def bin_summary(binned: DataFrame, groups: Sequence[str], p: str, y: str, weight: str, bin_: str = "bin") -> DataFrame:
     """Predicted and observed weighted mean per bin."""
     w = F.col(weight)
-    return binned.groupBy(*groups, bin_).agg(
+    return required(binned, *groups, bin_, p, y, weight).groupBy(*groups, bin_).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(w).alias("weight_sum"),
         (F.sum(w * F.col(p)) / F.sum(w)).alias("predicted"),
@@ -310,7 +309,7 @@ def operating_rates(threshold: Column) -> dict[str, Column]:
 def threshold_report(df: DataFrame, groups: Sequence[str], p: str, y: str, weight: str, threshold: str) -> DataFrame:
     """Confusion weights and rates per group; ``threshold`` is a column of the group."""
     sums = confusion(F.col(p), F.col(y), F.col(weight), F.col(threshold))
-    out = df.groupBy(*groups, threshold).agg(*[c.alias(n) for n, c in sums.items()])
+    out = required(df, *groups, threshold, p, y, weight).groupBy(*groups, threshold).agg(*[c.alias(n) for n, c in sums.items()])
     return out.withColumns(operating_rates(F.col(threshold)))
 
 
@@ -322,7 +321,7 @@ def decision_curve(df: DataFrame, groups: Sequence[str], p: str, y: str, weight:
     """
     groups, steps = list(groups), sorted(thresholds)
     event, w = F.col(y) == 1, F.col(weight)
-    reached = with_range(df, p, steps, "_reached")
+    reached = with_range(required(df, *groups, p, y, weight).withColumn(p, F.col(p).cast("double")), p, steps, "_reached")
     counted = reached.groupBy(*groups, "_reached").agg(
         F.sum(F.when(event, w).otherwise(0.0)).alias("pos"), F.sum(F.when(event, 0.0).otherwise(w)).alias("neg")
     )

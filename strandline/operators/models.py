@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.values import clip, logit
-from strandline.operators.features import NumericState, static_vector
+from strandline.layout import MISSING_LEVEL, UNSEEN_LEVEL
+from strandline.operators.features import NumericState, frozen_level, scaled
 from strandline.operators.metrics import binary_metrics
 
 # Fixed values: (C, share of the absolute penalty) of the elastic-net candidates.
@@ -46,36 +47,35 @@ def column_sets(static: Sequence[str], **dropped: Sequence[str]) -> dict[str, li
 def design_table(df: DataFrame, numeric: Mapping[str, NumericState], levels: Mapping[str, Sequence[str]], bags: Mapping[str, Sequence[str]], out: str = "features") -> DataFrame:
     """Add a feature vector: scaled numbers, one-hot blocks, code presence.
 
-    ``bags`` maps an array column of codes to the codes kept; they enter as a
-    sparse 0/1 block.
+    ``bags`` maps an array column of codes to the codes kept.  One-hot levels and
+    codes enter as sparse 0/1 blocks.
     """
-    staged = df.withColumn("_static", array_to_vector(static_vector(dict(numeric), dict(levels))))
-    parts = ["_static"]
-    stages = []
-    for column, kept in bags.items():
-        if not kept:
-            continue
-        name = f"_bag_{column}"
-        staged = staged.withColumn(f"_text_{column}", F.transform(column, lambda x: x.cast("string")))
-        stages.append(
-            CountVectorizerModel.from_vocabulary(
-                [str(k) for k in kept], inputCol=f"_text_{column}", outputCol=name
-            ).setBinary(True)
-        )
-        parts.append(name)
-    for stage in stages:
-        staged = stage.transform(staged)
-    joined = VectorAssembler(inputCols=parts, outputCol=out).transform(staged)
-    return joined.drop(*parts, *[f"_text_{c}" for c in bags])
+    numbers = [c for state in numeric.values() for c in scaled(state)]
+    staged, parts, texts = df, [], []
+    if numbers:
+        staged, parts = staged.withColumn("_numbers", array_to_vector(F.array(*numbers))), ["_numbers"]
+    # one-hot blocks are sparse, whatever the number of levels
+    blocks = {c: (F.array(frozen_level(c, found)), [*found, MISSING_LEVEL, UNSEEN_LEVEL]) for c, found in levels.items()}
+    blocks |= {c: (F.transform(c, lambda x: x.cast("string")), [str(k) for k in kept]) for c, kept in bags.items() if kept}
+    for column, (values, words) in blocks.items():
+        text, part = f"_text_{column}", f"_part_{column}"
+        model = CountVectorizerModel.from_vocabulary(words, inputCol=text, outputCol=part).setBinary(True)
+        staged = model.transform(staged.withColumn(text, values))
+        parts.append(part)
+        texts.append(text)
+    return VectorAssembler(inputCols=parts, outputCol=out).transform(staged).drop(*parts, *texts)
 
 
 def _probability(scored: DataFrame, out: str) -> DataFrame:
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
 
 
-def logistic(df: DataFrame, y: str, c: float = 1.0, l1_share: float = 0.0, features: str = "features", weight: str | None = None, steps: int = 200, rows: int | None = None) -> Candidate:
-    """Logistic regression with penalty 1/(C n); ``l1_share`` mixes in the absolute penalty."""
-    n = rows if rows is not None else df.count()
+def logistic(df: DataFrame, y: str, c: float = 1.0, l1_share: float = 0.0, features: str = "features", weight: str | None = None, steps: int = 2000, rows: float | None = None) -> Candidate:
+    """Logistic regression with penalty 1/(C n); ``l1_share`` mixes in the absolute penalty.
+
+    The loss is a mean over weights, so n is the sum of the weights, or the number of rows.
+    """
+    n = rows if rows is not None else df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
     options = {"weightCol": weight} if weight else {}
     estimator = LogisticRegression(
         featuresCol=features, labelCol=y, regParam=1.0 / (c * n), elasticNetParam=l1_share,
@@ -88,16 +88,20 @@ def logistic(df: DataFrame, y: str, c: float = 1.0, l1_share: float = 0.0, featu
 
 def elastic_net_grid(df: DataFrame, y: str, features: str = "features", grid: Sequence[tuple[float, float]] = ELASTIC_GRID) -> list[Candidate]:
     n = df.count()
-    return [logistic(df, y, c, l1, features, rows=n) for c, l1 in grid]
+    return [logistic(df, y, c, l1, features, steps=1500, rows=n) for c, l1 in grid]
 
 
-def boosted_grid(df: DataFrame, y: str, is_validation: str, features: str = "features", grid: Sequence[Mapping[str, Any]] = BOOSTED_GRID, rounds: int = 50, seed: int = 17) -> list[Candidate]:
-    """Boosted trees that stop once the marked validation rows no longer improve."""
+def boosted_grid(df: DataFrame, y: str, is_validation: str, features: str = "features", grid: Sequence[Mapping[str, Any]] = BOOSTED_GRID, rounds: int = 300, seed: int = 17) -> list[Candidate]:
+    """Boosted trees that stop once the marked validation rows no longer improve at all.
+
+    ``rounds`` is a bound, not the rule: a validation error that falls by less than
+    the tolerance ends a fit.
+    """
     out = []
     for number, options in enumerate(grid):
         estimator = GBTClassifier(
             featuresCol=features, labelCol=y, maxIter=rounds, seed=seed,
-            validationIndicatorCol=is_validation, **options,
+            validationIndicatorCol=is_validation, validationTol=1e-5, maxBins=127, **options,
         )
         out.append(Candidate(f"boosted_{number}", estimator.fit(df)))
     return out

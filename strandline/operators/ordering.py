@@ -13,9 +13,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.operators.contracts import required
 from strandline.operators.skew import lookup_join
@@ -23,26 +23,47 @@ from strandline.session import materialise
 
 RANGE_ROWS = 200_000
 MAX_RANGES = 4096
+SAMPLE_VALUES = 32  # per range, for edges of types that are not numbers
 
 
-def range_edges(df: DataFrame, value: str, rows: int = RANGE_ROWS) -> list[float]:
-    """Inner edges that cut ``value`` into ranges of about ``rows`` rows."""
+def range_edges(df: DataFrame, value: str, rows: int = RANGE_ROWS) -> list[str]:
+    """Inner edges, as text, that cut ``value`` into ranges of about ``rows`` rows.
+
+    Numbers are cut at approximate quantiles, other types at quantiles of a
+    sample of distinct values drawn by hash.  Infinite edges are left out.
+    """
     ranges = min(MAX_RANGES, -(-df.count() // rows))
     if ranges <= 1:
         return []
-    shares = [i / ranges for i in range(1, ranges)]
-    found = df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", shares, 0.25 / ranges)
-    return sorted(set(found))
+    kind = df.schema[value].dataType
+    if isinstance(kind, T.NumericType):
+        shares = [i / ranges for i in range(1, ranges)]
+        found = df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", shares, 0.25 / ranges)
+        whole = isinstance(kind, T.IntegralType)
+        return [str(math.ceil(e)) if whole else repr(e) for e in sorted(set(found)) if math.isfinite(e)]
+    sample = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).distinct()
+    sample = sample.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_VALUES * ranges)
+    found = [r["t"] for r in sample.orderBy("v").select(F.col("v").cast("string").alias("t")).collect()]
+    return [found[len(found) * i // ranges] for i in range(1, ranges)] if len(found) >= ranges else found[1:]
+
+
+def with_range(df: DataFrame, value: str, edges: Sequence[str | float], out: str = "_range") -> DataFrame:
+    """Number of the range each value falls into; ranges follow the value order.
+
+    Values are compared with the edges in their own type, by halving.
+    """
+    kind = df.schema[value].dataType.simpleString()
+    name = value.replace("`", "``")
+    texts = [repr(e) if isinstance(e, float) else str(e) for e in edges]
+    texts = [t.replace("\\", "\\\\").replace("'", "\\'") for t in texts]
 
+    def pick(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"IF(`{name}` < CAST('{texts[middle]}' AS {kind}), {pick(low, middle)}, {pick(middle + 1, high)})"
 
-def with_range(df: DataFrame, value: str, edges: Sequence[float], out: str = "_range") -> DataFrame:
-    """Number of the range each value falls into; ranges follow the value order."""
-    if not edges:
-        return df.withColumn(out, F.lit(0))
-    splits = [float("-inf"), *edges, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep")
-    marked = cut.transform(df.withColumn("_v", F.col(value).cast("double")))
-    return marked.withColumn(out, F.col("_b").cast("int")).drop("_v", "_b")
+    return df.withColumn(out, F.expr(pick(0, len(texts))))
 
 
 def _before(df: DataFrame, groups: list[str], order: list[str], measures: list[str]) -> DataFrame:
@@ -59,7 +80,7 @@ def running_totals(
     value: str,
     measures: Sequence[str],
     rows: int = RANGE_ROWS,
-    edges: Sequence[float] | None = None,
+    edges: Sequence[str | float] | None = None,
 ) -> DataFrame:
     """Add ``cum_<m>``: the total of a measure up to and with each value.
 
@@ -91,9 +112,9 @@ def running_rows(
 ) -> DataFrame:
     """Row-level ``cum_<m>`` in the order (lead columns, tie).
 
-    ``lead`` columns are ascending and the first one is numeric; ``tie`` is a
-    numeric column that settles the order of equal leads.  Rows are moved once,
-    by (group, lead, range of tie).
+    ``lead`` columns are ascending, and ``tie`` settles the order of equal
+    leads; both may have any type that has an order.  Rows are moved once, by
+    (group, lead, range of tie).
     """
     groups, lead, measures = list(groups), list(lead), list(measures)
     df = required(df, *groups, *lead, tie)
@@ -294,25 +315,36 @@ def capacity_flags(df: DataFrame, score: str, key: str, share: float, out: str =
 
     Works with two cut values instead of a global sort: the score at the
     boundary, and the largest key still taken among rows at that score.
-    Returns the flagged table and a report on the boundary.
+    Returns the flagged table and a report on the boundary.  Scores that are
+    missing or not finite are an error, and so are keys that are missing or
+    repeat among the rows at the boundary, as no exact number could be taken.
     """
-    counts = materialise(df.groupBy(score).agg(F.count(F.lit(1)).alias("n")), "scores")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    pairs = materialise(df.select(F.col(score).cast("double").alias("s"), F.col(key).alias("k")), "capacity")
+    counts = materialise(pairs.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "scores")
+    unsound = F.col("s").isNull() | F.isnan("s") | (F.abs("s") == float("inf"))
+    facts = counts.agg(F.sum("n").alias("total"), F.count_if(unsound).alias("unsound")).first()
+    total = facts["total"] or 0
+    if facts["unsound"]:
+        raise ValueError("capacity needs finite scores")
     if not total or not 0 < share <= 1:
         raise ValueError("capacity needs rows and a share in (0, 1]")
     wanted = math.ceil(share * total)
-    down = counts.select(F.col(score), (-F.col(score)).alias("_neg"), "n")
+    down = counts.select("s", (-F.col("s")).alias("_neg"), "n")
     ranked = running_totals(down, [], "_neg", ["n"], rows)
     hit = ranked.where((F.col("cum_n") >= wanted) & (F.col("cum_n") - F.col("n") < wanted)).first()
-    boundary, ties, above = hit[score], hit["n"], hit["cum_n"] - hit["n"]
+    boundary, ties, above = hit["s"], hit["n"], hit["cum_n"] - hit["n"]
     need = wanted - above
     last_key = None
-    tied = df.where(F.col(score) == F.lit(boundary))
     if need < ties:
-        last_key = order_statistic(tied, [], key, lambda n: F.lit(need), rows=rows).first()["value"]
-    at_cut = F.col(score) == F.lit(boundary)
+        tied = pairs.where(F.col("s") == F.lit(boundary))
+        repeated = tied.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("k").isNull())
+        if not repeated.isEmpty():
+            raise ValueError("keys at the boundary are missing or repeat")
+        last_key = order_statistic(tied, [], "k", lambda n: F.lit(need), rows=rows).first()["value"]
+    value = F.col(score).cast("double")
+    at_cut = value == F.lit(boundary)
     taken = at_cut if last_key is None else at_cut & (F.col(key) <= F.lit(last_key))
-    flagged = df.withColumn(out, (F.col(score) > F.lit(boundary)) | taken)
+    flagged = df.withColumn(out, (value > F.lit(boundary)) | taken)
     report = {
         "capacity_rows": wanted,
         "boundary_score": boundary,

@@ -101,7 +101,7 @@ def replicate_rates(df: DataFrame, draws: DataFrame, groups: Sequence[str], on:
 def replicate_operating(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], p: str, y: str, weight: str, threshold: str) -> DataFrame:
     """Operating-point rates per replicate."""
     sums = confusion(F.col(p), F.col(y), F.col(weight), F.col(threshold))
-    table = replicate_sums(df, draws, [*groups, threshold], on, sums)
+    table = replicate_sums(required(df, p, y, weight), draws, [*groups, threshold], on, sums)
     return table.withColumns(operating_rates(F.col(threshold)))
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from strandline.session import materialise
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
 BROADCAST_ROWS = 200_000
 
 
@@ -32,18 +32,10 @@ def lookup_join(
 def hot_keys(df: DataFrame, on: list[str], rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Keys with more than ``rows`` rows and the number of parts to cut them into.
 
-    ``counts`` may hand in a table (keys, n) that already exists.  Should more
-    than ``HOT_KEYS`` keys pass, the limit is raised with the table size until
-    at most that many can.
+    ``counts`` may hand in a table (keys, n) that already exists.
     """
     counts = counts if counts is not None else df.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    limit = rows
-    if not fits(counts.where(F.col("n") > rows), HOT_KEYS):
-        total = counts.agg(F.sum("n")).first()[0]
-        limit = max(rows, -(-total // HOT_KEYS))
-    return counts.where(F.col("n") > limit).select(
-        *on, F.ceil(F.col("n") / F.lit(float(limit))).cast("int").alias("_parts")
-    )
+    return counts.where(F.col("n") > rows).select(*on, F.ceil(F.col("n") / F.lit(float(rows))).cast("int").alias("_parts"))
 
 
 def crowded(counts: DataFrame, on: list[str], rows: int = HOT_ROWS) -> bool:
@@ -64,18 +56,15 @@ def spread_join(
     Rows of a frequent key are spread over several parts by a hash of the
     whole row; the right side repeats that key once per part.  With no frequent
     key this is a plain join.  Every row of the left side meets every matching
-    row of the right side exactly once.
+    row of the right side exactly once.  The frequent keys stay a table: at most
+    one for every ``rows`` rows of the left side.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join keeps the left side whole and cannot do {how!r}")
-    counts = counts if counts is not None else left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    if counts.where(F.col("n") > rows).isEmpty():
-        return left.join(right, on, how)
-    found = hot_keys(left, on, rows, counts).collect()  # at most HOT_KEYS rows
-    if not found:
+    hot = materialise(hot_keys(left, on, rows, counts), "hot_keys")
+    if hot.isEmpty():
         return left.join(right, on, how)
-    schema = T.StructType([left.schema[c] for c in on] + [T.StructField("_parts", T.IntegerType())])
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, schema))
+    hot = F.broadcast(hot) if fits(hot, BROADCAST_ROWS) else hot
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     salted_left = left.join(hot, on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*left.columns), parts.cast("long")).cast("int")

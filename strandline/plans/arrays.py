@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
 from strandline.functions.values import label_total
 from strandline.operators.features import fit_levels, fit_numeric, one_hot, scaled
-from strandline.plans.bindings import class_scores, encoded, table
+from strandline.plans.bindings import LINE_ORDER, class_scores, encoded, id_space, table
 from strandline.plans.codes import hierarchy
 from strandline.plans.linkage import episodes, histories
 from strandline.plans.registry import cte, query, rnd, sql
+from strandline.session import materialise
 
-SHIFT = 64
-LIMIT = 8
+LIMIT = 128  # entries of a visit sequence
+SINGLE_LIMIT, SINGLE_FIRST = 128, 64
+# ids of the second vocabulary move behind the first one, and their sum is the range of ids
+SHIFT = "(SELECT coalesce(max(id), 3) - 3 FROM vocab WHERE side = 'dx')::INT"
+ID_RANGE = f"({SHIFT} + (SELECT coalesce(max(id), 3) + 1 FROM vocab WHERE side = 'pr'))::INT"
 
 _BUCKET = """CASE WHEN d IS NULL OR d <= -90 OR d = -66 THEN 0 WHEN d < 0 THEN 1 WHEN d > greatest(stay, 0) THEN 6 WHEN d = 0 THEN 2
  WHEN d <= 2 THEN 3 WHEN d <= 7 THEN 4 ELSE 5 END"""
@@ -49,13 +54,17 @@ def id_counts(spark, sf_dir):
 
 @query(
     "position_columns_to_array",
-    """SELECT l_orderkey, [max(CASE WHEN l_linenumber = 1 THEN l_partkey END), max(CASE WHEN l_linenumber = 2 THEN l_partkey END),
-  max(CASE WHEN l_linenumber = 3 THEN l_partkey END)] AS firsts FROM lineitem GROUP BY 1""",
+    """WITH n AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem)
+SELECT l_orderkey, list_resize(list(l_partkey ORDER BY pos), (SELECT max(pos) FROM n)) AS parts FROM n GROUP BY 1""",
 )
 def position_columns_to_array(spark, sf_dir):
-    at = lambda k: F.max(F.when(F.col("l_linenumber") == k, F.col("l_partkey")))
-    wide = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[at(k).alias(f"part{k}") for k in (1, 2, 3)])
-    return wide.select("l_orderkey", F.array("part1", "part2", "part3").alias("firsts"))
+    """A wide table with one column per position, of as many positions as any order has, back to arrays."""
+    order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(order).alias("pos"))
+    lines = materialise(lines, "positions")
+    positions = range(1, (lines.agg(F.max("pos")).first()[0] or 0) + 1)
+    wide = lines.groupBy("l_orderkey").pivot("pos", list(positions)).agg(F.max("l_partkey"))
+    return wide.select("l_orderkey", F.array(*[F.col(str(k)) for k in positions]).alias("parts"))
 
 
 TIMING = ("before_count", "day0_count", "day1_2_count", "day3plus_count", "missing_count", "after_end_count")
@@ -87,6 +96,7 @@ UNION ALL SELECT enc_id, 1, 0, pos, id, 0 FROM (SELECT enc_id, unnest(range(0, l
 UNION ALL SELECT enc_id, 1, 1, pos, id + {SHIFT}, 0 FROM (SELECT enc_id, unnest(range(0, len(prior_pr_ids_180d))) AS pos, unnest(prior_pr_ids_180d) AS id FROM hist)""",
     "pairs",
     "hist",
+    "vocab",
 )
 cte(
     "seq_cut",
@@ -115,7 +125,7 @@ def visit_sequences(spark, sf_dir):
     )
     sequence = A.visit_sequence(
         F.col("dx_ids"), F.col("pr_ids"), F.col("prday"), F.col("stay"),
-        F.col("prior_dx_ids_180d"), F.col("prior_pr_ids_180d"), SHIFT, LIMIT,
+        F.col("prior_dx_ids_180d"), F.col("prior_pr_ids_180d"), id_space(spark, sf_dir)[0], LIMIT,
     )
     built = rows.select("enc_id", sequence.alias("s"))
     return built.select(
@@ -129,17 +139,19 @@ def visit_sequences(spark, sf_dir):
 
 cte(
     "single_seq",
-    f"""SELECT e.enc_id, CASE WHEN len(ids) = 0 THEN [3] ELSE ids[1:10] END AS token_ids,
-  CASE WHEN len(ids) = 0 THEN [false] ELSE early[1:10] END AS early FROM (SELECT e.enc_id,
-  list_filter(e.dx_ids, lambda x: x > 3)[1:5] || coalesce(p.ids, []::INT[]) AS ids,
-  list_transform(list_filter(e.dx_ids, lambda x: x > 3)[1:5], lambda x: false) || coalesce(p.early, []::BOOLEAN[]) AS early
+    f"""SELECT e.enc_id, CASE WHEN len(ids) = 0 THEN [3] ELSE ids[1:{SINGLE_LIMIT}] END AS token_ids,
+  CASE WHEN len(ids) = 0 THEN [false] ELSE early[1:{SINGLE_LIMIT}] END AS early FROM (SELECT e.enc_id,
+  list_filter(e.dx_ids, lambda x: x > 3)[1:{SINGLE_FIRST}] || coalesce(p.ids, []::INT[]) AS ids,
+  list_transform(list_filter(e.dx_ids, lambda x: x > 3)[1:{SINGLE_FIRST}], lambda x: false) || coalesce(p.early, []::BOOLEAN[]) AS early
   FROM encoded e LEFT JOIN (SELECT enc_id, list(id + {SHIFT} ORDER BY pos) AS ids, list(early ORDER BY pos) AS early FROM pairs WHERE id > 3 GROUP BY 1) p USING (enc_id)) e""",
     "pairs",
+    "vocab",
 )
 
 
-def single_sequences(rows):
-    return A.single_visit_sequence(F.col("dx_ids"), F.col("pr_ids"), F.col("prday"), F.col("stay"), SHIFT, 10, first_limit=5)
+def single_sequences(shift):
+    columns = [F.col(c) for c in ("dx_ids", "pr_ids", "prday", "stay")]
+    return A.single_visit_sequence(*columns, shift, SINGLE_LIMIT, first_limit=SINGLE_FIRST)
 
 
 @query(
@@ -162,7 +174,7 @@ def training_frame(spark, sf_dir):
     development = enc.where("year <= 1998")
     age = fit_numeric(development, ["age"])["age"]
     sexes = fit_levels(development, ["female"])["female"]
-    built = enc.withColumn("s", single_sequences(enc))
+    built = enc.withColumn("s", single_sequences(id_space(spark, sf_dir)[0]))
     return built.select(
         "enc_id",
         A.field(F.col("s"), "id").alias("token_ids"),
@@ -177,12 +189,12 @@ def training_frame(spark, sf_dir):
     )
 
 
-MASK_SEED, MASK_VOCABULARY = 11, 128
+MASK_SEED = 11
 _U = lambda use: f"('0x' || substr(md5('{MASK_SEED}:' || enc_id || ':' || pos || ':{use}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 cte(
     "mask_rows",
     f"""SELECT *, {_U('pick')} AS u, {_U('how')} AS how,
-  (4 + ('0x' || substr(md5('{MASK_SEED}:' || enc_id || ':' || pos || ':id'), 1, 12))::BIGINT % {MASK_VOCABULARY - 4})::INT AS other
+  (4 + ('0x' || substr(md5('{MASK_SEED}:' || enc_id || ':' || pos || ':id'), 1, 12))::BIGINT % ({ID_RANGE} - 4))::INT AS other
 FROM (SELECT enc_id, unnest(range(0, len(token_ids))) AS pos, unnest(token_ids) AS id FROM single_seq)""",
     "single_seq",
 )
@@ -201,8 +213,9 @@ GROUP BY 1""",
 )
 def masked_token_sample(spark, sf_dir):
     enc = encoded(spark, sf_dir)
-    rows = enc.select("enc_id", A.field(single_sequences(enc), "id").alias("ids"))
-    sample = A.masked_sample(F.col("enc_id"), F.col("ids"), MASK_SEED, MASK_VOCABULARY)
+    shift, size = id_space(spark, sf_dir)
+    rows = enc.select("enc_id", A.field(single_sequences(shift), "id").alias("ids"))
+    sample = A.masked_sample(F.col("enc_id"), F.col("ids"), MASK_SEED, size)
     built = rows.select("enc_id", sample.alias("s"))
     return built.select(
         "enc_id", A.field(F.col("s"), "input").alias("inputs"), A.field(F.col("s"), "label").alias("labels")

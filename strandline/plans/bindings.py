@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from strandline.functions.arrays import any_in, any_prefix
 from strandline.functions.text import normalize_code
 from strandline.functions.values import sigmoid
-from strandline.operators.codes import cause_code, code_rows, encode_array, fit_vocabulary, planned_columns
+from strandline.layout import FIRST_CODE_ID
+from strandline.operators.codes import cause_code, code_rows, encode_arrays, fit_vocabulary, planned_columns
+from strandline.operators.ordering import order_number
+from strandline.operators.skew import lookup_join
 from strandline.plans.registry import cte
 from strandline.plans.stages import staged
 
-POSITIONS = 7
 INDEX_PREFIXES = ("ECONOMY", "PROMO")
 SECOND_CODES = [f"LARGE{i}" for i in range(5)]
 THIRD_CODES = [f"MEDIUM{i}" for i in range(5)] + ["SMALL0", "SMALL1"]
@@ -111,27 +113,21 @@ def line_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(supplier_mod == 2, -66)
         .otherwise(F.pmod("l_partkey", F.lit(12)).cast("int") - 2)
     )
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", day.alias("prday"))
-        .join(part, "l_partkey")
-    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", day.alias("prday"))
+    return lookup_join(lines, part, ["l_partkey"], "inner")
+
+
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey")
 
 
 def encounter_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed code positions of an encounter as arrays.
+    """Codes of all lines of an encounter as arrays.
 
-    Position k takes the smallest value of the lines numbered k; after that
-    step an encounter has at most ``POSITIONS`` rows to put in order.
+    Positions follow (line number, part, supplier).  A line stays one struct
+    until all are in order, so its codes, day and facility belong together.
     """
-    columns = ("dx", "pr", "prday", "l_suppkey")
-    slots = (
-        line_codes(spark, sf_dir)
-        .where(F.col("l_linenumber").between(1, POSITIONS))
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(*[F.min(c).alias(c) for c in columns])
-        .groupBy(F.col("l_orderkey").alias("enc_id"))
-        .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", *columns))).alias("s"))
+    slots = line_codes(spark, sf_dir).groupBy(F.col("l_orderkey").alias("enc_id")).agg(
+        F.sort_array(F.collect_list(F.struct(*LINE_ORDER, "dx", "pr", "prday"))).alias("s")
     )
     return slots.select(
         "enc_id",
@@ -150,16 +146,15 @@ cte(
        ELSE (l_partkey % 12)::INT - 2 END AS prday
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
+_LINES = ", ".join(LINE_ORDER)
 cte(
     "codes",
-    """SELECT l_orderkey AS enc_id,
-  list(upper(replace(dx, '.', '')) ORDER BY l_linenumber) AS dx,
-  list(upper(pr) ORDER BY l_linenumber) AS pr,
-  list(prday ORDER BY l_linenumber) AS prday,
-  arg_min(l_suppkey, l_linenumber) AS facility_id
-FROM (SELECT l_orderkey, l_linenumber, min(dx) AS dx, min(pr) AS pr, min(prday) AS prday,
-        min(l_suppkey) AS l_suppkey FROM lines GROUP BY 1, 2)
-GROUP BY 1""",
+    f"""SELECT l_orderkey AS enc_id,
+  list(upper(replace(dx, '.', '')) ORDER BY {_LINES}) AS dx,
+  list(upper(pr) ORDER BY {_LINES}) AS pr,
+  list(prday ORDER BY {_LINES}) AS prday,
+  first(l_suppkey ORDER BY {_LINES}) AS facility_id
+FROM lines GROUP BY 1""",
     "lines",
 )
 
@@ -245,8 +240,8 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = F.pmod(F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729, F.lit(1000)) / 1000.0
     y = (F.col("l_returnflag") == "R").cast("int")
     return li.select(
-        (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.pmod("l_partkey", F.lit(100))).alias("row_id"),
         F.col("l_orderkey").alias("entity_id"),
+        F.col("l_partkey").alias("part_id"),
         F.col("l_suppkey").alias("facility_id"),
         F.pmod("l_suppkey", F.lit(25)).cast("int").alias("stratum"),
         F.col("l_linestatus").alias("status"),
@@ -256,38 +251,42 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((y == 1) & (F.col("l_linestatus") == "F")).cast("int").alias("y_part"),
         F.round(0.05 + F.col("l_discount") * 8, 2).alias("p_tied"),
         F.round(sigmoid(2 * noise - 1.5 + 0.4 * y), 4).alias("p_fine"),
+        # tells apart lines of one order, number, part and supplier that differ in any column above
+        (F.ascii("l_returnflag") * 1_000_000 + F.ascii("l_linestatus") * 1000 + F.round(F.col("l_discount") * 100).cast("int")).alias("variant"),
     )
 
 
 cte(
     "scored",
-    """SELECT l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS row_id, l_orderkey AS entity_id,
+    """SELECT l_orderkey AS entity_id, l_partkey AS part_id,
   l_suppkey AS facility_id, (l_suppkey % 25)::INT AS stratum, l_linestatus AS status, l_linenumber AS line_no,
   1 + (l_suppkey % 25) / 10.0::DOUBLE AS weight,
   CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_any,
   CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 ELSE 0 END AS y_part,
   round(0.05::DOUBLE + l_discount * 8, 2) AS p_tied,
   round(1 / (1 + exp(-(2 * (((l_partkey * 7919 + l_suppkey * 104729) % 1000) / 1000.0::DOUBLE) - 1.5::DOUBLE
-    + 0.4::DOUBLE * (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)))), 4) AS p_fine
+    + 0.4::DOUBLE * (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)))), 4) AS p_fine,
+  ascii(l_returnflag) * 1000000 + ascii(l_linestatus) * 1000 + round(l_discount * 100)::INT AS variant
 FROM lineitem""",
 )
 
 
+ROW_ORDER = ("entity_id", "line_no", "part_id", "facility_id")
 cte(
     "uniq",
-    """SELECT row_id, any_value(entity_id) AS entity_id, min(facility_id) AS facility_id, min(stratum) AS stratum, any_value(line_no) AS line_no,
-  min(weight) AS weight, min(y_any) AS y_any, min(y_part) AS y_part, min(p_tied) AS p_tied, min(p_fine) AS p_fine, min(status) AS status FROM scored GROUP BY 1""",
+    f"SELECT *, row_number() OVER (ORDER BY {', '.join(ROW_ORDER)}, variant) AS row_id FROM scored",
     "scored",
 )
 
 
 @staged
 def unique_lines(spark, sf_dir):
-    """Scored lines with one row per key, for results that depend on a row order."""
-    firsts = ("facility_id", "stratum", "weight", "y_any", "y_part", "p_tied", "p_fine", "status")
-    return scored_lines(spark, sf_dir).groupBy("row_id").agg(
-        F.min("entity_id").alias("entity_id"), F.min("line_no").alias("line_no"), *[F.min(c).alias(c) for c in firsts]
-    )
+    """All scored lines with a key of their own, for results that depend on a row order.
+
+    The key is the place of the line by order, line number, part, supplier and variant;
+    lines that agree in all of these are equal rows.
+    """
+    return order_number(scored_lines(spark, sf_dir), [], list(ROW_ORDER), "variant", "row_id")
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,13 +391,18 @@ def vocabulary(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     return vocabularies(spark, sf_dir).where(F.col("side") == side).drop("side")
 
 
+def id_space(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """What moves ids of the second vocabulary behind the first one, and the size of both together."""
+    last = {r["side"]: r["m"] for r in vocabularies(spark, sf_dir).groupBy("side").agg(F.max("id").alias("m")).collect()}
+    shift = last.get("dx", FIRST_CODE_ID - 1) + 1 - FIRST_CODE_ID
+    return shift, shift + last.get("pr", FIRST_CODE_ID - 1) + 1
+
+
 @staged
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admissions with both code arrays as ids."""
-    adm = admissions(spark, sf_dir)
-    for side in ("dx", "pr"):
-        adm = encode_array(adm, "enc_id", side, vocabulary(spark, sf_dir, side), f"{side}_ids")
-    return adm
+    sides = {side: (vocabulary(spark, sf_dir, side), f"{side}_ids") for side in ("dx", "pr")}
+    return encode_arrays(admissions(spark, sf_dir), "enc_id", sides)
 
 
 cte(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from strandline.functions.ids import hash_bits, nested_half
@@ -25,7 +24,6 @@ NUMERIC = (
 )
 CATEGORICAL = ("female", "payer")
 BAGS = ("dx_ids", "pr_ids")
-BOOST_ROUNDS = 5
 MINIMUM = 20
 GROUPS = {"no_prior": [c for c in NUMERIC if c.startswith("prior_") or c == "days_since_prior"], "no_payer": ["payer"]}
 
@@ -104,9 +102,12 @@ FROM model_rows r LEFT JOIN row_ids i USING (enc_id), med""",
 )
 def sparse_design_table(spark, sf_dir):
     """Size and number of filled cells of every feature vector."""
-    filled = vector_to_array("features")
+    vector = F.unwrap_udt("features")  # a sparse vector names its size, a dense one is as wide as its values
     return full_design(spark, sf_dir).select(
-        "enc_id", "y", F.size(filled).alias("width"), F.size(F.filter(filled, lambda x: x != 0)).alias("filled")
+        "enc_id",
+        "y",
+        F.coalesce(vector["size"], F.size(vector["values"])).alias("width"),
+        F.size(F.filter(vector["values"], lambda x: x != 0)).alias("filled"),
     )
 
 
@@ -144,7 +145,7 @@ def boosted_trees_grid(spark, sf_dir):
     """Three boosted settings, stopped early on the last development year."""
     development, later = split(full_design(spark, sf_dir))
     marked = development.withColumn("is_validation", F.col("year") == 1998)
-    candidates = models.boosted_grid(marked, "y", "is_validation", rounds=BOOST_ROUNDS)
+    candidates = models.boosted_grid(marked, "y", "is_validation")
     chosen, reports = models.choose(candidates, later, "y")
     return rounded(report(spark, reports, chosen))
 
@@ -235,7 +236,7 @@ def ablation_column_sets(spark, sf_dir):
     sets = models.column_sets([*NUMERIC, *CATEGORICAL], **GROUPS)
     parts = []
     for name, columns in sets.items():
-        development, later = split(design(spark, sf_dir, columns, bags=()))
+        development, later = split(design(spark, sf_dir, columns))
         fitted = models.logistic(development, "y", c=1.0)
         scored = models.score(fitted, later).select("enc_id", "y", "p").withColumn("columns", F.lit(name))
         parts.append(scored)

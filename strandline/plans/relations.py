@@ -40,8 +40,9 @@ cte(
     f"""SELECT a.enc_id, a.year, a.entity_id, s.s_nationkey AS stratum, a.facility_id, n.n_regionkey AS region, a.severity, a.planned_status,
   1 + s.s_nationkey / 10.0::DOUBLE AS facility_weight, r.ratio,
   CASE WHEN a.charge > 0 AND r.ratio > 0 THEN a.charge * r.ratio END AS cost,
-  CASE WHEN a.charge > 0 AND r.ratio > 0 THEN a.charge * r.ratio * {_FACTOR} END AS cost_adjusted
-FROM adm a JOIN supplier s ON s.s_suppkey = a.facility_id JOIN nation n ON n.n_nationkey = s.s_nationkey
+  CASE WHEN a.charge > 0 AND r.ratio > 0 THEN a.charge * r.ratio * {_FACTOR} END AS cost_adjusted,
+  CASE WHEN a.facility_id IS NULL THEN 'no_line' WHEN s.s_suppkey IS NULL THEN 'unknown_facility' ELSE 'linked' END AS facility_state
+FROM adm a LEFT JOIN supplier s ON s.s_suppkey = a.facility_id LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
 LEFT JOIN ratios r ON r.n_nationkey = s.s_nationkey""",
     "adm",
     "ratios",
@@ -55,30 +56,31 @@ def ratio_table(spark, sf_dir):
 
 @staged
 def enriched(spark, sf_dir):
-    """Encounters with severity, facility and cost ratio; no row may get lost."""
-    adm = admissions(spark, sf_dir).where(F.col("facility_id").isNotNull())
-    severity = adm.select("enc_id", "severity")
+    """Encounters with severity, facility and cost ratio; no encounter may get lost.
+
+    An encounter without any line has no facility; it stays, and says so.
+    """
     facility = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("facility_id"), F.col("s_nationkey").alias("stratum")
     )
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("stratum"), F.col("n_regionkey").alias("region"))
-    core = adm.select("enc_id", "year", "entity_id", "facility_id", "planned_status", "charge")
-    out = core.join(severity, "enc_id")
-    out = lookup_join(out, facility, ["facility_id"], "inner")
-    out = lookup_join(out, nation, ["stratum"], "inner")
+    core = admissions(spark, sf_dir).select("enc_id", "year", "entity_id", "facility_id", "planned_status", "charge", "severity")
+    out = lookup_join(core, facility, ["facility_id"], "left")
+    out = lookup_join(out, nation, ["stratum"], "left")
     out = lookup_join(out, ratio_table(spark, sf_dir), ["stratum"], "left")
     cost = cost_from_charge(F.col("charge"), F.col("ratio"))
     out = out.withColumns(
         {
             "facility_weight": 1 + F.col("stratum") / 10.0,
+            "facility_state": F.when(F.col("facility_id").isNull(), "no_line").when(F.col("stratum").isNull(), "unknown_facility").otherwise("linked"),
             "cost": cost,
             "cost_adjusted": at_base_year(cost, F.col("year"), INDEX, BASE_INDEX),
         }
     )
-    return K.require_same_count(core, out).drop("charge")
+    return K.require_same_count(encounters(spark, sf_dir), out).drop("charge")
 
 
-ENRICHED = ("enc_id", "year", "entity_id", "facility_id", "stratum", "region", "severity", "planned_status", "facility_weight")
+ENRICHED = ("enc_id", "year", "entity_id", "facility_id", "stratum", "region", "severity", "planned_status", "facility_weight", "facility_state")
 
 
 @query("enriched_encounters", sql(f"SELECT {', '.join(ENRICHED)} FROM enriched", "enriched"))

@@ -7,9 +7,18 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.session import scratch_path
+from strandline.session import file_system, scratch_path
 
-_WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
+_WRITTEN: dict[tuple[str, object, str], tuple[str, object]] = {}
+
+
+def listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input files; a rewritten input is another one."""
+    found = []
+    for pattern in ("*.parquet", "*.parquet/*.parquet"):
+        path, files = file_system(spark, f"{sf_dir}/{pattern}")
+        found += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in files.globStatus(path)]
+    return tuple(sorted(found))
 
 
 def staged(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,7 +30,7 @@ def staged(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
     @wraps(build)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        slot = (spark.sparkContext.applicationId, sf_dir, build.__qualname__)
+        slot = (spark.sparkContext.applicationId, listing(spark, sf_dir), build.__qualname__)
         if slot not in _WRITTEN:
             df = build(spark, sf_dir)
             path = scratch_path(spark, build.__name__)

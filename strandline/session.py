@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,26 +41,31 @@ def local_session(cores: int | str = 8, app: str = "strandline", **conf: str) ->
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own; on a
-    cluster a missing setting is an error, because a machine-local folder
-    would be lost with its machine.
+    Where it is unset, a session whose driver is its only process gets a folder
+    of its own; on any cluster, a local one included, that is an error, because
+    a machine-local folder would be lost with its machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_folder(spark.sparkContext.applicationId)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
 
 
-@lru_cache(maxsize=None)
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="strandline-")
+def file_system(spark: SparkSession, path: str):
+    """The path for the JVM and the file system that holds it."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    """A path below the shared folder that no other run uses; it goes when the session ends."""
+    path = os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    jvm_path, files = file_system(spark, path)
+    files.deleteOnExit(jvm_path)
+    return path
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPORT_ROWS = 100_000
+from strandline.session import file_system
 
 
 class AlreadyPublished(RuntimeError):
@@ -26,33 +26,33 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), bloc
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_report(df: DataFrame, path: str, order: Sequence[str], fmt: str = "csv") -> None:
-    """A small aggregate table as one sorted file; refuses large tables."""
-    if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
-        raise ValueError("a report holds aggregates, not rows")
+def write_report(df: DataFrame, path: str, order: Sequence[str], fmt: str = "csv", one_file: bool = False) -> None:
+    """A table as sorted text files; ``one_file`` is for a caller who knows that it is short."""
     columns = sorted(df.columns) if fmt == "json" else df.columns
-    one = df.select(*columns).orderBy(*order).coalesce(1)
-    writer = one.write.mode("errorifexists")
+    ordered = df.select(*columns).orderBy(*order)
+    ordered = ordered.coalesce(1) if one_file else ordered
+    writer = ordered.write.mode("errorifexists")
     writer.json(path) if fmt == "json" else writer.csv(path, header=True)
 
 
-def _paths(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
-    """Write next to ``path``, then rename in one step.
+    """Write a table once; it counts from the moment its marker ``<path>.published`` exists.
 
-    Refuses when a finished output or the remains of an unfinished one exist.
+    Creating ``<path>.claim`` is one step that only one writer can take, so two
+    writers cannot both pass.  Refuses when a finished output, the claim of
+    another writer or the remains of an unfinished output exist.
     """
-    final, fs = _paths(spark, path)
-    partial, _ = _paths(spark, path + ".partial")
-    if fs.exists(final) or fs.exists(partial):
+    final, fs = file_system(spark, path)
+    claim, _ = file_system(spark, path + ".claim")
+    marker, _ = file_system(spark, path + ".published")
+    if fs.exists(final) or fs.exists(marker):
         raise AlreadyPublished(path)
-    write(path + ".partial")
-    if not fs.rename(partial, final):
-        raise RuntimeError(f"could not publish {path}")
+    try:
+        fs.create(claim, False).close()
+    except Exception as error:
+        raise AlreadyPublished(path) from error
+    write(path)
+    fs.create(marker, False).close()
     return path
 
 

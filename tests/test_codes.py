@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,9 +38,15 @@ def test_vocabulary_freezes_and_marks_unseen(spark):
     assert tuple(C.vocabulary_faults(vocabulary).first()) == (0, 0, 0, 0)
 
 
-def test_frequent_codes(spark):
-    df = spark.createDataFrame([([0, 1, 2, 3, 4, 5],), ([4, 6],), ([4, 5, 5],)], "ids array<int>")
-    assert {r["id"]: (r["n"], r["column"]) for r in C.frequent_codes(df, "ids", 2).collect()} == {4: (3, 0), 5: (2, 1)}
+@pytest.mark.parametrize("minimum", [1, 4, 9, 100])
+def test_frequent_codes_count_rows_not_repeats(spark, minimum):
+    rng = random.Random(53)
+    rows = [[rng.randrange(0, 16) for _ in range(rng.randrange(0, 7))] for _ in range(40)]
+    df = spark.createDataFrame([(r,) for r in rows], "ids array<int>")
+    counts = {i: sum(i in r for r in rows) for i in range(4, 16)}
+    kept = sorted(i for i, n in counts.items() if n >= minimum)
+    got = {r["id"]: (r["n"], r["column"]) for r in C.frequent_codes(df, "ids", minimum).collect()}
+    assert got == {i: (counts[i], place) for place, i in enumerate(kept)}
 
 
 @pytest.mark.parametrize(

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from strandline.layout import Encounter
@@ -17,18 +19,44 @@ def history(spark, rows, index):
     return out.first().asDict()
 
 
-def test_only_strictly_earlier_stays_that_ended_count(spark):
+def plain_history(rows, index):
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    typed = [dict(zip(names, r)) for r in rows]
+    me = next(r for r in typed if r["enc_id"] == index)
+    prior = []
+    for r in typed:
+        stay = max(r["stay"] or 0, 0)
+        end = r["start_day"] + stay
+        if r["entity_id"] == me["entity_id"] and end + (0 if stay else 0.5) <= me["start_day"]:
+            prior.append({**r, "stay": stay, "end": end})
+    within = lambda n: [r for r in prior if me["start_day"] - r["end"] <= n]
+    half = within(180)
+    bag = lambda c: sorted({x for r in half for x in r[c] if x > 3})
+    return {
+        "prior_count_ytd": len(prior), "prior_count_30d": len(within(30)), "prior_count_90d": len(within(90)), "prior_count_180d": len(half),
+        "prior_emergency_180d": sum((r["emergency"] or 0) > 0 for r in half), "prior_nonelective_180d": sum(r["elective"] != 1 for r in half),
+        "prior_stay_sum_180d": sum(r["stay"] for r in half), "prior_a_180d": sum(bool(r["a"]) for r in half),
+        "prior_max_severity_180d": max([r["severity"] or 0 for r in half], default=0), "prior_dx_180d": bag("dx"), "prior_pr_180d": bag("pr"),
+        "days_since_prior": me["start_day"] - max(r["end"] for r in prior) if prior else -1,
+    }
+
+
+def test_history_is_the_row_by_row_count(spark):
+    rng = random.Random(43)
+    codes = lambda: [rng.randrange(0, 30) for _ in range(rng.randrange(4))]
     rows = [
-        (1, 9, 100, 5, 4, 1, 0, 2, 1, True, False, [4, 0], [10, 3]),
-        (2, 9, 130, 40, 5, 0, 1, 4, 4, False, True, [5], [11]),
-        (3, 9, 150, 2, 6, 1, 0, 1, 1, False, False, [6], [12]),
-        (4, 9, 160, 1, 6, 1, 0, 3, 2, True, False, [7], [13]),
-    ]
-    r = history(spark, rows, 4)
-    assert (r["prior_count_ytd"], r["prior_count_30d"], r["days_since_prior"]) == (2, 1, 8)
-    assert r["prior_dx_180d"] == [4, 6] and r["prior_pr_180d"] == [10, 12]
-    assert (r["seen_30d"], r["seen_90d"], r["seen_180d"]) == (True, True, False)
-    assert (r["prior_max_severity_180d"], r["prior_emergency_180d"], r["prior_stay_sum_180d"]) == (2, 2, 7)
+        (key, rng.randrange(4), rng.randrange(1, 300), rng.choice([0, 0, 1, 4, 20]), rng.randrange(1, 13), rng.choice([None, 0, 1, 2]),
+         rng.choice([None, 0, 1]), rng.choice([None, 1, 4]), rng.choice([None, 2]), rng.random() < 0.3, None, codes(), codes())
+        for key in range(70)
+    ]
+    adm = spark.createDataFrame(rows, COLUMNS)
+    cells = history_cells(adm, "emergency", "elective", ["a", "b"], ["severity", "risk"], ["dx", "pr"], LAYOUT)
+    out = with_history(adm, cells, ["a", "b"], ["severity", "risk"], ["dx", "pr"], LAYOUT).collect()
+    assert len(out) == 70
+    for r in out:
+        want = plain_history(rows, r["enc_id"])
+        assert {k: r[k] for k in want} == want, r["enc_id"]
+        assert (r["seen_30d"], r["seen_90d"], r["seen_180d"]) == (r["month"] >= 2, r["month"] >= 4, r["month"] >= 7)
 
 
 def test_no_history_gives_zeroes(spark):

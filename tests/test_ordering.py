@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import ordering as O
 from strandline.operators import skew
@@ -64,12 +65,32 @@ def test_weighted_step_quantile_literals(spark):
     assert O.weighted_step_quantile(invalid, [], "v", "w", 0.9).first()["value"] == 1.0
 
 
-def test_capacity_is_exact_when_all_scores_tie(spark):
-    ids = [9, 3, 8, 2, 6, 1, 10, 5, 7, 4]
-    df = spark.createDataFrame([(i, 0.12) for i in ids], "id long, p double")
-    flagged, report = O.capacity_flags(df, "p", "id", 0.2, rows=3)
-    assert {r["id"] for r in flagged.where("flagged").collect()} == {1, 2}
-    assert report == {"capacity_rows": 2, "boundary_score": 0.12, "boundary_ties": 10, "boundary_ties_taken": 2}
+@pytest.mark.parametrize("seed,share", [(1, 0.05), (2, 0.33), (3, 0.5), (4, 1.0)])
+def test_capacity_is_exact_at_ties(spark, seed, share):
+    rng = random.Random(seed)
+    keys = rng.sample(range(1000), 53)
+    rows = [(k, rng.choice([0.25, 0.25, 0.75]) if seed % 2 else 0.5) for k in keys]
+    df = spark.createDataFrame(rows, "id long, p double")
+    flagged, report = O.capacity_flags(df, "p", "id", share, rows=5)
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))[: math.ceil(share * len(rows))]
+    assert {r["id"] for r in flagged.where("flagged").collect()} == {k for k, _ in order}
+    cut = order[-1][1]
+    assert report == {
+        "capacity_rows": len(order), "boundary_score": cut, "boundary_ties": sum(p == cut for _, p in rows),
+        "boundary_ties_taken": sum(p == cut for _, p in order),
+    }
+
+
+def test_capacity_needs_sound_scores_and_keys(spark):
+    good = [(1, 0.9), (2, 0.5), (3, 0.5), (4, 0.1)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, p double")
+    for bad in (None, float("nan"), float("inf"), float("-inf")):
+        with pytest.raises(ValueError, match="finite"):
+            O.capacity_flags(frame([*good, (5, bad)]), "p", "id", 0.5)
+    with pytest.raises(ValueError, match="repeat"):
+        O.capacity_flags(frame([*good, (2, 0.5)]), "p", "id", 0.4)
+    with pytest.raises(ValueError, match="repeat"):
+        O.capacity_flags(frame([*good, (None, 0.5)]), "p", "id", 0.4)
 
 
 def test_capacity_on_mixed_scores(df, rows):
@@ -110,6 +131,23 @@ def test_running_rows_without_groups(df, rows):
     assert len(out) == len(rows)
 
 
+@pytest.mark.parametrize("size", [1, 3, 200_000])
+def test_any_type_orders_rows_alike_at_every_size(spark, size):
+    rng = random.Random(47)
+    infinite = float("inf")
+    rows = [(i % 2, rng.choice([-infinite, 0.5, 0.5, 2.0, infinite]), f"k{rng.randrange(10**6):06d}", i) for i in range(90)]
+    df = spark.createDataFrame(rows, "g int, v double, t string, i int")
+    out = {r["i"]: r["cum_one"] for r in O.running_rows(df.withColumn("one", F.lit(1)), ["g"], ["v"], "t", ["one"], rows=size).collect()}
+    for g in (0, 1):
+        for place, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1):
+            assert out[r[3]] == place
+    dates = df.withColumn("d", F.date_add(F.lit("2020-01-01").cast("date"), F.col("i")))
+    last = O.running_totals(dates, ["g"], "d", ["i"], rows=size).groupBy("g").agg(F.max("cum_i").alias("s")).collect()
+    assert {r["g"]: r["s"] for r in last} == {g: sum(r[3] for r in rows if r[0] == g) for g in (0, 1)}
+    with pytest.raises(Exception, match="must not be null"):
+        O.running_rows(df.withColumn("t", F.lit(None).cast("string")), ["g"], ["v"], "t", ["i"], rows=size).collect()
+
+
 def test_null_keys_stop_instead_of_losing_rows(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, 1, 3.0)], "id long, g int, v double")
     with pytest.raises(Exception, match="g must not be null"):
