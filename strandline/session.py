@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,3 +82,29 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once.
+
+    Workers import functions by name; they may run elsewhere, or with another
+    search path than the driver.
+    """
+    package = Path(__file__).parent
+    if spark.sparkContext.applicationId in _SHIPPED or not package.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    path = scratch_path(spark, package.name) + ".zip"
+    jvm_path, files = file_system(spark, path)
+    out = files.create(jvm_path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    files.deleteOnExit(jvm_path)
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(spark.sparkContext.applicationId)
