@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import in_arrow, per_group
 from strandline.session import materialise
 
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -196,9 +197,9 @@ def repair(
 
     total = long.agg(F.sum("n")).first()[0]
     if not total:
-        return rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(whole, OUT)
+        return in_arrow(rows.repartition("key").sortWithinPartitions("key", *order), whole, OUT)
     # as many rows as there are conversations of more than a block
-    short = rows.join(long, "key", "left_anti").repartition("key").sortWithinPartitions("key", *order).mapInArrow(whole, OUT)
+    short = in_arrow(rows.join(long, "key", "left_anti").repartition("key").sortWithinPartitions("key", *order), whole, OUT)
     return short.unionByName(_long(rows.join(long.select("key"), "key", "left_semi"), total, order, block))
 
 
@@ -221,7 +222,7 @@ def _long(rows: DataFrame, total: int, order: list[str], block: int) -> DataFram
                 lines += costs
             yield pa.RecordBatch.from_arrays([pa.array([group[0][0]]), pa.array([group[0][1]]), pa.array([lines])], names=["key", "block", "costs"])
 
-    through = materialise(by_block(dealt, "role").mapInArrow(matrices, "key string, block long, costs array<long>"), "chat-matrices")
+    through = materialise(in_arrow(by_block(dealt, "role"), matrices, "key string, block long, costs array<long>"), "chat-matrices")
 
     def entries(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("block").to_pylist(), table.column("costs").to_pylist()))
@@ -233,7 +234,7 @@ def _long(rows: DataFrame, total: int, order: list[str], block: int) -> DataFram
         return pa.table({"key": [key] * len(rows), "block": [b for b, _ in rows], "entry": out, "exit": [None] * (len(rows) - 1) + [last_state(costs)]},
                         schema=pa.schema([("key", pa.string()), ("block", pa.int64()), ("entry", pa.list_(pa.int64())), ("exit", pa.int32())]))
 
-    entered = materialise(through.groupBy("key").applyInArrow(entries, "key string, block long, entry array<long>, exit int"), "chat-entries")
+    entered = materialise(per_group(through, ["key"], entries, "key string, block long, entry array<long>, exit int"), "chat-entries")
 
     def origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 2):
@@ -244,7 +245,7 @@ def _long(rows: DataFrame, total: int, order: list[str], block: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([group[0][0]]), pa.array([group[0][1]]), pa.array([came], pa.list_(pa.int32()))], names=["key", "block", "came"])
 
     with_entry = dealt.join(entered.select("key", "block", "entry"), ["key", "block"])
-    traced = by_block(with_entry, "entry", "role").mapInArrow(origins, "key string, block long, came array<int>")
+    traced = in_arrow(by_block(with_entry, "entry", "role"), origins, "key string, block long, came array<int>")
     traced = materialise(traced.join(entered, ["key", "block"]), "chat-origins")
 
     def exits(table: pa.Table) -> pa.Table:
@@ -257,7 +258,7 @@ def _long(rows: DataFrame, total: int, order: list[str], block: int) -> DataFram
         return pa.table({"key": [key] * len(out), "block": [o[0] for o in out], "entry": [o[1] for o in out], "exit": [o[2] for o in out], "ends": [o[3] for o in out]},
                         schema=pa.schema([("key", pa.string()), ("block", pa.int64()), ("entry", pa.list_(pa.int64())), ("exit", pa.int32()), ("ends", pa.bool_())]))
 
-    plan = materialise(traced.groupBy("key").applyInArrow(exits, "key string, block long, entry array<long>, exit int, ends boolean"), "chat-exits")
+    plan = materialise(per_group(traced, ["key"], exits, "key string, block long, entry array<long>, exit int, ends boolean"), "chat-exits")
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 2):
@@ -270,7 +271,7 @@ def _long(rows: DataFrame, total: int, order: list[str], block: int) -> DataFram
             )
 
     full = by_block(dealt.join(plan, ["key", "block"]), "entry", "exit", "ends", "conv_id", "turn", "role", "text")
-    done = materialise(full.mapInArrow(render, f"key string, block long, {OUT}"), "chat-rendered")
+    done = materialise(in_arrow(full, render, f"key string, block long, {OUT}"), "chat-rendered")
     counts = materialise(done.groupBy("key", "block").agg((F.max("turn_out") + 1).alias("n")), "chat-turns")
 
     def offsets(table: pa.Table) -> pa.Table:
@@ -281,6 +282,6 @@ def _long(rows: DataFrame, total: int, order: list[str], block: int) -> DataFram
             before += n
         return pa.table({"key": [table.column("key")[0].as_py()] * len(rows), "block": [b for b, _ in rows], "before": out})
 
-    shift = counts.groupBy("key").applyInArrow(offsets, "key string, block long, before long")
+    shift = per_group(counts, ["key"], offsets, "key string, block long, before long")
     names = [f.split()[0] for f in OUT.split(", ")]
     return done.join(shift, ["key", "block"]).withColumn("turn_out", F.col("turn_out") + F.col("before")).select(*names)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from strandline.session import ship
 
 SLICE_ROWS = 256
 PIECE_BYTES = 1 << 20
@@ -17,6 +20,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_arrow(rows: DataFrame, work: Callable[[Batches], Batches], schema: str | T.StructType) -> DataFrame:
+    """``rows`` through ``work``, a partition at a time, in Arrow batches."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(work, schema)
+
+
+def per_group(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on the rows of each key; for groups of a bounded size."""
+    ship(rows.sparkSession)
+    return rows.groupBy(*keys).applyInArrow(work, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that only a few rows become Python objects at a time."""
     for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import slices
+from strandline.llm.common import in_arrow, slices
 
 RATE = 0.15
 MIN_WORDS = 5
@@ -152,7 +152,7 @@ def matches(
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-        found = source.mapInArrow(work, ", ".join(f"{n} long" for n in names))
+        found = in_arrow(source, work, ", ".join(f"{n} long" for n in names))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -176,5 +176,5 @@ def drop_contaminated(
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([not finder.find(t) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = in_arrow(docs, work, docs.schema)
     return docs

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import slices
+from strandline.llm.common import in_arrow, slices
 
 THRESHOLD = 0.8
 _MARKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -146,7 +146,7 @@ def scan(
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "unit", "line", "license", "dice"]
                 )
 
-    return source.mapInArrow(work, "doc_id long, unit string, line long, license string, dice double")
+    return in_arrow(source, work, "doc_id long, unit string, line long, license string, dice double")
 
 
 def scan_sql(templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import slices
+from strandline.llm.common import in_arrow, slices
 from strandline.operators.skew import lookup_join
 from strandline.session import materialise
 
@@ -172,9 +172,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("body")
     )
-    return source.mapInArrow(work, f"doc_id long, text_key string, found {_INSTANCE_SQL}").withColumn(
-        "row", F.monotonically_increasing_id()
-    )
+    rows = in_arrow(source, work, f"doc_id long, text_key string, found {_INSTANCE_SQL}")
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def text_key(text: Column) -> Column:
@@ -284,7 +283,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    out = joined.mapInArrow(work, docs.schema)
+    out = in_arrow(joined, work, docs.schema)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import slices
+from strandline.llm.common import in_arrow, slices
 
 BINS = 1 << 15
 RANK = 4
@@ -190,7 +190,7 @@ def train(
                 names=["doc_id", "y", "index", "value"],
             )
 
-    rows = source.mapInArrow(work, "doc_id long, y int, index binary, value binary").groupBy("doc_id").agg(
+    rows = in_arrow(source, work, "doc_id long, y int, index binary, value binary").groupBy("doc_id").agg(
         F.min(F.struct("y", "index", "value")).alias("r")
     )
     got = sorted(rows.collect())
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Machine, keep: tuple[str, ...], text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.float64())], names=[*keep, out])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(keep)]]
-    return source.mapInArrow(work, ", ".join([*fields, f"`{out}` double"]))
+    return in_arrow(source, work, ", ".join([*fields, f"`{out}` double"]))
 
 
 def keep_good(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -233,4 +233,4 @@ def keep_good(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, tex
             stated = batch.column(batch.schema.get_field_index(length_col)).to_pylist() if has_length else [None] * len(texts)
             yield batch.filter(pa.array(scores(sent.value, texts, stated) >= threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_arrow(docs, work, docs.schema)

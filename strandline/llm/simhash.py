@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import fixed_binary, slices, word_pieces
+from strandline.llm.common import fixed_binary, in_arrow, per_group, slices, word_pieces
 from strandline.operators.skew import lookup_join
 from strandline.session import materialise
 
@@ -115,7 +115,7 @@ def fingerprints(
             )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
-    return source.mapInArrow(work, "doc_id long, fp binary")
+    return in_arrow(source, work, "doc_id long, fp binary")
 
 
 # links ----------------------------------------------------------------------------
@@ -152,7 +152,7 @@ def postings(points: DataFrame, width: int, kept: tuple[int, ...]) -> DataFrame:
                 names=["key", "node", "fp"],
             )
 
-    return points.select("node", "fp").mapInArrow(work, "key long, node long, fp binary")
+    return in_arrow(points.select("node", "fp"), work, "key long, node long, fp binary")
 
 
 def spanning_tree(size: int, hits: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +323,7 @@ def links(
                 yield _edge_rows(root, member)
 
     index = postings(points, width, kept).repartition("key").sortWithinPartitions("key", "node")
-    found = materialise(index.mapInArrow(walk, _OUT), "simhash-links")
+    found = materialise(in_arrow(index, walk, _OUT), "simhash-links")
     edges = found.where(F.col("key").isNull()).select("a", "b")
     long = found.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "fp")
     if long.isEmpty():
@@ -335,7 +335,7 @@ def links(
         a, b = linker.tree(data)
         return pa.table({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b])})
 
-    blocks = dealt_blocks(long, ["key"], block).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    blocks = per_group(dealt_blocks(long, ["key"], block), ["key", "i", "j"], compare, "a long, b long")
     return edges.unionByName(blocks).distinct()
 
 
@@ -447,7 +447,7 @@ def near_copies(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
     texts = lookup_join(texts, members, ["doc_id"], "inner").select("doc_id", "component_id", "body")
     sets = materialise(
-        texts.mapInArrow(grams, "doc_id long, component_id long, grams binary").withColumn("sig", F.xxhash64("grams")), "grams"
+        in_arrow(texts, grams, "doc_id long, component_id long, grams binary").withColumn("sig", F.xxhash64("grams")), "grams"
     )
     nodes = sets.groupBy("component_id", "sig").agg(F.min("doc_id").alias("node"), F.first("grams").alias("grams"))
 
@@ -471,8 +471,8 @@ def near_copies(
         a, b = spanning_tree(len(nodes), hits)
         return pa.table({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b])})
 
-    edges = dealt_blocks(nodes, ["component_id"], exact_block).groupBy("component_id", "i", "j")
-    roots = connected(edges.applyInArrow(compare, "a long, b long"))
+    edges = per_group(dealt_blocks(nodes, ["component_id"], exact_block), ["component_id", "i", "j"], compare, "a long, b long")
+    roots = connected(edges)
     class_of = nodes.select("component_id", "sig", "node").join(roots, "node", "left")
     named = (
         sets.select("doc_id", "component_id", "sig")

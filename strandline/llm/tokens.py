@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import slices
+from strandline.llm.common import in_arrow, slices
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VERSION = "byte_bpe_50k"
@@ -63,7 +63,7 @@ def counted(
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:at]]
-    return source.mapInArrow(work, ", ".join([*fields, "n_tokens long"])).withColumn("tokenizer_version", F.lit(version))
+    return in_arrow(source, work, ", ".join([*fields, "n_tokens long"])).withColumn("tokenizer_version", F.lit(version))
 
 
 class TokenLedger:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import slices
+from strandline.llm.common import in_arrow, slices
 from strandline.operators.skew import lookup_join
 from strandline.session import materialise
 
@@ -114,7 +114,7 @@ def write_chunks(
                 names=["archive", "record", "chunk_no", "chunks", "body", "digest_so_far"],
             )
 
-    return materialise(rows.mapInArrow(work, CHUNKS), "warc")
+    return materialise(in_arrow(rows, work, CHUNKS), "warc")
 
 
 class RecordReader:
@@ -185,7 +185,7 @@ def read_records(chunks: DataFrame) -> DataFrame:
     parts = ["chunk_no", "chunks", "body", "digest_so_far"]
     single = chunks.where("chunks = 1").select(*parts)
     long = chunks.where("chunks > 1").repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk_no").select(*parts)
-    return single.mapInArrow(work, RECORDS).unionByName(long.mapInArrow(work, RECORDS))
+    return in_arrow(single, work, RECORDS).unionByName(in_arrow(long, work, RECORDS))
 
 
 def pages_sql() -> str:
