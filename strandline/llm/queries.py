@@ -61,7 +61,8 @@ def op2_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda s, k=kind: s.kind == k)).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    of_kind = lambda kind: F.size(F.filter("base", lambda s: s.kind == F.lit(kind))).cast("long")
+    counts = [of_kind(kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans")
     )
