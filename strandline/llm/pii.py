@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), kind by kind."""
     out = [("email", *s) for s in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].translate(_NOT_DIGIT)

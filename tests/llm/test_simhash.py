@@ -58,7 +58,7 @@ def test_fingerprint_is_the_plain_one(spark, text):
 def test_pieces_of_long_texts_change_nothing(monkeypatch):
     body = " ".join(texts(20)).encode()
     whole = S.shingle_hashes(body, 3)
-    monkeypatch.setattr(S, "word_pieces", lambda data: (data[i : i + 1].split() and [w] for i, w in enumerate(data.split())))
+    monkeypatch.setattr(S, "word_pieces", lambda data: ([w] for w in data.split()))
     assert np.array_equal(S.shingle_hashes(body, 3), whole)
 
 
