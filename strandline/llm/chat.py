@@ -40,7 +40,7 @@ STATES = ("start", "system", "user", "assistant")
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 ACCEPT = (ASSISTANT,)
 NAMES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "assistant": ASSISTANT, "bot": ASSISTANT, "model": ASSISTANT}
-MERGE, RELABEL, INSERT = 1, 2, 3
+MERGE, RELABEL, INSERT = 1, 4, 2
 NEVER = 1 << 60
 BLOCK = 1_024
 OPEN, CLOSE, GLUE = "<|{}|>\n", "<|end|>\n", "\n\n"

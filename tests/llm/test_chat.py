@@ -1,3 +1,4 @@
+import functools
 import itertools
 import random
 
@@ -28,15 +29,14 @@ def cheapest(roles):
     return best
 
 
-def fewest_inserts(turns, limit=8):
-    for n in range(limit):
-        for places in itertools.combinations(range(len(turns) + n), n):
-            for extra in itertools.product(("user", "assistant"), repeat=n):
-                made, rest, more = [], list(turns), list(extra)
-                for i in range(len(turns) + n):
-                    made.append(more.pop(0) if i in places else rest.pop(0))
-                if legal(made):
-                    return n
+@functools.lru_cache(maxsize=None)
+def fewest_inserts(turns):
+    """Shortest legal conversation that holds the turns in their order."""
+    for pairs in range(1, len(turns) + 3):
+        for whole in (("user", "assistant") * pairs, ("system", *("user", "assistant") * pairs)):
+            rest = iter(whole)
+            if ("system" in whole) == ("system" in turns) and legal(list(whole)) and all(t in rest for t in turns):
+                return len(whole) - len(turns)
     return None
 
 
