@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandline.operators.skew import lookup_join
@@ -67,25 +67,26 @@ def rake(
     """``cells`` (dimensions, tokens) with ``weight``, tokens to raked tokens, and ``probability``."""
     names = list(targets)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    found = materialise(cells.where("tokens > 0").withColumn("raked", F.col("tokens").cast("double")), "cells")
-    wanted = {}
+    found = cells.where("tokens > 0").withColumn("raked", F.col("tokens").cast("double"))
     for name, target in targets.items():
         present = target.join(found.select(F.col(name).alias("level")).distinct(), "level", "left_semi")
         whole = present.agg(F.sum("share")).first()[0] or 1.0
-        wanted[name] = materialise(present.select(F.col("level").alias(name), (F.col("share") / whole * total).alias("goal")), "goals")
+        goal = (F.col("share") / whole * total).alias(f"goal_{name}")
+        found = found.join(present.select(F.col("level").alias(name), goal), name, "left").na.fill(0.0, [f"goal_{name}"])
+    found = materialise(found, "cells")
+    held = found.columns
     for _ in range(sweeps):
         swept, off = found, []
         for name in names:
-            sums = swept.groupBy(name).agg(F.sum("raked").alias("now")).join(wanted[name], name, "left")
-            ratio = F.coalesce("goal", F.lit(0.0)) / F.when(F.col("now") > 0, F.col("now"))
-            sums = sums.select(name, F.coalesce(ratio, F.lit(0.0)).alias(f"_{len(off)}"))
-            off.append(F.abs(F.col(f"_{len(off)}") - 1))
-            swept = swept.join(sums, name).withColumn("raked", F.col("raked") * F.col(f"_{len(off) - 1}"))
-        worst = F.greatest(*off) if len(off) > 1 else off[0]
-        swept = materialise(swept.withColumn("_worst", worst), "cells")
-        far = swept.where("raked > 0").agg(F.max("_worst")).first()[0]
-        found = swept.select(*cells.columns, "raked")
-        if far is None or far <= tolerance:
+            sums = swept.groupBy(name, f"goal_{name}").agg(F.sum("raked").alias("now"))
+            ratio = F.coalesce(F.col(f"goal_{name}") / F.when(F.col("now") > 0, F.col("now")), F.lit(0.0))
+            swept = swept.join(sums.select(name, ratio.alias(f"ratio_{name}")), name)
+            swept = swept.withColumn("raked", F.col("raked") * F.col(f"ratio_{name}"))
+            off.append(F.abs(F.col(f"ratio_{name}") - 1))
+        worst, seen = F.greatest(*off) if len(off) > 1 else off[0], Observation()
+        swept = swept.observe(seen, F.max(F.when(F.col("raked") > 0, worst)).alias("worst"))
+        found = materialise(swept.select(*held), "cells")
+        if (seen.get["worst"] or 0.0) <= tolerance:
             break
     weighed = cells.where("tokens = 0").withColumn("weight", F.lit(1.0)).unionByName(
         found.select(*cells.columns, (F.col("raked") / F.col("tokens")).alias("weight"))

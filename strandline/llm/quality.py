@@ -7,7 +7,7 @@ per feature; since the sum over pairs is half of (square of the sum minus sum of
 the squares), a text is scored in time linear in its features.
 
 The model is fitted on at most ``MAX_FIT_ROWS`` labelled documents, those with
-the smallest hash of the id; only their feature lists reach the driver.
+the smallest hash of the id, in one task; only the weights reach the driver.
 Everything else runs over all rows.
 
 Defined cases: null text is empty text and is scored from its structure alone.
@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import in_arrow, slices
+from strandline.llm.common import in_arrow, per_group, slices
+from strandline.session import ship
 
 BINS = 1 << 15
 RANK = 4
@@ -193,8 +194,18 @@ def train(
     rows = in_arrow(source, work, "doc_id long, y int, index binary, value binary").groupBy("doc_id").agg(
         F.min(F.struct("y", "index", "value")).alias("r")
     )
-    got = sorted(rows.collect())
-    return fit([(r["y"], np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for _, r in got])
+
+    def work_all(table: pa.Table) -> pa.Table:
+        got = sorted(table.to_pylist(), key=lambda row: row["doc_id"])
+        made = [row["r"] for row in got]
+        model = fit([(r["y"], np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in made])
+        return pa.table({"linear": [model.linear.tobytes()], "factors": [model.factors.tobytes()]})
+
+    # one group of at most max_rows rows
+    fitted = per_group(rows.withColumn("one", F.lit(1)), ["one"], work_all, "linear binary, factors binary").first()
+    if fitted is None:
+        return fit([])
+    return Machine(np.frombuffer(fitted["linear"], np.float32), np.frombuffer(fitted["factors"], np.float32).reshape(SIZE, RANK))
 
 
 def scores(model: Machine, texts: list[str | None], stated: list[int | None]) -> np.ndarray:
@@ -211,6 +222,7 @@ def score(docs: DataFrame, model: Machine, keep: tuple[str, ...], text_col: str
     keep = tuple(c for c in keep if c != out)
     stated = F.col(length_col).cast("long") if length_col and length_col in docs.columns else F.lit(None).cast("long")
     source = docs.select(*keep, F.col(text_col).alias("_body"), stated.alias("_stated"))
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +236,7 @@ def score(docs: DataFrame, model: Machine, keep: tuple[str, ...], text_col: str
 
 def keep_good(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The documents that score at least ``threshold``; all columns stay."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     has_length = length_col in docs.columns
 

@@ -17,7 +17,7 @@ def small(spark, tmp_path_factory):
     docs, labels = [], []
     for i in range(240):
         bad = i % 4 == 3
-        docs.append((i, " ".join(w.upper() + "!!" for w in prose(60).split()) if bad else prose(80), "en", f"s{i % 3}"))
+        docs.append((i, " ".join(w.upper() + "!!" for w in prose(60).split()) if bad else prose(80), "en", "s0" if i % 10 < 8 else "s1"))
         labels.append((i, 0 if bad else 1))
     docs += [(1000, docs[0][1], "en", "s1"), (1001, docs[1][1].replace(docs[1][1].split()[40], "changed", 1), "en", "s1")]
     docs += [(1002, f"{prose(30)} {item} {prose(30)}", "en", "s2"), (1003, f"{prose(70)} write to me@home.example.org now", "en", "s2")]
