@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,12 @@ from strandline.functions.values import ratio
 from strandline.operators.contracts import required
 from strandline.operators.metrics import confusion, operating_rates, summarise_scores
 from strandline.operators.ordering import RANGE_ROWS, dense_index, range_edges
-from strandline.operators.skew import lookup_join, spread_join
-from strandline.session import materialise
+from strandline.operators.skew import lookup_join
+from strandline.session import materialise, ship
+
+MEASURES = ("n", "events", "pos", "neg")
+BLOCK_CLUSTERS = 4_096  # clusters whose multiplicities one task holds
+PART_SCORES = 50_000  # rows of (cluster, score) that one task adds up
 
 
 def draw_table(clusters: DataFrame, strata: Sequence[str], cluster: str, replicates: int, seed: int, first: int = 1) -> DataFrame:
@@ -48,28 +54,78 @@ def draw_table(clusters: DataFrame, strata: Sequence[str], cluster: str, replica
 def replicate_scores(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], p: str, y: str, weight: str | None = None) -> DataFrame:
     """Score table per (replicate, group).
 
-    Rows are added up per (cluster, score) before they meet the draws.
+    Rows are added up per (cluster, score) first.  Clusters are dealt to blocks,
+    and scores to parts; a task holds the multiplicities of one block as a matrix
+    and adds up one part of its scores for all replicates at once, so no table of
+    clusters times replicates is ever joined.  What leaves a task is one row per
+    score and replicate.
     """
+    groups, on = list(groups), list(on)
     w = F.col(weight) if weight else F.lit(1.0)
     event = F.col(y) == 1
-    per_cluster = required(df, *groups, *on, p, y).groupBy(*groups, *on, F.col(p).alias("p")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(event).alias("events"),
-        F.sum(F.when(event, w).otherwise(0.0)).alias("pos"),
-        F.sum(F.when(event, 0.0).otherwise(w)).alias("neg"),
-    )
-    per_cluster = materialise(per_cluster, "cluster_scores")
-    met = spread_join(per_cluster, draws, list(on), "inner")
-    m = F.col("mult")
-    return met.groupBy("replicate", *groups, "p").agg(
-        *[F.sum(F.col(c) * m).alias(c) for c in ("n", "events", "pos", "neg")]
+    sums = required(df, *groups, *on, p, y).groupBy(*groups, *on, F.col(p).alias("p")).agg(
+        *[c.cast("double").alias(n) for n, c in {
+            "n": F.count(F.lit(1)),
+            "events": F.count_if(event),
+            "pos": F.sum(F.when(event, w).otherwise(0.0)),
+            "neg": F.sum(F.when(event, 0.0).otherwise(w)),
+        }.items()]
+    )
+    sums = materialise(sums, "cluster_scores")
+    drawn = draws.groupBy(*on).agg(F.collect_list("replicate").alias("_reps"), F.collect_list("mult").alias("_mults"))
+    drawn = materialise(drawn.withColumn("_cluster", F.xxhash64(*on)), "cluster_draws")
+    size = drawn.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("_reps")).alias("last")).first()
+    last, blocks = size["last"] or 0, max(1, -(-size["n"] // BLOCK_CLUSTERS))
+    parts = max(1, -(-sums.count() // (blocks * PART_SCORES)))
+    block = F.pmod("_cluster", F.lit(blocks)).alias("_block")
+    left = sums.select(*groups, "p", *MEASURES, F.xxhash64(*on).alias("_cluster"))
+    left = left.select("*", block, F.pmod(F.xxhash64("p"), F.lit(parts)).alias("_part"))
+    right = drawn.select("_cluster", "_reps", "_mults", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
+    keys = [*groups, "p"]
+
+    def add_up(scores: pa.Table, clusters: pa.Table) -> pa.Table:
+        names = clusters.column("_cluster").to_numpy()
+        table = np.zeros((len(names) + 1, last))  # the last row is for clusters that no replicate drew
+        for i, (reps, mults) in enumerate(zip(clusters.column("_reps").to_pylist(), clusters.column("_mults").to_pylist())):
+            table[i, np.array(reps) - 1] = mults
+        order = np.argsort(names)
+        scores = scores.sort_by([(k, "ascending") for k in keys])
+        wanted = scores.column("_cluster").to_numpy()
+        at = np.searchsorted(names[order], wanted) if len(names) else np.zeros(len(wanted), np.int64)
+        known = (at < len(names)) & (names[order][np.minimum(at, len(names) - 1)] == wanted) if len(names) else np.zeros(len(wanted), bool)
+        rows = np.where(known, order[np.minimum(at, max(0, len(names) - 1))] if len(names) else 0, len(names))
+        same = np.ones(scores.num_rows, bool)  # is a row the first of its key
+        if scores.num_rows > 1:
+            columns = [scores.column(k).to_pylist() for k in keys]
+            same[1:] = [any(c[i] != c[i - 1] for c in columns) for i in range(1, scores.num_rows)]
+        place = np.cumsum(same) - 1
+        out = {m: np.zeros((place[-1] + 1 if len(place) else 0, last)) for m in MEASURES}
+        for start in range(0, len(rows), 1_024):
+            mine, here = rows[start : start + 1_024], place[start : start + 1_024]
+            firsts = np.flatnonzero(np.diff(here, prepend=-1))
+            times = table[mine]
+            for m in MEASURES:
+                values = scores.column(m).to_numpy()[start : start + 1_024]
+                out[m][here[firsts]] += np.add.reduceat(times * values[:, None], firsts, axis=0)
+        heads = scores.filter(pa.array(same)).select(keys)
+        offsets = pa.array(np.arange(heads.num_rows + 1) * last, pa.int32())
+        for m in MEASURES:
+            heads = heads.append_column(m, pa.ListArray.from_arrays(offsets, pa.array(out[m].ravel())))
+        return heads
+
+    ship(df.sparkSession)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*keys).schema] + [f"{m} array<double>" for m in MEASURES]
+    added = left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInArrow(add_up, ", ".join(fields))
+    each = added.select(*keys, F.posexplode(F.arrays_zip(*MEASURES)).alias("replicate", "_m")).where("_m.n > 0")
+    return each.groupBy((F.col("replicate") + 1).alias("replicate"), *keys).agg(
+        *[F.sum(F.col("_m")[m]).cast("long" if m in ("n", "events") else "double").alias(m) for m in MEASURES]
     )
 
 
 def replicate_metrics(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], p: str, y: str, weight: str | None = None, rows: int = RANGE_ROWS) -> DataFrame:
     """AUROC, average precision, Brier, log loss, rate and O/E per replicate."""
     edges = range_edges(df, p, rows)
-    table = replicate_scores(df, draws, groups, on, p, y, weight)
+    table = materialise(replicate_scores(df, draws, groups, on, p, y, weight), "replicate_scores")
     return summarise_scores(table, ["replicate", *groups], rows, edges)
 
 

@@ -310,7 +310,7 @@ def score_audit(spark, sf_dir):
 
 # resampling --------------------------------------------------------------------------------
 
-SEED, REPS = 7, 60
+SEED, REPS = 7, 1000
 ENTITY_SEED, ENTITY_REPS = 11, 15
 
 
@@ -353,7 +353,7 @@ def cluster_draws(spark, sf_dir):
 
 cte(
     "rep_rows",
-    "SELECT l.*, d.replicate, d.mult, weight * d.mult AS w FROM long l JOIN draws_f d USING (stratum, facility_id) WHERE model = 'tied'",
+    "SELECT l.model, l.outcome, l.y, l.p, d.replicate, weight * d.mult AS w FROM long l JOIN draws_f d USING (stratum, facility_id)",
     "long",
     "draws_f",
 )
@@ -366,36 +366,36 @@ def long_rows(spark, sf_dir, *keep):
 
 @staged
 def facility_replicates(spark, sf_dir):
-    """Metrics of every replicate of the tied score, per outcome."""
-    rows = long_rows(spark, sf_dir, *ON).where("model = 'tied'")
-    return S.replicate_metrics(rows, facility_draws(spark, sf_dir), ["outcome"], ON, "p", "y", "weight")
+    """Metrics of every replicate, score and outcome."""
+    rows = long_rows(spark, sf_dir, *ON)
+    return S.replicate_metrics(rows, facility_draws(spark, sf_dir), ["model", "outcome"], ON, "p", "y", "weight")
 
 
-_REP = metrics_sql("rep_rows", "replicate, outcome", "w")
+_REP = metrics_sql("rep_rows", "replicate, model, outcome", "w")
 _FAMILY = ("auroc", "auprc", "brier", "log_loss", "prevalence", "observed_expected")
 
 
 @query(
     "replicate_metrics",
-    sql(f"SELECT replicate, outcome, {', '.join(_FAMILY)} FROM ({_REP})", "rep_rows"),
+    sql(f"SELECT replicate, model, outcome, {', '.join(_FAMILY)} FROM ({_REP})", "rep_rows"),
 )
 def replicate_metrics(spark, sf_dir):
-    return rounded(facility_replicates(spark, sf_dir).select("replicate", "outcome", *_FAMILY))
+    return rounded(facility_replicates(spark, sf_dir).select("replicate", "model", "outcome", *_FAMILY))
 
 
 @query(
     "percentile_intervals",
     sql(
-        "SELECT outcome, "
+        "SELECT model, outcome, "
         + ", ".join(
             f"round(quantile_cont({m}, 0.025), 5) AS {m}_low, round(quantile_cont({m}, 0.975), 5) AS {m}_high, count({m}) AS {m}_defined" for m in _FAMILY
         )
-        + f" FROM ({_REP.replace(', 6)', ', 12)')}) GROUP BY 1",
+        + f" FROM ({_REP.replace(', 6)', ', 12)')}) GROUP BY 1, 2",
         "rep_rows",
     ),
 )
 def percentile_intervals(spark, sf_dir):
-    return rounded(S.intervals(facility_replicates(spark, sf_dir), ["outcome"], _FAMILY), 5)
+    return rounded(S.intervals(facility_replicates(spark, sf_dir), ["model", "outcome"], _FAMILY), 5)
 
 
 @query(
@@ -445,18 +445,18 @@ def entity_bootstrap_metrics(spark, sf_dir):
 
 cte(
     "rep_logits",
-    """SELECT replicate, ln(p / (1 - p)) AS x, sum(weight * mult * y) AS pos, sum(weight * mult * (1 - y)) AS neg FROM
-  (SELECT l.*, d.replicate, d.mult FROM long l JOIN draws_f d USING (stratum, facility_id) WHERE model = 'tied' AND outcome = 'any') GROUP BY 1, 2""",
+    """SELECT replicate, model, outcome, ln(p / (1 - p)) AS x, sum(weight * mult * y) AS pos, sum(weight * mult * (1 - y)) AS neg FROM
+  (SELECT l.* REPLACE (least(greatest(p, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS p), d.replicate, d.mult FROM long l JOIN draws_f d USING (stratum, facility_id)) GROUP BY 1, 2, 3, 4""",
     "long",
     "draws_f",
 )
 
 
-@query("bootstrap_calibration", sql(newton_sql("rep_logits", "replicate"), "rep_logits"))
+@query("bootstrap_calibration", sql(newton_sql("rep_logits", "replicate, model, outcome", 8), "rep_logits"))
 def bootstrap_calibration(spark, sf_dir):
-    rows = scored_lines(spark, sf_dir)
-    table = S.replicate_scores(rows, facility_draws(spark, sf_dir), [], ON, "p_tied", "y_any", "weight")
-    return rounded(M.fit_logit(table, ["replicate"]), 5)
+    groups = ["model", "outcome"]
+    table = S.replicate_scores(long_rows(spark, sf_dir, *ON), facility_draws(spark, sf_dir), groups, ON, "p", "y", "weight")
+    return rounded(M.fit_logit(table, ["replicate", *groups]), 5)
 
 
 @query(
@@ -541,26 +541,15 @@ def in_bin_resampling(spark, sf_dir):
 
 cte(
     "rep_ap",
-    "SELECT replicate, outcome, model, auprc FROM ("
-    + metrics_sql(
-        "(SELECT l.model, l.outcome, l.y, floor(l.p * 100 + 0.5::DOUBLE) / 100 AS p, d.replicate, weight * d.mult AS w FROM long l JOIN draws_f d USING (stratum, facility_id))",
-        "replicate, outcome, model",
-        "w",
-    ).replace(", 6)", ", 14)")
-    + ")",
-    "long",
-    "draws_f",
+    "SELECT replicate, outcome, model, auprc FROM (" + _REP.replace(", 6)", ", 14)") + ")",
+    "rep_rows",
 )
 cte(
     "rep_diff",
     """SELECT a.replicate, a.outcome, a.auprc - b.auprc AS difference FROM rep_ap a JOIN rep_ap b USING (replicate, outcome) WHERE a.model = 'fine' AND b.model = 'tied'""",
     "rep_ap",
 )
-cte(
-    "pts",
-    metrics_sql("(SELECT * REPLACE (floor(p * 100 + 0.5::DOUBLE) / 100 AS p) FROM long)", "model, outcome", "weight").replace(", 6)", ", 14)"),
-    "long",
-)
+cte("pts", metrics_sql("long", "model, outcome", "weight").replace(", 6)", ", 14)"), "long")
 cte(
     "point_diff",
     "SELECT a.outcome, a.auprc - b.auprc AS estimate FROM pts a JOIN pts b USING (outcome) WHERE a.model = 'fine' AND b.model = 'tied'",
@@ -568,22 +557,14 @@ cte(
 )
 
 
-def coarse(df):
-    """Scores to two digits, as both models are compared on one scale."""
-    return df.withColumn("p", F.floor(F.col("p") * 100 + 0.5) / 100)
-
-
-@staged
 def differences(spark, sf_dir):
     """AUPRC difference of the two scores per replicate and outcome."""
-    rows = coarse(long_rows(spark, sf_dir, *ON))
-    reps = S.replicate_metrics(rows, facility_draws(spark, sf_dir), ["outcome", "model"], ON, "p", "y", "weight")
-    return S.paired_difference(reps, ["outcome"], "model", "fine", "tied", "auprc")
+    return S.paired_difference(facility_replicates(spark, sf_dir), ["outcome"], "model", "fine", "tied", "auprc")
 
 
 @staged
 def point_differences(spark, sf_dir):
-    point = M.binary_metrics(coarse(long_rows(spark, sf_dir)), ["model", "outcome"], "p", "y", "weight")
+    point = M.binary_metrics(long_rows(spark, sf_dir), ["model", "outcome"], "p", "y", "weight")
     ap = point.select("model", "outcome", "auprc")
     fine = ap.where("model = 'fine'").select("outcome", F.col("auprc").alias("_a"))
     tied = ap.where("model = 'tied'").select("outcome", F.col("auprc").alias("_b"))
