@@ -186,8 +186,9 @@ def fit_calibrator(df: DataFrame, method: str, p: str, y: str) -> Any:
         return None
     if method == "platt":
         return fit_platt(df, p, y)
-    rows = df.withColumn("_f", clip(F.col(p)))
-    return IsotonicRegression(featuresCol="_f", labelCol=y, predictionCol="_iso").fit(rows)
+    # equal scores are one weighted point, so what the fit pools is no longer than the scores are distinct
+    points = df.groupBy(clip(F.col(p)).alias("_f")).agg(F.avg(y).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+    return IsotonicRegression(featuresCol="_f", labelCol="_y", weightCol="_w", predictionCol="_iso").fit(points)
 
 
 def choose_calibrator(df: DataFrame, p: str, y: str, half: str, tolerance: float = 0.0005) -> tuple[str, Any, dict[str, float]]:

@@ -8,12 +8,13 @@ from strandline.functions.text import normalize_code, parse_timestamp
 from strandline.layout import FIRST_CODE_ID
 from strandline.operators import chains as C
 from strandline.operators import metrics as M
+from strandline.operators import resample as S
 from strandline.operators.history import with_stay_history
 from strandline.operators.linkage import running_max
 from strandline.operators.skew import lookup_join
 from strandline.plans.bindings import stays, table
-from strandline.plans.evaluation import metrics_sql, tidy
-from strandline.plans.registry import cte, query, rounded, sql
+from strandline.plans.evaluation import draws_sql, metrics_sql, tidy
+from strandline.plans.registry import cte, query, rnd, rounded, sql
 from strandline.plans.stages import staged
 
 # source rows, some of them unusable -----------------------------------------------------
@@ -432,3 +433,98 @@ def transfer_metrics(spark, sf_dir):
     score = F.round(1 / (1 + F.exp(-(F.pmod("chain_id", F.lit(40)) - 20) / 10.0)), 6)
     known = chain_labels(spark, sf_dir).where("any_follow_up IS NOT NULL").withColumn("p", score)
     return tidy(M.binary_metrics(known, [], "p", "any_follow_up"))
+
+
+# transfer evaluation: subjects are drawn, not chains ------------------------------------------------
+
+TRANSFER_SEED, TRANSFER_REPS = 31, 1000
+_SCORES = {"a": ("% 40", 20, 10.0), "b": ("* 7 % 40", 20, 8.0)}
+cte(
+    "unseen_codes",
+    """SELECT subject_id, chain_id, count(*) FILTER (WHERE code NOT IN (SELECT code FROM common_stay_codes)) AS unseen FROM chain_events GROUP BY 1, 2""",
+    "chain_events",
+    "common_stay_codes",
+)
+cte(
+    "transfer_rows",
+    " UNION ALL ".join(
+        f"""SELECT subject_id, chain_id, any_follow_up AS y, '{m}' AS model, round(1 / (1 + exp(-((chain_id {step}) - {middle}) / {scale}::DOUBLE)), 6) AS p,
+  CASE WHEN coalesce(unseen, 0) = 0 THEN 'none' ELSE 'some' END AS unseen_codes
+FROM chain_labels LEFT JOIN unseen_codes USING (subject_id, chain_id) WHERE any_follow_up IS NOT NULL"""
+        for m, (step, middle, scale) in _SCORES.items()
+    ),
+    "chain_labels",
+    "unseen_codes",
+)
+cte("transfer_draws", draws_sql("transfer_rows", "", "subject_id", TRANSFER_REPS, TRANSFER_SEED), "transfer_rows")
+cte("transfer_drawn", "SELECT t.*, d.replicate, d.mult FROM transfer_rows t JOIN transfer_draws d USING (subject_id)", "transfer_draws")
+
+
+@staged
+def transfer_rows(spark, sf_dir):
+    """Chains with a known label, two scores, and whether a code of theirs is outside the vocabulary."""
+    labels = chain_labels(spark, sf_dir).where("any_follow_up IS NOT NULL")
+    rows = labels.join(unseen_codes_per_chain(spark, sf_dir).select("subject_id", "chain_id", "unseen"), ["subject_id", "chain_id"], "left")
+    score = lambda place, scale: F.round(1 / (1 + F.exp(-(place - 20) / scale)), 6)
+    key = F.col("chain_id")
+    scores = {"a": score(F.pmod(key, F.lit(40)), 10.0), "b": score(F.pmod(key * 7, F.lit(40)), 8.0)}
+    entries = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("p")) for m, p in scores.items()])
+    return rows.select(
+        "subject_id", "chain_id", F.col("any_follow_up").alias("y"),
+        F.when(F.coalesce("unseen", F.lit(0)) == 0, "none").otherwise("some").alias("unseen_codes"), F.inline(entries),
+    )
+
+
+@staged
+def transfer_draws(spark, sf_dir):
+    return S.draw_table(transfer_rows(spark, sf_dir).select("subject_id"), [], "subject_id", TRANSFER_REPS, TRANSFER_SEED)
+
+
+@staged
+def transfer_replicates(spark, sf_dir):
+    return S.replicate_metrics(transfer_rows(spark, sf_dir), transfer_draws(spark, sf_dir), ["model"], ["subject_id"], "p", "y")
+
+
+_TRANSFER = ("auroc", "auprc", "brier")
+_BOUNDS = ", ".join(
+    f"round(quantile_cont({m}, 0.025), 5) AS {m}_low, round(quantile_cont({m}, 0.975), 5) AS {m}_high, count({m}) AS {m}_defined" for m in _TRANSFER
+)
+_drawn_metrics = lambda groups: metrics_sql("transfer_drawn", groups, "mult").replace(", 6)", ", 12)")
+
+
+@query(
+    "transfer_intervals",
+    sql(f"SELECT model, {_BOUNDS} FROM ({_drawn_metrics('replicate, model')}) GROUP BY 1", "transfer_drawn"),
+)
+def transfer_intervals(spark, sf_dir):
+    """Bounds of metrics over replicates of subjects."""
+    return rounded(S.intervals(transfer_replicates(spark, sf_dir), ["model"], _TRANSFER), 5)
+
+
+@query(
+    "transfer_paired_difference",
+    sql(
+        f"""WITH m AS ({_drawn_metrics('replicate, model')}), d AS (SELECT a.auroc - b.auroc AS difference FROM m a JOIN m b USING (replicate) WHERE a.model = 'a' AND b.model = 'b')
+SELECT round(avg(difference), 6) + 0.0 AS mean_difference, round(quantile_cont(difference, 0.025), 5) + 0.0 AS low,
+  round(quantile_cont(difference, 0.975), 5) + 0.0 AS high, count(difference) AS n_defined FROM d""",
+        "transfer_drawn",
+    ),
+)
+def transfer_paired_difference(spark, sf_dir):
+    """The two scores compared in the same replicates of subjects."""
+    found = S.paired_difference(transfer_replicates(spark, sf_dir), [], "model", "a", "b", "auroc")
+    low, high = S.percentile_bounds("difference")
+    return found.agg(
+        rnd(F.avg("difference")).alias("mean_difference"), rnd(low, 5).alias("low"), rnd(high, 5).alias("high"), F.count("difference").alias("n_defined")
+    )
+
+
+@query(
+    "transfer_intervals_by_unseen_codes",
+    sql(f"SELECT unseen_codes, model, {_BOUNDS} FROM ({_drawn_metrics('replicate, unseen_codes, model')}) GROUP BY 1, 2", "transfer_drawn"),
+)
+def transfer_intervals_by_unseen_codes(spark, sf_dir):
+    """The same bounds for chains without and with codes outside the vocabulary."""
+    groups = ["unseen_codes", "model"]
+    found = S.replicate_metrics(transfer_rows(spark, sf_dir), transfer_draws(spark, sf_dir), groups, ["subject_id"], "p", "y")
+    return rounded(S.intervals(found, groups, _TRANSFER), 5)

