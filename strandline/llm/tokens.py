@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import in_arrow, slices
+from strandline.session import materialise
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VERSION = "byte_bpe_50k"
@@ -94,7 +95,8 @@ class TokenLedger:
         marker, files = self._path(f"commits/{batch}")
         if files.exists(marker):
             return False
-        changes = changes.select("op", "seq", *STATE)
+        # several uses below; counting tokens again would cost more than the narrow rows
+        changes = materialise(changes.select("op", "seq", *STATE), "changes")
         alive = F.col("op") != "delete"
         state = F.struct("seq", (~alive).alias("gone"), "n_tokens", "source", "lang")
         last = (
