@@ -3,8 +3,17 @@
 Documents are added up to cells (source, language, topic) of tokens.  Each sweep
 scales the cells to the target of one dimension after the other, until all
 marginals agree; the ratio of a cell's raked weight to its tokens is the weight
-of its documents, and weight over the largest weight is the probability with
-which a document is drawn.  A draw depends on the id and a seed only.
+of its documents.  A draw depends on the id and a seed only.
+
+``sample`` draws to a token budget, the share ``SHARE`` of all tokens: the
+probability is a constant times the weight, at most one, and the constant is
+solved so that the expected tokens are the budget.  Cells whose probability is
+one are kept whole, and the others share what is left; a small cell of large
+weight thus takes its own tokens from the rest and no more.  Where the cells with
+a weight hold fewer tokens than the budget, all of them are kept.
+
+``rake`` also gives weight over the largest weight, the rate at which no cell is
+capped.  One rare level sets it for all documents, so it is not a sampling plan.
 
 Only the cells are swept, which are written to the shared folder every sweep;
 documents meet them in a join that is a broadcast only below a checked size.
@@ -28,6 +37,7 @@ from strandline.session import materialise
 
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
+SHARE = 0.5  # of all tokens, the budget of a sample
 SWEEPS, TOLERANCE = 50, 1e-6
 SEED = "mix-1"
 NONE = "(none)"
@@ -121,6 +131,34 @@ def mix(
     return rake(cells, targets or {n: tempered(cells, n, powers[n]) for n in dimensions}, **limits)
 
 
+def to_budget(cells: DataFrame, share: float = SHARE) -> DataFrame:
+    """``cells`` with the ``probability`` at which the expected tokens are ``share`` of all.
+
+    Each round keeps the cells whole that the constant would draw more than once
+    and solves for the others; cells only ever join the whole ones, so it ends.
+    """
+    tokens, weight = F.col("tokens"), F.col("weight")
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    constant, whole = 0.0, -1
+    while True:
+        # a cell once kept whole stays so: the constant never falls
+        capped = weight * F.lit(constant) >= 1
+        seen = cells.where("tokens > 0 AND weight > 0").agg(
+            F.count_if(capped).alias("whole"),
+            F.sum(F.when(capped, tokens)).alias("held"),
+            F.sum(F.when(~capped, tokens * weight)).alias("rest"),
+        ).first()
+        if not seen["rest"]:
+            constant = float("inf")
+            break
+        if seen["whole"] == whole:
+            break
+        whole = seen["whole"]
+        constant = max(constant, (share * total - (seen["held"] or 0)) / seen["rest"])
+    chance = F.when(weight > 0, F.least(F.lit(1.0), weight * F.lit(constant))).otherwise(0.0)
+    return cells.withColumn("probability", chance)
+
+
 def with_weights(docs: DataFrame, cells: DataFrame, dimensions: Mapping[str, Column], prefix: str = "_") -> DataFrame:
     """``docs`` with its cell's ``weight`` and ``probability``, both behind ``prefix``."""
     keys = {f"{prefix}{n}": level(c) for n, c in dimensions.items()}
@@ -129,11 +167,11 @@ def with_weights(docs: DataFrame, cells: DataFrame, dimensions: Mapping[str, Col
 
 
 def sample(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", seed: str = SEED, **limits
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", seed: str = SEED, share: float = SHARE, **limits
 ) -> DataFrame:
-    """The documents drawn, with all their columns and ``mix_weight``."""
+    """The documents drawn, ``share`` of all tokens, with all their columns and ``mix_weight``."""
     dimensions = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(F.col(text_col))}
-    cells = mix(docs, dimensions, token_count(F.col(text_col)), **limits)
+    cells = to_budget(mix(docs, dimensions, token_count(F.col(text_col)), **limits), share)
     prefix = "_mix_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix

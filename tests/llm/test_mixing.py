@@ -75,3 +75,29 @@ def test_sample_defined_cases(spark):
     rows = out.collect()
     assert 0 < len(rows) <= 62 and sum(r.doc_id == 7 for r in rows) in (0, 2)
     assert M.sample(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9, 1.0])
+def test_expected_tokens_are_the_budget(spark, share):
+    weighed = [(t, 0.2 + 7 * i * i) for i, t in enumerate(CELLS.values())]
+    rows = M.to_budget(spark.createDataFrame(weighed, "tokens long, weight double"), share).collect()
+    assert sum(r.tokens * r.probability for r in rows) == pytest.approx(share * sum(CELLS.values()), rel=1e-9)
+    part = [r.probability / r.weight for r in rows if r.probability < 1]
+    assert all(0 <= r.probability <= 1 for r in rows)
+    assert all(c == pytest.approx(part[0]) for c in part)
+    assert all(r.weight * part[0] >= 1 - 1e-9 for r in rows if part and r.probability == 1)
+
+
+def test_one_rare_source_leaves_the_kept_share(spark):
+    """A source of one short document has a weight far above all others."""
+    rows = [(i, f"word {i} " + "text " * 40, "abc"[i % 3], "en") for i in range(3_000)]
+    rows.append((9_999, "rare " * 5, "rare", "en"))
+    kept = M.sample(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).count()
+    assert 0.46 * len(rows) < kept < 0.54 * len(rows)
+
+
+def test_cells_without_weight_do_not_fill_the_budget(spark):
+    cells = spark.createDataFrame([("a", 10, 0.5), ("b", 90, 0.0), ("c", 0, 1.0)], "source string, tokens long, weight double")
+    got = {r.source: r.probability for r in M.to_budget(cells, 0.5).collect()}
+    assert got == {"a": 1.0, "b": 0.0, "c": 1.0}
+    assert M.to_budget(cells.limit(0)).count() == 0
