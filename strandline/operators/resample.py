@@ -8,6 +8,7 @@ come back with the same draws.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,19 @@ from strandline.session import materialise, ship
 MEASURES = ("n", "events", "pos", "neg")
 BLOCK_CLUSTERS = 4_096  # clusters whose multiplicities one task holds
 PART_SCORES = 50_000  # rows of (cluster, score) that one task adds up
+PLACES, DRAWS = 65_536, 8_192  # clusters to an array; draws of a replicate that one task makes
+
+
+def drawing_order(clusters: DataFrame, strata: Sequence[str], cluster: str, seed: int) -> DataFrame:
+    """``clusters``, one row each, with their place ``_i`` in the stratum (``_all`` if there are no strata)."""
+    strata = list(strata)
+    members = required(clusters, *strata, cluster).withColumn(
+        "_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*strata, cluster)]))
+    )
+    members = members.withColumn("_lead", F.substring("_hash", 1, 3))
+    if not strata:
+        members = members.withColumn("_all", F.lit(0))
+    return materialise(dense_index(members, strata or ["_all"], ["_lead"], ["_hash"], "_i").drop("_lead", "_hash"), "clusters")
 
 
 def draw_table(clusters: DataFrame, strata: Sequence[str], cluster: str, replicates: int, seed: int, first: int = 1) -> DataFrame:
@@ -34,14 +48,8 @@ def draw_table(clusters: DataFrame, strata: Sequence[str], cluster: str, replica
     many replicates be worked off in blocks.
     """
     strata = list(strata)
-    members = required(clusters.select(*strata, cluster).distinct(), *strata, cluster).withColumn(
-        "_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*strata, cluster)]))
-    )
-    members = members.withColumn("_lead", F.substring("_hash", 1, 3))
     keys = strata or ["_all"]
-    if not strata:
-        members = members.withColumn("_all", F.lit(0))
-    indexed = materialise(dense_index(members, keys, ["_lead"], ["_hash"], "_i").drop("_lead", "_hash"), "clusters")
+    indexed = drawing_order(clusters.select(*strata, cluster).distinct(), strata, cluster, seed)
     sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     reps = F.explode(F.sequence(F.lit(first), F.lit(first + replicates - 1))).alias("replicate")
     stratum = [F.col(c) for c in strata]
@@ -51,6 +59,49 @@ def draw_table(clusters: DataFrame, strata: Sequence[str], cluster: str, replica
     return counts.join(indexed, [*keys, "_i"]).select(*strata, "replicate", cluster, "mult")
 
 
+def drawn_sums(df: DataFrame, strata: Sequence[str], cluster: str, sums: Mapping[str, Column], replicates: int, seed: int) -> DataFrame:
+    """Sums per (stratum, replicate) under the draws of ``draw_table``, for strata of many clusters.
+
+    A task has the sums of all clusters of a stratum, as arrays, makes one part of
+    its draws for all replicates and adds up what they pick; what leaves a task is
+    one row per replicate, so no table of clusters times replicates exists.
+    """
+    strata, names = list(strata), list(sums)
+    per = df.groupBy(*strata, cluster).agg(*[c.cast("double").alias(n) for n, c in sums.items()])
+    placed = drawing_order(per, strata, cluster, seed)
+    block = F.floor(F.col("_i") / PLACES).alias("_block")
+    held = placed.groupBy(*strata, block).agg(F.array_sort(F.collect_list(F.struct("_i", *names))).alias("_held"))
+    sizes = placed.groupBy(*strata).agg(F.count(F.lit(1)).alias("_m"))
+    material = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in strata]).alias("_text")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / DRAWS))).alias("_part")
+    dealt = held.join(sizes.select(*strata, "_m", material, parts), strata)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_block")
+        flat = pa.concat_arrays([c for c in table.column("_held").chunks]).flatten()
+        values = [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+        m, part, text = (table.column(c)[0].as_py() for c in ("_m", "_part", "_text"))
+        places = [str(i).encode() for i in range(part * DRAWS, min(m, (part + 1) * DRAWS))]
+        out = np.zeros((len(names), replicates))
+        for r in range(replicates):
+            lead = f"{text}:{r + 1}:".encode()
+            digests = b"".join([md5(lead + i).digest() for i in places])
+            first = np.frombuffer(digests, ">u8")[::2].astype(np.uint64) >> np.uint64(16)  # 12 hex digits
+            at = (first % np.uint64(m)).astype(np.int64)
+            out[:, r] = [v[at].sum() for v in values]
+        heads = table.slice(0, 1).select(strata).take(pa.array(np.zeros(replicates, np.int64)))
+        heads = heads.append_column("replicate", pa.array(np.arange(1, replicates + 1), pa.int32()))
+        for n, v in zip(names, out):
+            heads = heads.append_column(n, pa.array(v))
+        return heads
+
+    ship(df.sparkSession)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*strata).schema]
+    fields += ["replicate int", *[f"`{n}` double" for n in names]]
+    added = dealt.groupBy(*strata, "_part").applyInArrow(add_up, ", ".join(fields))
+    return added.groupBy(*strata, "replicate").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def replicate_scores(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], p: str, y: str, weight: str | None = None) -> DataFrame:
     """Score table per (replicate, group).
 

@@ -507,7 +507,7 @@ def weighted_bin_intervals(spark, sf_dir):
     return rounded(bounds.drop("observed_defined", "predicted_defined"), 5)
 
 
-BIN_SEED, BIN_REPS = 23, 40
+BIN_SEED, BIN_REPS = 23, 1000
 cte(
     "doc_bins",
     """SELECT doc_id, y, greatest(ceil(i * 10 / greatest(n - 1, 1)::DOUBLE), 1)::INT AS bin FROM
@@ -530,8 +530,7 @@ JOIN (SELECT bin, count(*) AS n, sum(y)::BIGINT AS events FROM doc_bins GROUP BY
 def in_bin_resampling(spark, sf_dir):
     """Rows drawn with replacement inside each equal-count bin."""
     rows = M.with_equal_count_bin(scored_documents(spark, sf_dir).select("doc_id", "y", "p"), [], "p", "doc_id")
-    draws = S.draw_table(rows, ["bin"], "doc_id", BIN_REPS, BIN_SEED)
-    sums = S.replicate_sums(rows, draws, [], ["bin", "doc_id"], {"n": F.count(F.lit(1)), "k": F.sum("y")}, by=["bin"])
+    sums = S.drawn_sums(rows, ["bin"], "doc_id", {"n": F.count(F.lit(1)), "k": F.sum("y")}, BIN_REPS, BIN_SEED)
     reps = sums.select("bin", (F.col("k") / F.col("n")).alias("observed"))
     point = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
     return rounded(point.join(S.intervals(reps, ["bin"], ["observed"]).drop("observed_defined"), "bin"))

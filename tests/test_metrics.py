@@ -128,3 +128,21 @@ def test_holm_steps_down(spark):
     tests = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03)], "family string, name string, p double")
     out = {r["name"]: r["adjusted_p"] for r in S.holm(tests, ["family"], "p", "name").collect()}
     assert out == pytest.approx({"a": 0.03, "c": 0.06, "b": 0.06})
+
+
+def test_drawn_sums_are_those_of_the_draw_table(spark, monkeypatch):
+    monkeypatch.setattr(S, "PLACES", 16)
+    monkeypatch.setattr(S, "DRAWS", 8)
+    rows = [(i % 3 if i < 120 else 7, i, i % 5 % 2) for i in range(121)] + [(0, 0, 1)]
+    df = spark.createDataFrame(rows, "bin int, id long, y int")
+    sums = {"n": F.count(F.lit(1)), "k": F.sum("y")}
+    want = S.replicate_sums(df, S.draw_table(df, ["bin"], "id", 30, 5), [], ["bin", "id"], sums, by=["bin"])
+    got = S.drawn_sums(df, ["bin"], "id", sums, 30, 5)
+    flat = lambda t: sorted((r.bin, r.replicate, r.n, r.k) for r in t.collect())
+    assert flat(got) == flat(want) and len(flat(got)) == 4 * 30
+
+
+def test_bins_are_resampled_a_thousand_times():
+    from strandline.plans import evaluation
+
+    assert evaluation.BIN_REPS >= 1000
