@@ -311,7 +311,8 @@ def score_audit(spark, sf_dir):
 # resampling --------------------------------------------------------------------------------
 
 SEED, REPS = 7, 1000
-ENTITY_SEED, ENTITY_REPS = 11, 15
+ENTITY_SEED, ENTITY_REPS = 11, 1000
+SHOWN_REPS = 15  # of the draws that are themselves a result
 
 
 def draws_sql(source: str, strata: str, cluster: str, reps: int, seed: int) -> str:
@@ -327,6 +328,7 @@ JOIN (SELECT *, row_number() OVER ({part}ORDER BY md5({text} || {cluster})) - 1
 
 cte("draws_f", draws_sql("scored", "stratum", "facility_id", REPS, SEED), "scored")
 cte("draws_e", draws_sql("scored", "", "entity_id", ENTITY_REPS, ENTITY_SEED), "scored")
+cte("draws_shown", draws_sql("scored", "", "entity_id", SHOWN_REPS, ENTITY_SEED), "scored")
 
 
 @staged
@@ -346,9 +348,9 @@ def stratified_cluster_draws(spark, sf_dir):
     return facility_draws(spark, sf_dir)
 
 
-@query("cluster_draws", sql("SELECT * FROM draws_e", "draws_e"))
+@query("cluster_draws", sql("SELECT * FROM draws_shown", "draws_shown"))
 def cluster_draws(spark, sf_dir):
-    return entity_draws(spark, sf_dir)
+    return S.draw_table(scored_lines(spark, sf_dir).select("entity_id"), [], "entity_id", SHOWN_REPS, ENTITY_SEED)
 
 
 cte(

@@ -146,3 +146,9 @@ def test_bins_are_resampled_a_thousand_times():
     from strandline.plans import evaluation
 
     assert evaluation.BIN_REPS >= 1000
+
+
+def test_entities_are_resampled_a_thousand_times_for_bounds():
+    from strandline.plans import evaluation
+
+    assert evaluation.ENTITY_REPS >= 1000
