@@ -7,7 +7,9 @@ patterns.  Spark scores the graph of patterns and instances in rounds: a pattern
 is accepted for a kind when enough known instances of that kind occur in it and
 they are most of what occurs in it; an instance is accepted when its accepted
 patterns together make it likely; accepted instances are known in the next
-round.  All occurrences of accepted instances are spans beside the base ones.
+round.  Rounds go on until one accepts nothing new; since known instances are only
+added to, that comes, and more than ``ROUNDS`` rounds are an error, not an end.  All
+occurrences of accepted instances are spans beside the base ones.
 
 Candidates are words with a digit or an at sign and eight characters or more,
 outside base spans.  The graph holds hashes of instances, not their text.
@@ -33,7 +35,7 @@ from strandline.session import materialise
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-ROUNDS, SUPPORT, PRECISION, CONFIDENCE = 3, 3, 0.6, 0.6
+ROUNDS, SUPPORT, PRECISION, CONFIDENCE = 1_000, 3, 0.6, 0.6
 MIN_VALUE = 8
 
 # Possessive runs and look-behinds keep long runs linear; they match what the plain rules match.
@@ -221,6 +223,8 @@ def bootstrap(
         if found.isEmpty():
             break
         known = materialise(known.unionByName(found), "pii-known")
+    else:
+        raise RuntimeError(f"instances were still accepted after {rounds} rounds")
     return known.select("inst", "kind"), accepted
 
 

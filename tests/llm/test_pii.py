@@ -92,3 +92,16 @@ def test_redaction(spark):
 
 def test_empty_table(spark):
     assert P.find(frame(spark, ["x"]).limit(0)).count() == 0 and P.redact(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_a_long_chain_of_patterns_is_followed_to_its_end(spark):
+    """Each value is reached only through the one before it."""
+    seeds = ["a1b2c3d4e5f60718", "ffeeddccbbaa0099", "0011aabb22cc33dd"]
+    value = lambda k: f"Zebra-{k}-moon"
+    texts = [f"chain1={v}" for v in (*seeds, value(1))]
+    for k in range(2, 7):
+        texts += [f"chain{k}={v}" for v in (*seeds[:2], value(k - 1), value(k))]
+    got = found(frame(spark, texts))
+    assert all(got[i] == [("secret", 7, len(t))] for i, t in enumerate(texts))
+    with pytest.raises(RuntimeError):
+        found(frame(spark, texts), rounds=3)
