@@ -63,7 +63,8 @@ def statistics(text: str, words: list[str], stated: int | None) -> list[float]:
     data = text.encode("utf-8", "surrogatepass")
     lines = text.split("\n")
     again, distinct, signs, capitals, long = _shares(words)
-    parts = [_shares(words[i : i + WINDOW]) for i in range(0, max(1, n - WINDOW // 2), WINDOW)]
+    starts = range(0, max(1, n - WINDOW // 2), WINDOW)
+    parts = [_shares(words[i:end]) for i, end in zip(starts, [*starts[1:], n])]  # a short rest joins the last one
     digits = (len(data) - len(data.translate(None, _DIGIT))) / len(data)
     return [
         0.0,

@@ -68,3 +68,11 @@ def test_defined_cases(spark):
     kept = Q.keep_good(docs, blank, threshold=0.5)
     assert kept.count() == 6 and kept.columns == docs.columns
     assert Q.keep_good(docs.limit(0), blank).count() == 0
+
+
+@pytest.mark.parametrize("n", [49, 60, 72, 73, 96, 110, 120])
+def test_stretches_reach_the_last_word(n):
+    clean = [f"word{i}" for i in range(n)]
+    junk = [*clean[:-1], "#" * 400]
+    signs = lambda words: Q.statistics(" ".join(words), words, None)[12]  # the worst stretch's share of signs
+    assert signs(clean) == 0 and signs(junk) > 0
