@@ -5,13 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from strandline.session import ship
 
 SLICE_ROWS = 256
+SLICE_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 _BREAK = re.compile(rb"[\x09-\x0d\x20]")
 
@@ -35,11 +38,34 @@ def per_group(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Ta
     return rows.groupBy(*keys).applyInArrow(work, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that only a few rows become Python objects at a time."""
+def slices(
+    batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that few rows and few bytes of text become Python objects at a time.
+
+    A slice has at most ``rows`` rows and ``size`` bytes, or is one row that is longer.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        widths = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                widths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(widths)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = min(start + rows, int(np.searchsorted(ends, before + size, "right")))
+            end = max(end, start + 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def free_name(taken: list[str], wish: str) -> str:
+    """``wish``, or that with underscores before it, so that no column has the name."""
+    used = {name.lower() for name in taken}
+    while wish.lower() in used:
+        wish = f"_{wish}"
+    return wish
 
 
 def word_pieces(data: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import audio, chat, contamination, licenses, mixing, pii, quality, simhash, tokens, warc
+from strandline.llm import alignment, audio, chat, contamination, exact, lexical, licenses, mixing, pii, quality, simhash, tokens, warc
 from strandline.llm.common import documents
 from strandline.operators.skew import lookup_join
 from strandline.session import materialise, scratch_path
@@ -136,3 +136,25 @@ def op9_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.copies(documents(spark, sf_dir), digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLE["op11_exact_copies"] = exact.copies_sql()
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(documents(spark, sf_dir))
+
+
+@query
+def op13_lexical_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_lexical_ranks"] = lexical.ranked_sql()
