@@ -7,17 +7,18 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.values import clip, logit
 from strandline.layout import MISSING_LEVEL, UNSEEN_LEVEL
 from strandline.operators.features import NumericState, frozen_level, scaled
 from strandline.operators.metrics import binary_metrics
+from strandline.session import scratch_path
 
 # Fixed values: (C, share of the absolute penalty) of the elastic-net candidates.
 ELASTIC_GRID = ((0.005, 0.15), (0.010, 0.15), (0.010, 0.50), (0.050, 0.50), (0.050, 0.85))
@@ -83,7 +84,18 @@ def logistic(df: DataFrame, y: str, c: float = 1.0, l1_share: float = 0.0, featu
     )
     model = estimator.fit(df)
     history = model.summary.objectiveHistory
-    return Candidate(f"logistic_C{c:g}_l1{l1_share:g}", model, len(history) - 1 < steps)
+    return Candidate(f"logistic_C{c:g}_l1{l1_share:g}", without_summary(model, df.sparkSession), len(history) - 1 < steps)
+
+
+def without_summary(model: LogisticRegressionModel, spark: SparkSession) -> LogisticRegressionModel:
+    """The stored and reloaded model.
+
+    A fresh model holds the summary of its fit, with the training table and whatever
+    that refers to; scoring would send all of it to the tasks.
+    """
+    path = scratch_path(spark, "logistic")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def elastic_net_grid(df: DataFrame, y: str, features: str = "features", grid: Sequence[tuple[float, float]] = ELASTIC_GRID) -> list[Candidate]:
