@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.arrays import real_ids
@@ -14,18 +13,11 @@ from strandline.operators.linkage import range_summary, running
 from strandline.operators.skew import crowded, lookup_join, spread_join
 
 DAY_US = 86_400_000_000
+BAG_DAYS = 180  # how long the codes of a stay are seen
 
 
-def history_cells(
-    adm: DataFrame,
-    emergency: str,
-    elective: str,
-    causes: Sequence[str],
-    severities: Sequence[str],
-    codes: Sequence[str],
-    layout: Encounter = Encounter(),
-) -> DataFrame:
-    """One row per entity and end of stay.
+def _ended(adm: DataFrame, layout: Encounter) -> DataFrame:
+    """Stays with the axis on which an index sees them.
 
     The axis is twice the end day, plus one for a stay of no days: an index
     on day s may count stays that end on s, but a stay without days only when
@@ -33,11 +25,21 @@ def history_cells(
     """
     stay = F.greatest(F.coalesce(F.col(layout.stay), F.lit(0)), F.lit(0))
     end = F.col(layout.start) + stay
-    ended = adm.where(F.col(layout.start).isNotNull()).withColumns(
+    return adm.where(F.col(layout.start).isNotNull()).withColumns(
         {"axis": (2 * end + F.when(stay == 0, 1).otherwise(0)).cast("long"), "_end": end, "_stay": stay}
     )
-    keys = [*layout.entity, "axis"]
-    cells = ended.groupBy(*keys).agg(
+
+
+def history_cells(
+    adm: DataFrame,
+    emergency: str,
+    elective: str,
+    causes: Sequence[str],
+    severities: Sequence[str],
+    layout: Encounter = Encounter(),
+) -> DataFrame:
+    """One row per entity and end of stay."""
+    return _ended(adm, layout).groupBy(*layout.entity, "axis").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("_end").alias("last_end"),
         F.count_if(F.coalesce(F.col(emergency), F.lit(0)) > 0).alias("n_emergency"),
@@ -46,25 +48,46 @@ def history_cells(
         F.sum("_stay").alias("stay_sum"),
         *[F.max(s).alias(f"max_{s}") for s in severities],
     )
-    # distinct ids of a cell: bounded by the vocabulary, not by the rows
-    bags = [
-        ended.select(*keys, F.explode(real_ids(F.col(c))).alias("_id"))
-        .groupBy(*keys)
-        .agg(F.collect_set("_id").alias(f"bag_{c}"))
-        for c in codes
-    ]
-    return reduce(lambda left, right: left.join(right, keys, "left"), bags, cells)
+
+
+def id_spans(adm: DataFrame, codes: Sequence[str], layout: Encounter = Encounter(), days: int = BAG_DAYS) -> DataFrame:
+    """(entity.., column, id, first, last): where an index sees the id, on the axis of the cells.
+
+    A span begins with a stay and ends ``days`` later, or before the id's next
+    stay; the spans of one id never overlap, so an index meets each id once.
+    """
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), real_ids(F.col(c)).alias("ids")) for c in codes])
+    each = _ended(adm, layout).select(*layout.entity, "axis", F.inline(entries))
+    seen = each.select(*layout.entity, "axis", "column", F.explode("ids").alias("id")).distinct()
+    following = Window.partitionBy(*layout.entity, "column", "id").orderBy("axis")
+    return seen.select(
+        *layout.entity, "column", "id", F.col("axis").alias("first"),
+        F.least(F.lead("axis").over(following) - 1, F.col("axis") + 2 * days).alias("last"),
+    )
+
+
+def id_bags(index: DataFrame, spans: DataFrame, codes: Sequence[str], layout: Encounter = Encounter(), days: int = BAG_DAYS) -> DataFrame:
+    """Sorted ids that each (entity, axis) of ``index`` sees, a column ``bag_<c>`` for each of ``codes``."""
+    keys, width = [*layout.entity, "axis"], 2 * days + 1
+    part = lambda c: F.floor(F.col(c) / width)
+    # a span touches two parts of the axis at most
+    cut = spans.withColumn("_part", F.explode(F.sequence(part("first"), part("last"))))
+    rows = index.select(*keys, part("axis").alias("_part")).distinct()
+    met = rows.join(cut, [*layout.entity, "_part"]).where("axis BETWEEN first AND last")
+    ids = lambda c: F.array_sort(F.collect_list(F.when(F.col("column") == c, F.col("id"))))
+    return met.groupBy(*keys).agg(*[ids(c).alias(f"bag_{c}") for c in codes])
 
 
 def with_history(
     index: DataFrame,
     cells: DataFrame,
+    spans: DataFrame,
     causes: Sequence[str],
     severities: Sequence[str],
     codes: Sequence[str],
     layout: Encounter = Encounter(),
 ) -> DataFrame:
-    """Add counts, sums, maxima and code bags of the stays before each index."""
+    """Add counts, sums and maxima of the stays before each index, and the ids of their codes."""
     keys = [*layout.entity, "axis"]
     rows = index.withColumn("axis", (2 * F.col(layout.start)).cast("long"))
     frames = {"ytd": (None, 0), "30d": (-60, 0), "90d": (-180, 0), "180d": (-360, 0)}
@@ -79,21 +102,21 @@ def with_history(
     aggs |= {f"prior_{c}_180d": ("180d", F.sum(f"n_{c}")) for c in causes}
     aggs |= {f"prior_max_{s}_180d": ("180d", F.max(f"max_{s}")) for s in severities}
     numbers = [name for name in aggs if name != "_last_end"]
-    aggs |= {f"prior_{c}_180d": ("180d", F.collect_list(f"bag_{c}")) for c in codes}
     found = range_summary(cells, rows, layout.entity, "axis", frames, aggs)
+    found = found.join(id_bags(rows, spans, codes, layout), keys, "left")
     hot = crowded(cells, list(layout.entity))
     joined = spread_join(rows, found, keys, "left") if hot else rows.join(found, keys, "left")
     month = F.col(layout.month)
     return joined.withColumns(
         {
             **{name: zero(F.col(name)) for name in numbers},
-            **{f"prior_{c}_180d": F.array_sort(F.array_distinct(F.flatten(f"prior_{c}_180d"))) for c in codes},
+            **{f"prior_{c}_180d": F.coalesce(f"bag_{c}", F.array().cast("array<int>")) for c in codes},
             "days_since_prior": F.coalesce(F.col(layout.start) - F.col("_last_end"), F.lit(-1)),
             "seen_30d": month >= 2,
             "seen_90d": month >= 4,
             "seen_180d": month >= 7,
         }
-    ).drop("axis", "_last_end")
+    ).drop("axis", "_last_end", *[f"bag_{c}" for c in codes])
 
 
 def with_stay_history(

@@ -10,12 +10,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.values import clip, logit
 from strandline.layout import MISSING_LEVEL, UNSEEN_LEVEL
+from strandline.operators import isotonic
 from strandline.operators.features import NumericState, frozen_level, scaled
 from strandline.operators.metrics import binary_metrics
 from strandline.session import scratch_path
@@ -189,8 +189,7 @@ def apply_calibrator(df: DataFrame, method: str, fitted: Any, p: str, out: str)
     if method == "platt":
         a, b = fitted
         return df.withColumn(out, 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * logit(F.col(p))))))
-    scored = fitted.transform(df.withColumn("_f", clip(F.col(p))))
-    return scored.withColumn(out, F.least(F.greatest(F.col("_iso"), F.lit(0.0)), F.lit(1.0))).drop("_iso", "_f")
+    return isotonic.apply(df.withColumn("_clipped", clip(F.col(p))), fitted, "_clipped", out).drop("_clipped")
 
 
 def fit_calibrator(df: DataFrame, method: str, p: str, y: str) -> Any:
@@ -198,9 +197,7 @@ def fit_calibrator(df: DataFrame, method: str, p: str, y: str) -> Any:
         return None
     if method == "platt":
         return fit_platt(df, p, y)
-    # equal scores are one weighted point, so what the fit pools is no longer than the scores are distinct
-    points = df.groupBy(clip(F.col(p)).alias("_f")).agg(F.avg(y).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    return IsotonicRegression(featuresCol="_f", labelCol="_y", weightCol="_w", predictionCol="_iso").fit(points)
+    return isotonic.fit(df.withColumn("_clipped", clip(F.col(p))), "_clipped", y)
 
 
 def choose_calibrator(df: DataFrame, p: str, y: str, half: str, tolerance: float = 0.0005) -> tuple[str, Any, dict[str, float]]:

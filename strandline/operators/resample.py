@@ -1,201 +1,64 @@
-"""Cluster resampling with reproducible draws, and intervals from replicates.
+"""Metrics under resampled clusters, and intervals from replicates.
 
-A replicate is a table of multiplicities per cluster.  Draw i of a replicate
-picks a cluster by an md5 of (seed, stratum, replicate, i), so lost tasks
-come back with the same draws.
+Draws come from ``strandline.operators.draws``: the multiplicities of a cluster
+are made in the task that adds up its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from hashlib import md5
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.ids import draw
 from strandline.functions.values import ratio
 from strandline.operators.contracts import required
+from strandline.operators.draws import Draws, added_up
 from strandline.operators.metrics import confusion, operating_rates, summarise_scores
-from strandline.operators.ordering import RANGE_ROWS, dense_index, range_edges
-from strandline.operators.skew import lookup_join
-from strandline.session import materialise, ship
+from strandline.operators.ordering import RANGE_ROWS, range_edges
+from strandline.session import materialise
 
 MEASURES = ("n", "events", "pos", "neg")
-BLOCK_CLUSTERS = 4_096  # clusters whose multiplicities one task holds
-PART_SCORES = 50_000  # rows of (cluster, score) that one task adds up
-PLACES, DRAWS = 65_536, 8_192  # clusters to an array; draws of a replicate that one task makes
 
 
-def drawing_order(clusters: DataFrame, strata: Sequence[str], cluster: str, seed: int) -> DataFrame:
-    """``clusters``, one row each, with their place ``_i`` in the stratum (``_all`` if there are no strata)."""
-    strata = list(strata)
-    members = required(clusters, *strata, cluster).withColumn(
-        "_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*strata, cluster)]))
-    )
-    members = members.withColumn("_lead", F.substring("_hash", 1, 3))
-    if not strata:
-        members = members.withColumn("_all", F.lit(0))
-    return materialise(dense_index(members, strata or ["_all"], ["_lead"], ["_hash"], "_i").drop("_lead", "_hash"), "clusters")
-
-
-def draw_table(clusters: DataFrame, strata: Sequence[str], cluster: str, replicates: int, seed: int, first: int = 1) -> DataFrame:
-    """(stratum.., replicate, cluster, mult): m draws from the m clusters of a stratum.
-
-    A stratum with one cluster keeps it once in every replicate.  ``first`` lets
-    many replicates be worked off in blocks.
-    """
-    strata = list(strata)
-    keys = strata or ["_all"]
-    indexed = drawing_order(clusters.select(*strata, cluster).distinct(), strata, cluster, seed)
-    sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    reps = F.explode(F.sequence(F.lit(first), F.lit(first + replicates - 1))).alias("replicate")
-    stratum = [F.col(c) for c in strata]
-    draws = lookup_join(indexed, sizes, keys, "inner").select(*keys, "_i", "_m", reps)
-    picked = draws.withColumn("_i", draw([F.lit(seed), *stratum, F.col("replicate"), F.col("_i")], F.col("_m")))
-    counts = picked.groupBy(*keys, "replicate", "_i").agg(F.count(F.lit(1)).cast("int").alias("mult"))
-    return counts.join(indexed, [*keys, "_i"]).select(*strata, "replicate", cluster, "mult")
-
-
-def drawn_sums(df: DataFrame, strata: Sequence[str], cluster: str, sums: Mapping[str, Column], replicates: int, seed: int) -> DataFrame:
-    """Sums per (stratum, replicate) under the draws of ``draw_table``, for strata of many clusters.
-
-    A task has the sums of all clusters of a stratum, as arrays, makes one part of
-    its draws for all replicates and adds up what they pick; what leaves a task is
-    one row per replicate, so no table of clusters times replicates exists.
-    """
-    strata, names = list(strata), list(sums)
-    per = df.groupBy(*strata, cluster).agg(*[c.cast("double").alias(n) for n, c in sums.items()])
-    placed = drawing_order(per, strata, cluster, seed)
-    block = F.floor(F.col("_i") / PLACES).alias("_block")
-    held = placed.groupBy(*strata, block).agg(F.array_sort(F.collect_list(F.struct("_i", *names))).alias("_held"))
-    sizes = placed.groupBy(*strata).agg(F.count(F.lit(1)).alias("_m"))
-    material = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in strata]).alias("_text")
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / DRAWS))).alias("_part")
-    dealt = held.join(sizes.select(*strata, "_m", material, parts), strata)
-
-    def add_up(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_block")
-        flat = pa.concat_arrays([c for c in table.column("_held").chunks]).flatten()
-        values = [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
-        m, part, text = (table.column(c)[0].as_py() for c in ("_m", "_part", "_text"))
-        places = [str(i).encode() for i in range(part * DRAWS, min(m, (part + 1) * DRAWS))]
-        out = np.zeros((len(names), replicates))
-        for r in range(replicates):
-            lead = f"{text}:{r + 1}:".encode()
-            digests = b"".join([md5(lead + i).digest() for i in places])
-            first = np.frombuffer(digests, ">u8")[::2].astype(np.uint64) >> np.uint64(16)  # 12 hex digits
-            at = (first % np.uint64(m)).astype(np.int64)
-            out[:, r] = [v[at].sum() for v in values]
-        heads = table.slice(0, 1).select(strata).take(pa.array(np.zeros(replicates, np.int64)))
-        heads = heads.append_column("replicate", pa.array(np.arange(1, replicates + 1), pa.int32()))
-        for n, v in zip(names, out):
-            heads = heads.append_column(n, pa.array(v))
-        return heads
-
-    ship(df.sparkSession)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*strata).schema]
-    fields += ["replicate int", *[f"`{n}` double" for n in names]]
-    added = dealt.groupBy(*strata, "_part").applyInArrow(add_up, ", ".join(fields))
-    return added.groupBy(*strata, "replicate").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def replicate_scores(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], p: str, y: str, weight: str | None = None) -> DataFrame:
+def replicate_scores(df: DataFrame, draws: Draws, groups: Sequence[str], p: str, y: str, weight: str | None = None) -> DataFrame:
     """Score table per (replicate, group).
 
-    Rows are added up per (cluster, score) first.  Clusters are dealt to blocks,
-    and scores to parts; a task holds the multiplicities of one block as a matrix
-    and adds up one part of its scores for all replicates at once, so no table of
-    clusters times replicates is ever joined.  What leaves a task is one row per
-    score and replicate.
+    Rows are added up per (cluster, score) first; tasks multiply these sums with
+    the multiplicities of their clusters for all replicates at once.
     """
-    groups, on = list(groups), list(on)
+    groups = list(groups)
     w = F.col(weight) if weight else F.lit(1.0)
     event = F.col(y) == 1
-    sums = required(df, *groups, *on, p, y).groupBy(*groups, *on, F.col(p).alias("p")).agg(
-        *[c.cast("double").alias(n) for n, c in {
-            "n": F.count(F.lit(1)),
-            "events": F.count_if(event),
-            "pos": F.sum(F.when(event, w).otherwise(0.0)),
-            "neg": F.sum(F.when(event, 0.0).otherwise(w)),
-        }.items()]
-    )
-    sums = materialise(sums, "cluster_scores")
-    drawn = draws.groupBy(*on).agg(F.collect_list("replicate").alias("_reps"), F.collect_list("mult").alias("_mults"))
-    drawn = materialise(drawn.withColumn("_cluster", F.xxhash64(*on)), "cluster_draws")
-    size = drawn.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("_reps")).alias("last")).first()
-    last, blocks = size["last"] or 0, max(1, -(-size["n"] // BLOCK_CLUSTERS))
-    parts = max(1, -(-sums.count() // (blocks * PART_SCORES)))
-    block = F.pmod("_cluster", F.lit(blocks)).alias("_block")
-    left = sums.select(*groups, "p", *MEASURES, F.xxhash64(*on).alias("_cluster"))
-    left = left.select("*", block, F.pmod(F.xxhash64("p"), F.lit(parts)).alias("_part"))
-    right = drawn.select("_cluster", "_reps", "_mults", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
-    keys = [*groups, "p"]
-
-    def add_up(scores: pa.Table, clusters: pa.Table) -> pa.Table:
-        names = clusters.column("_cluster").to_numpy()
-        table = np.zeros((len(names) + 1, last))  # the last row is for clusters that no replicate drew
-        for i, (reps, mults) in enumerate(zip(clusters.column("_reps").to_pylist(), clusters.column("_mults").to_pylist())):
-            table[i, np.array(reps) - 1] = mults
-        order = np.argsort(names)
-        scores = scores.sort_by([(k, "ascending") for k in keys])
-        wanted = scores.column("_cluster").to_numpy()
-        at = np.searchsorted(names[order], wanted) if len(names) else np.zeros(len(wanted), np.int64)
-        known = (at < len(names)) & (names[order][np.minimum(at, len(names) - 1)] == wanted) if len(names) else np.zeros(len(wanted), bool)
-        rows = np.where(known, order[np.minimum(at, max(0, len(names) - 1))] if len(names) else 0, len(names))
-        same = np.ones(scores.num_rows, bool)  # is a row the first of its key
-        if scores.num_rows > 1:
-            columns = [scores.column(k).to_pylist() for k in keys]
-            same[1:] = [any(c[i] != c[i - 1] for c in columns) for i in range(1, scores.num_rows)]
-        place = np.cumsum(same) - 1
-        out = {m: np.zeros((place[-1] + 1 if len(place) else 0, last)) for m in MEASURES}
-        for start in range(0, len(rows), 1_024):
-            mine, here = rows[start : start + 1_024], place[start : start + 1_024]
-            firsts = np.flatnonzero(np.diff(here, prepend=-1))
-            times = table[mine]
-            for m in MEASURES:
-                values = scores.column(m).to_numpy()[start : start + 1_024]
-                out[m][here[firsts]] += np.add.reduceat(times * values[:, None], firsts, axis=0)
-        heads = scores.filter(pa.array(same)).select(keys)
-        offsets = pa.array(np.arange(heads.num_rows + 1) * last, pa.int32())
-        for m in MEASURES:
-            heads = heads.append_column(m, pa.ListArray.from_arrays(offsets, pa.array(out[m].ravel())))
-        return heads
-
-    ship(df.sparkSession)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*keys).schema] + [f"{m} array<double>" for m in MEASURES]
-    added = left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInArrow(add_up, ", ".join(fields))
-    each = added.select(*keys, F.posexplode(F.arrays_zip(*MEASURES)).alias("replicate", "_m")).where("_m.n > 0")
-    return each.groupBy((F.col("replicate") + 1).alias("replicate"), *keys).agg(
-        *[F.sum(F.col("_m")[m]).cast("long" if m in ("n", "events") else "double").alias(m) for m in MEASURES]
+    sums = required(df, *groups, *draws.on, p, y).groupBy(*groups, *draws.on, F.col(p).alias("p")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(event).alias("events"),
+        F.sum(F.when(event, w).otherwise(0.0)).cast("double").alias("pos"),
+        F.sum(F.when(event, 0.0).otherwise(w)).cast("double").alias("neg"),
     )
+    return added_up(sums, draws, [*groups, "p"], MEASURES).where("n > 0")
 
 
-def replicate_metrics(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], p: str, y: str, weight: str | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+def replicate_metrics(df: DataFrame, draws: Draws, groups: Sequence[str], p: str, y: str, weight: str | None = None, rows: int = RANGE_ROWS) -> DataFrame:
     """AUROC, average precision, Brier, log loss, rate and O/E per replicate."""
     edges = range_edges(df, p, rows)
-    table = materialise(replicate_scores(df, draws, groups, on, p, y, weight), "replicate_scores")
+    table = materialise(replicate_scores(df, draws, groups, p, y, weight), "replicate_scores")
     return summarise_scores(table, ["replicate", *groups], rows, edges)
 
 
-def replicate_sums(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    """Weighted sums per (replicate, group): added up per cluster, then multiplied.
-
-    ``by`` names columns of ``on`` that the result keeps apart as well.
-    """
-    per_cluster = materialise(required(df, *groups, *on).groupBy(*groups, *on).agg(*[c.alias(n) for n, c in sums.items()]), "cluster_sums")
-    met = per_cluster.join(draws, list(on))
-    return met.groupBy("replicate", *groups, *by).agg(*[F.sum(F.col(n) * F.col("mult")).alias(n) for n in sums])
+def replicate_sums(df: DataFrame, draws: Draws, groups: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Weighted sums per (replicate, group): added up per cluster, then multiplied."""
+    groups = list(groups)
+    per_cluster = required(df, *groups, *draws.on).groupBy(*groups, *draws.on).agg(*[c.alias(n) for n, c in sums.items()])
+    return added_up(per_cluster, draws, groups, list(sums))
 
 
-def replicate_rates(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], y: str, weight: str) -> DataFrame:
+def replicate_rates(df: DataFrame, draws: Draws, groups: Sequence[str], y: str, weight: str) -> DataFrame:
     """Plain and weighted rate of a label per replicate; null labels are left out."""
     known = df.where(F.col(y).isNotNull())
     w, v = F.col(weight), F.col(y).cast("double")
     sums = replicate_sums(
-        known, draws, groups, on,
+        known, draws, groups,
         {"n": F.count(F.lit(1)), "events": F.sum(v), "w": F.sum(w), "wy": F.sum(w * v)},
     )
     return sums.select(
@@ -205,10 +68,10 @@ def replicate_rates(df: DataFrame, draws: DataFrame, groups: Sequence[str], on:
     )
 
 
-def replicate_operating(df: DataFrame, draws: DataFrame, groups: Sequence[str], on: Sequence[str], p: str, y: str, weight: str, threshold: str) -> DataFrame:
+def replicate_operating(df: DataFrame, draws: Draws, groups: Sequence[str], p: str, y: str, weight: str, threshold: str) -> DataFrame:
     """Operating-point rates per replicate."""
     sums = confusion(F.col(p), F.col(y), F.col(weight), F.col(threshold))
-    table = replicate_sums(required(df, p, y, weight), draws, [*groups, threshold], on, sums)
+    table = replicate_sums(required(df, p, y, weight), draws, [*groups, threshold], sums)
     return table.withColumns(operating_rates(F.col(threshold)))
 
 

@@ -9,13 +9,14 @@ from strandline.layout import FIRST_CODE_ID
 from strandline.operators import chains as C
 from strandline.operators import metrics as M
 from strandline.operators import resample as S
+from strandline.operators.draws import draws_sql, plan_draws
 from strandline.operators.history import with_stay_history
 from strandline.operators.linkage import running_max
 from strandline.operators.skew import lookup_join
 from strandline.plans.bindings import stays, table
-from strandline.plans.evaluation import draws_sql, metrics_sql, tidy
+from strandline.plans.evaluation import metrics_sql, tidy
 from strandline.plans.registry import cte, query, rnd, rounded, sql
-from strandline.plans.stages import staged
+from strandline.plans.stages import planned, staged
 
 # source rows, some of them unusable -----------------------------------------------------
 
@@ -475,14 +476,14 @@ def transfer_rows(spark, sf_dir):
     )
 
 
-@staged
+@planned
 def transfer_draws(spark, sf_dir):
-    return S.draw_table(transfer_rows(spark, sf_dir).select("subject_id"), [], "subject_id", TRANSFER_REPS, TRANSFER_SEED)
+    return plan_draws(transfer_rows(spark, sf_dir), [], "subject_id", TRANSFER_REPS, TRANSFER_SEED)
 
 
 @staged
 def transfer_replicates(spark, sf_dir):
-    return S.replicate_metrics(transfer_rows(spark, sf_dir), transfer_draws(spark, sf_dir), ["model"], ["subject_id"], "p", "y")
+    return S.replicate_metrics(transfer_rows(spark, sf_dir), transfer_draws(spark, sf_dir), ["model"], "p", "y")
 
 
 _TRANSFER = ("auroc", "auprc", "brier")
@@ -526,5 +527,5 @@ def transfer_paired_difference(spark, sf_dir):
 def transfer_intervals_by_unseen_codes(spark, sf_dir):
     """The same bounds for chains without and with codes outside the vocabulary."""
     groups = ["unseen_codes", "model"]
-    found = S.replicate_metrics(transfer_rows(spark, sf_dir), transfer_draws(spark, sf_dir), groups, ["subject_id"], "p", "y")
+    found = S.replicate_metrics(transfer_rows(spark, sf_dir), transfer_draws(spark, sf_dir), groups, "p", "y")
     return rounded(S.intervals(found, groups, _TRANSFER), 5)

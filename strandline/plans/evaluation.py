@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from strandline.functions.values import wilson
 from strandline.operators import metrics as M
 from strandline.operators import resample as S
+from strandline.operators.draws import binomial_sql, draw_table, draws_sql, event_counts, plan_draws, unit_sql
 from strandline.plans.bindings import scored_documents, scored_lines, unique_lines
 from strandline.plans.registry import cte, query, rnd, rounded, sql
-from strandline.plans.stages import staged
+from strandline.plans.stages import planned, staged
+from strandline.session import materialise
 
 PAIRS = {
     ("fine", "any"): ("y_any", "p_fine"),
@@ -312,45 +314,44 @@ def score_audit(spark, sf_dir):
 
 SEED, REPS = 7, 1000
 ENTITY_SEED, ENTITY_REPS = 11, 1000
-SHOWN_REPS = 15  # of the draws that are themselves a result
-
-
-def draws_sql(source: str, strata: str, cluster: str, reps: int, seed: int) -> str:
-    lead = f"{strata}, " if strata else ""
-    part = f"PARTITION BY {strata} " if strata else ""
-    text = f"'{seed}:' || {strata} || ':'" if strata else f"'{seed}:'"
-    return f"""SELECT {lead}replicate, {cluster}, mult FROM (SELECT {lead}replicate, i, count(*)::INT AS mult FROM
-  (SELECT {lead}replicate, ('0x' || substr(md5({text} || replicate || ':' || i), 1, 12))::BIGINT % m AS i FROM
-    (SELECT *, row_number() OVER ({part}ORDER BY md5({text} || {cluster})) - 1 AS i, count(*) OVER ({part.strip()}) AS m
-     FROM (SELECT DISTINCT {lead}{cluster} FROM {source})), (SELECT unnest(range(1, {reps + 1}))::INT AS replicate)) GROUP BY ALL)
-JOIN (SELECT *, row_number() OVER ({part}ORDER BY md5({text} || {cluster})) - 1 AS i FROM (SELECT DISTINCT {lead}{cluster} FROM {source})) USING ({lead}i)"""
-
 
 cte("draws_f", draws_sql("scored", "stratum", "facility_id", REPS, SEED), "scored")
 cte("draws_e", draws_sql("scored", "", "entity_id", ENTITY_REPS, ENTITY_SEED), "scored")
-cte("draws_shown", draws_sql("scored", "", "entity_id", SHOWN_REPS, ENTITY_SEED), "scored")
 
 
-@staged
+@planned
 def facility_draws(spark, sf_dir):
-    clusters = scored_lines(spark, sf_dir).select("stratum", "facility_id")
-    return S.draw_table(clusters, ["stratum"], "facility_id", REPS, SEED)
+    return plan_draws(scored_lines(spark, sf_dir), ["stratum"], "facility_id", REPS, SEED)
 
 
-@staged
+@planned
 def entity_draws(spark, sf_dir):
-    clusters = scored_lines(spark, sf_dir).select("entity_id")
-    return S.draw_table(clusters, [], "entity_id", ENTITY_REPS, ENTITY_SEED)
+    return plan_draws(scored_lines(spark, sf_dir), [], "entity_id", ENTITY_REPS, ENTITY_SEED)
 
 
 @query("stratified_cluster_draws", sql("SELECT * FROM draws_f", "draws_f"))
 def stratified_cluster_draws(spark, sf_dir):
-    return facility_draws(spark, sf_dir)
+    return draw_table(facility_draws(spark, sf_dir))
 
 
-@query("cluster_draws", sql("SELECT * FROM draws_shown", "draws_shown"))
+@query(
+    "cluster_draws",
+    sql(
+        """SELECT entity_id, count(*) AS n_replicates, sum(mult)::BIGINT AS n_draws, max(mult) AS largest, sum(replicate * mult)::BIGINT AS replicate_sum,
+  sum(replicate * replicate * mult * mult)::BIGINT AS square_sum FROM draws_e GROUP BY 1""",
+        "draws_e",
+    ),
+)
 def cluster_draws(spark, sf_dir):
-    return S.draw_table(scored_lines(spark, sf_dir).select("entity_id"), [], "entity_id", SHOWN_REPS, ENTITY_SEED)
+    """Of each entity: the replicates that draw it, how often, and sums that fix which ones they are."""
+    rep, mult = F.col("replicate").cast("long"), F.col("mult").cast("long")
+    return draw_table(entity_draws(spark, sf_dir)).groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("n_replicates"),
+        F.sum(mult).alias("n_draws"),
+        F.max("mult").alias("largest"),
+        F.sum(rep * mult).alias("replicate_sum"),
+        F.sum(rep * rep * mult * mult).alias("square_sum"),
+    )
 
 
 cte(
@@ -370,7 +371,7 @@ def long_rows(spark, sf_dir, *keep):
 def facility_replicates(spark, sf_dir):
     """Metrics of every replicate, score and outcome."""
     rows = long_rows(spark, sf_dir, *ON)
-    return S.replicate_metrics(rows, facility_draws(spark, sf_dir), ["model", "outcome"], ON, "p", "y", "weight")
+    return S.replicate_metrics(rows, facility_draws(spark, sf_dir), ["model", "outcome"], "p", "y", "weight")
 
 
 _REP = metrics_sql("rep_rows", "replicate, model, outcome", "w")
@@ -412,7 +413,7 @@ def percentile_intervals(spark, sf_dir):
 )
 def replicate_operating_points(spark, sf_dir):
     rows = with_threshold(long_rows(spark, sf_dir, *ON))
-    out = S.replicate_operating(rows, facility_draws(spark, sf_dir), ["model", "outcome"], ON, "p", "y", "weight", "threshold")
+    out = S.replicate_operating(rows, facility_draws(spark, sf_dir), ["model", "outcome"], "p", "y", "weight", "threshold")
     return rounded(rounded(out, 4, "tp", "fp", "tn", "fn"))
 
 
@@ -426,7 +427,7 @@ def replicate_operating_points(spark, sf_dir):
     ),
 )
 def replicate_rates(spark, sf_dir):
-    out = S.replicate_rates(scored_lines(spark, sf_dir), entity_draws(spark, sf_dir), [], ["entity_id"], "y_any", "weight")
+    out = S.replicate_rates(scored_lines(spark, sf_dir), entity_draws(spark, sf_dir), [], "y_any", "weight")
     return rounded(rounded(out, 4, "w"))
 
 
@@ -441,7 +442,7 @@ def replicate_rates(spark, sf_dir):
     ),
 )
 def entity_bootstrap_metrics(spark, sf_dir):
-    out = S.replicate_metrics(scored_lines(spark, sf_dir), entity_draws(spark, sf_dir), [], ["entity_id"], "p_tied", "y_any")
+    out = S.replicate_metrics(scored_lines(spark, sf_dir), entity_draws(spark, sf_dir), [], "p_tied", "y_any")
     return rounded(out.select("replicate", "auroc", "auprc", "brier"))
 
 
@@ -457,7 +458,7 @@ cte(
 @query("bootstrap_calibration", sql(newton_sql("rep_logits", "replicate, model, outcome", 8), "rep_logits"))
 def bootstrap_calibration(spark, sf_dir):
     groups = ["model", "outcome"]
-    table = S.replicate_scores(long_rows(spark, sf_dir, *ON), facility_draws(spark, sf_dir), groups, ON, "p", "y", "weight")
+    table = S.replicate_scores(long_rows(spark, sf_dir, *ON), facility_draws(spark, sf_dir), groups, "p", "y", "weight")
     return rounded(M.fit_logit(table, ["replicate", *groups]), 5)
 
 
@@ -478,7 +479,7 @@ def calibration_curve_intervals(spark, sf_dir):
     rows = M.with_equal_count_bin(unique_lines(spark, sf_dir), [], "p_tied", "row_id")
     w, y, p = F.col("weight"), F.col("y_any"), F.col("p_tied")
     sums = S.replicate_sums(
-        rows, facility_draws(spark, sf_dir), ["bin"], ON, {"w": F.sum(w), "wy": F.sum(w * y), "wp": F.sum(w * p)}
+        rows, facility_draws(spark, sf_dir), ["bin"], {"w": F.sum(w), "wy": F.sum(w * y), "wp": F.sum(w * p)}
     )
     reps = sums.select("bin", (F.col("wy") / F.col("w")).alias("observed"), (F.col("wp") / F.col("w")).alias("predicted"))
     bounds = S.intervals(reps, ["bin"], ["observed", "predicted"]).drop("observed_defined", "predicted_defined")
@@ -501,7 +502,7 @@ def weighted_bin_intervals(spark, sf_dir):
     """Resampled bounds of observed and predicted rate in weighted-quantile bins."""
     w, y, p = F.col("weight"), F.col("y_any"), F.col("p_fine")
     sums = S.replicate_sums(
-        binned_lines(spark, sf_dir), facility_draws(spark, sf_dir), ["line_no", "bin"], ON,
+        binned_lines(spark, sf_dir), facility_draws(spark, sf_dir), ["line_no", "bin"],
         {"w": F.sum(w), "wy": F.sum(w * y), "wp": F.sum(w * p)},
     )
     reps = sums.select("line_no", "bin", (F.col("wy") / F.col("w")).alias("observed"), (F.col("wp") / F.col("w")).alias("predicted"))
@@ -516,25 +517,32 @@ cte(
  (SELECT *, row_number() OVER (ORDER BY p, doc_id) - 1 AS i, count(*) OVER () AS n FROM docs)""",
     "docs",
 )
-cte("draws_b", draws_sql("doc_bins", "bin", "doc_id", BIN_REPS, BIN_SEED), "doc_bins")
+cte("bin_sizes", "SELECT bin, count(*) AS n, sum(y)::BIGINT AS events FROM doc_bins GROUP BY 1", "doc_bins")
+_BIN_U = unit_sql(f"'{BIN_SEED}:' || bin || ':' || replicate")
+cte(
+    "bin_draws",
+    binomial_sql(
+        f"(SELECT *, events / n::DOUBLE AS p, {_BIN_U} AS u FROM bin_sizes, (SELECT unnest(range(1, {BIN_REPS + 1}))::INT AS replicate))",
+        "bin, replicate", "n", "p", "u", "n, events, p, u",
+    ),
+    "bin_sizes",
+)
 
 
 @query(
     "in_bin_resampling",
     sql(
-        """SELECT bin, any_value(n) AS n, any_value(events) AS events, round(quantile_cont(o, 0.025), 6) AS observed_low, round(quantile_cont(o, 0.975), 6) AS observed_high
-FROM (SELECT bin, replicate, sum(mult * y) / sum(mult)::DOUBLE AS o FROM doc_bins JOIN draws_b USING (bin, doc_id) GROUP BY 1, 2)
-JOIN (SELECT bin, count(*) AS n, sum(y)::BIGINT AS events FROM doc_bins GROUP BY 1) USING (bin) GROUP BY 1""",
-        "doc_bins",
-        "draws_b",
+        """SELECT bin, any_value(n) AS n, any_value(events) AS events, round(quantile_cont(k / n::DOUBLE, 0.025), 6) AS observed_low,
+  round(quantile_cont(k / n::DOUBLE, 0.975), 6) AS observed_high FROM bin_draws GROUP BY 1""",
+        "bin_draws",
     ),
 )
 def in_bin_resampling(spark, sf_dir):
-    """Rows drawn with replacement inside each equal-count bin."""
+    """Rows drawn with replacement inside each equal-count bin: only how many events are drawn matters."""
     rows = M.with_equal_count_bin(scored_documents(spark, sf_dir).select("doc_id", "y", "p"), [], "p", "doc_id")
-    sums = S.drawn_sums(rows, ["bin"], "doc_id", {"n": F.count(F.lit(1)), "k": F.sum("y")}, BIN_REPS, BIN_SEED)
-    reps = sums.select("bin", (F.col("k") / F.col("n")).alias("observed"))
-    point = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
+    point = materialise(rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events")), "bins")
+    reps = event_counts(point, ["bin"], "n", "events", BIN_REPS, BIN_SEED)
+    reps = reps.select("bin", (F.col("events") / F.col("n")).alias("observed"))
     return rounded(point.join(S.intervals(reps, ["bin"], ["observed"]).drop("observed_defined"), "bin"))
 
 

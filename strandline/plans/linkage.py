@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions.ids import half_by_parity, hash_bits, nested_half
 from strandline.operators import linkage as L
 from strandline.operators.aggregates import quality_counts
-from strandline.operators.history import history_cells, with_history
+from strandline.operators.history import history_cells, id_spans, with_history
 from strandline.operators.joins import reconcile
 from strandline.operators.ordering import order_number
 from strandline.plans.bindings import admissions, encoded, encounters
@@ -477,10 +477,10 @@ BAGS = ("prior_dx_ids_180d", "prior_pr_ids_180d")
 
 @staged
 def histories(spark, sf_dir):
-    cells = history_cells(encoded(spark, sf_dir), "emergency", "elective", CAUSES, SEVERITIES, ("dx_ids", "pr_ids"))
-    cells = materialise(cells, "history_cells")
+    adm, codes = encoded(spark, sf_dir), ("dx_ids", "pr_ids")
+    cells = materialise(history_cells(adm, "emergency", "elective", CAUSES, SEVERITIES), "history_cells")
     index = episodes(spark, sf_dir).where("eligible")
-    return with_history(index, cells, CAUSES, SEVERITIES, ("dx_ids", "pr_ids")).select(
+    return with_history(index, cells, id_spans(adm, codes), CAUSES, SEVERITIES, codes).select(
         "enc_id", "year", "entity_id", *HISTORY, *BAGS
     )
 

@@ -449,7 +449,7 @@ FROM (SELECT replicate, sum(mult * y_part) / sum(mult)::DOUBLE AS u, sum(mult *
     ),
 )
 def label_drift_bounds(spark, sf_dir):
-    reps = S.replicate_rates(scored_lines(spark, sf_dir), entity_draws(spark, sf_dir), [], ["entity_id"], "y_part", "weight")
+    reps = S.replicate_rates(scored_lines(spark, sf_dir), entity_draws(spark, sf_dir), [], "y_part", "weight")
     return rounded(S.intervals(reps, [], ["unweighted_rate", "weighted_rate"]), 5)
 
 

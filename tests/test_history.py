@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandline.layout import Encounter
-from strandline.operators.history import history_cells, with_history
+from strandline.operators.history import history_cells, id_spans, with_history
 
 COLUMNS = (
     "enc_id long, entity_id long, start_day int, stay int, month int, emergency int, elective int, severity int, risk int, "
@@ -14,8 +14,8 @@ LAYOUT = Encounter(entity=("entity_id",))
 
 def history(spark, rows, index):
     adm = spark.createDataFrame(rows, COLUMNS)
-    cells = history_cells(adm, "emergency", "elective", ["a", "b"], ["severity", "risk"], ["dx", "pr"], LAYOUT)
-    out = with_history(adm.where(F.col("enc_id") == index), cells, ["a", "b"], ["severity", "risk"], ["dx", "pr"], LAYOUT)
+    cells = history_cells(adm, "emergency", "elective", ["a", "b"], ["severity", "risk"], LAYOUT)
+    out = with_history(adm.where(F.col("enc_id") == index), cells, id_spans(adm, ["dx", "pr"], LAYOUT), ["a", "b"], ["severity", "risk"], ["dx", "pr"], LAYOUT)
     return out.first().asDict()
 
 
@@ -50,8 +50,8 @@ def test_history_is_the_row_by_row_count(spark):
         for key in range(70)
     ]
     adm = spark.createDataFrame(rows, COLUMNS)
-    cells = history_cells(adm, "emergency", "elective", ["a", "b"], ["severity", "risk"], ["dx", "pr"], LAYOUT)
-    out = with_history(adm, cells, ["a", "b"], ["severity", "risk"], ["dx", "pr"], LAYOUT).collect()
+    cells = history_cells(adm, "emergency", "elective", ["a", "b"], ["severity", "risk"], LAYOUT)
+    out = with_history(adm, cells, id_spans(adm, ["dx", "pr"], LAYOUT), ["a", "b"], ["severity", "risk"], ["dx", "pr"], LAYOUT).collect()
     assert len(out) == 70
     for r in out:
         want = plain_history(rows, r["enc_id"])
@@ -76,3 +76,15 @@ def test_zero_day_stay_on_the_index_day_is_not_prior(spark):
     assert (r["prior_count_ytd"], r["days_since_prior"]) == (1, 0)
     # a missing elective mark counts as not elective; missing severities give 0
     assert (r["prior_nonelective_180d"], r["prior_max_severity_180d"]) == (1, 0)
+
+
+def test_spans_of_one_id_do_not_overlap(spark):
+    rng = random.Random(3)
+    rows = [(k, k % 3, rng.randrange(1, 360), 1, 1, 0, 0, 0, 0, False, None, [4, 5, 5, rng.randrange(4, 9)], None) for k in range(90)]
+    spans = id_spans(spark.createDataFrame(rows, COLUMNS), ["dx", "pr"], LAYOUT).collect()
+    by = {}
+    for s in spans:
+        by.setdefault((s.entity_id, s.column, s.id), []).append((s["first"], s["last"]))
+    for held in by.values():
+        held.sort()
+        assert all(a[1] < b[0] for a, b in zip(held, held[1:])) and all(b - a <= 360 for a, b in held)

@@ -1,10 +1,12 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.operators import draws as G
 from strandline.operators import metrics as M
 from strandline.operators import resample as S
 
@@ -100,48 +102,95 @@ def test_equal_count_bins_follow_the_position_rule(df, data):
 # resampling -----------------------------------------------------------------------
 
 def test_draws_fill_every_stratum(spark, df):
-    draws = S.draw_table(df, ["stratum"], "cluster", 12, seed=3)
+    draws = G.draw_table(G.plan_draws(df, ["stratum"], "cluster", 12, seed=3))
     sizes = df.select("stratum", "cluster").distinct().groupBy("stratum").count()
     totals = draws.groupBy("stratum", "replicate").agg(F.sum("mult").alias("m")).join(sizes, "stratum")
     assert totals.count() == 12 * 5 and totals.where("m <> count").isEmpty()
-    again = S.draw_table(df.repartition(3), ["stratum"], "cluster", 12, seed=3)
+    again = G.draw_table(G.plan_draws(df.repartition(3), ["stratum"], "cluster", 12, seed=3))
     assert sorted(map(tuple, draws.collect())) == sorted(map(tuple, again.collect()))
 
 
 def test_single_cluster_stratum_is_kept_once(spark):
     clusters = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "s string, c int")
-    draws = S.draw_table(clusters, ["s"], "c", 20, seed=1).where("s = 'a'").collect()
+    draws = G.draw_table(G.plan_draws(clusters, ["s"], "c", 20, seed=1)).where("s = 'a'").collect()
     assert len(draws) == 20 and {r["mult"] for r in draws} == {1}
 
 
-def test_replicate_metrics_equal_repeated_rows(df):
-    draws = S.draw_table(df, [], "cluster", 4, seed=9)
-    got = {r["replicate"]: r for r in S.replicate_metrics(df, draws, [], ["cluster"], "p", "y", "w").collect()}
-    repeated = df.join(draws, "cluster").select("replicate", "p", "y", F.explode(F.array_repeat("w", F.col("mult"))).alias("w"))
+def test_sums_without_groups(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(40)], "c int, v double")
+    plan = G.plan_draws(df, [], "c", 9, 2, 16)
+    got = {r.replicate: r.v for r in S.replicate_sums(df, plan, [], {"v": F.sum("v")}).collect()}
+    met = df.join(G.draw_table(plan), "c").groupBy("replicate").agg(F.sum(F.col("v") * F.col("mult")).alias("v"))
+    assert got == {r.replicate: r.v for r in met.collect()}
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_replicate_metrics_equal_repeated_rows(df, block):
+    plan = G.plan_draws(df, [], "cluster", 4, 9, block)
+    got = {r["replicate"]: r for r in S.replicate_metrics(df, plan, [], "p", "y", "w").collect()}
+    repeated = df.join(G.draw_table(plan), "cluster").select("replicate", "p", "y", F.explode(F.array_repeat("w", F.col("mult"))).alias("w"))
     want = {r["replicate"]: r for r in M.binary_metrics(repeated, ["replicate"], "p", "y", "w").collect()}
+    assert want and set(got) == set(want)
     for k in want:
         for metric in ("auroc", "auprc", "brier", "log_loss", "n_rows"):
             assert got[k][metric] == pytest.approx(want[k][metric])
 
 
+@pytest.mark.parametrize("block,fan", [(4096, 1024), (16, 1024), (16, 2), (3, 5)])
+def test_draws_are_those_of_the_rule_in_sql(spark, monkeypatch, block, fan):
+    monkeypatch.setattr(G, "FAN", fan)
+    monkeypatch.setattr(G, "LEVELS", 8)
+    rows = [(s, i) for s, n in (("a", 150), ("b", 1), ("c", 16), ("d", 35)) for i in range(n)]
+    plan = G.plan_draws(spark.createDataFrame(rows, "s string, c int"), ["s"], "c", 25, 5, block)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest($1) AS s, unnest($2) AS c", [[r[0] for r in rows], [r[1] for r in rows]])
+    want = con.execute(G.draws_sql("t", "s", "c", 25, 5, block)).fetchall()
+    assert sorted(map(tuple, G.draw_table(plan).collect())) == sorted(want)
+
+
+def test_block_counts_are_binomial():
+    u = (np.arange(20_000) + 0.5) / 20_000
+    for n, p in ((1, 0.5), (12, 0.3), (4_000, 0.71), (3, 1.0), (5, 0.0), (100_000_000, 0.5)):
+        k = G.binomial(u, np.full(len(u), n), p)
+        sd = math.sqrt(n * p * (1 - p))
+        assert abs(k.mean() - n * p) <= 1e-3 * sd + 1e-9 and abs(k.std() - sd) <= 0.01 * sd + 1e-2 * (n < 20)
+        assert (np.diff(k) >= 0).all() and 0 <= k.min() and k.max() <= n
+    sums = np.array([math.comb(12, j) * 0.3**j * 0.7 ** (12 - j) for j in range(13)]).cumsum()
+    assert (G.binomial(u, np.full(len(u), 12), 0.3) == np.searchsorted(sums, u)).all()
+
+
+def test_multiplicities_are_uniform():
+    times = G.multiplicities("seed", 3, 50, np.full(4_000, 50))
+    assert (times.sum(axis=0) == 50).all()
+    assert abs(times.mean(axis=1) - 1).max() < 0.08 and times.var() == pytest.approx(0.98, abs=0.02)
+
+
+def test_sums_of_many_packs_equal_the_joined_table(spark, monkeypatch):
+    monkeypatch.setattr(G, "ROWS", 3)
+    rows = [(i % 3 if i < 120 else 7, i, i % 5 % 2, f"g{i % 4}") for i in range(121)] + [(0, 0, 1, "g9")]
+    df = spark.createDataFrame(rows, "bin int, id long, y int, g string")
+    plan = G.plan_draws(df, ["bin"], "id", 30, 5, 8)
+    got = S.replicate_sums(df, plan, ["g"], {"n": F.count(F.lit(1)), "k": F.sum(F.col("y") * 0.5)})
+    met = df.join(G.draw_table(plan), ["bin", "id"]).groupBy("replicate", "g")
+    want = met.agg(F.sum("mult").alias("n"), F.sum(F.col("mult") * F.col("y") * 0.5).alias("k"))
+    flat = lambda t: sorted((r.replicate, r.g, r.n, r.k) for r in t.where("n > 0").collect())
+    assert plan.packs > 5 and flat(got) == flat(want) and got.schema["n"].dataType.typeName() == "long"
+
+
+def test_event_counts_follow_the_rows_drawn(spark):
+    bins = spark.createDataFrame([("a", 40, 10), ("b", 7, 0), ("c", 7, 7)], "bin string, n long, events long")
+    got = G.event_counts(bins, ["bin"], "n", "events", 2_000, 3)
+    by = {r.bin: r for r in got.groupBy("bin").agg(F.avg("events").alias("m"), F.stddev_pop("events").alias("s"), F.count("*").alias("n")).collect()}
+    assert by["a"].m == pytest.approx(10, abs=0.2) and by["a"].s == pytest.approx(math.sqrt(7.5), abs=0.15)
+    assert (by["b"].m, by["c"].m, by["c"].n) == (0, 7, 2_000)
+
+
 def test_holm_steps_down(spark):
     tests = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03)], "family string, name string, p double")
     out = {r["name"]: r["adjusted_p"] for r in S.holm(tests, ["family"], "p", "name").collect()}
     assert out == pytest.approx({"a": 0.03, "c": 0.06, "b": 0.06})
 
 
-def test_drawn_sums_are_those_of_the_draw_table(spark, monkeypatch):
-    monkeypatch.setattr(S, "PLACES", 16)
-    monkeypatch.setattr(S, "DRAWS", 8)
-    rows = [(i % 3 if i < 120 else 7, i, i % 5 % 2) for i in range(121)] + [(0, 0, 1)]
-    df = spark.createDataFrame(rows, "bin int, id long, y int")
-    sums = {"n": F.count(F.lit(1)), "k": F.sum("y")}
-    want = S.replicate_sums(df, S.draw_table(df, ["bin"], "id", 30, 5), [], ["bin", "id"], sums, by=["bin"])
-    got = S.drawn_sums(df, ["bin"], "id", sums, 30, 5)
-    flat = lambda t: sorted((r.bin, r.replicate, r.n, r.k) for r in t.collect())
-    assert flat(got) == flat(want) and len(flat(got)) == 4 * 30
-
-
 def test_bins_are_resampled_a_thousand_times():
     from strandline.plans import evaluation
 
