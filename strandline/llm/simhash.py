@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import fixed_binary, in_arrow, per_group, slices, word_pieces
-from strandline.operators.skew import lookup_join
+from strandline.operators.skew import lookup_join, spread_join
 from strandline.session import materialise
 
 SEED = 42
@@ -37,6 +37,7 @@ SMALL_RUN = 32
 BLOCK = 4_096  # fingerprints of a posting that are compared in one piece
 GROUP = 4
 POSTINGS = 1 << 18  # postings made at a time
+TASK_EDGES = 1 << 20  # edges that a task holds before it turns them into stars
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -178,6 +179,46 @@ def spanning_tree(size: int, hits: Callable[[int, np.ndarray], np.ndarray]) -> t
     return np.concatenate(heads), np.concatenate(tails)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, member) rows that join what edges (a, b) join: one for every node but the smallest of its group."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        # labels are nodes: what hangs on a node goes where that node went
+        np.minimum.at(label, before, label)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    member = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[member]], names[member]
+
+
+class Gathered:
+    """The edges of one task, as stars over all that it has seen; what outgrows its limit leaves early."""
+
+    def __init__(self, limit: int = TASK_EDGES):
+        self.limit, self.parts, self.size = limit, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.parts.append((a, b))
+        self.size += len(a)
+        if self.size > self.limit:
+            root, member = stars(*map(np.concatenate, zip(*self.parts)))
+            self.parts, self.size = [(root, member)], len(root)
+            if self.size > self.limit // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.size:
+            yield stars(*map(np.concatenate, zip(*self.parts)))
+        self.parts, self.size = [], 0
+
+
 class Linker:
     """Compares the fingerprints of one posting; runs inside tasks."""
 
@@ -216,19 +257,7 @@ class Linker:
             tails.append(b + start)
         if not heads:
             return nodes[:0], nodes[:0]
-        names, place = np.unique(nodes, return_inverse=True)
-        a, b = place[np.concatenate(heads)], place[np.concatenate(tails)]
-        label = np.arange(len(names))
-        while True:
-            low = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-            if np.array_equal(label, before):
-                break
-        member = np.flatnonzero(label != np.arange(len(names)))
-        return names[label[member]], names[member]
+        return stars(nodes[np.concatenate(heads)], nodes[np.concatenate(tails)])
 
 
 _OUT = "a long, b long, key long, fp binary"
@@ -252,10 +281,11 @@ def dealt_blocks(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
 
     Blocks are made by a hash of ``node`` and hold about half of ``block`` rows.
     """
-    parts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) * 2 / F.lit(block)).cast("long").alias("parts"))
-    parts = parts.withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
+    sizes = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "block-sizes")
+    parts = F.ceil(F.col("n") * 2 / F.lit(block)).cast("long")
+    parts = sizes.select(*keys, F.when(parts <= 2, 1).otherwise(parts).alias("parts"))
     return (
-        rows.join(parts, keys)
+        spread_join(rows, parts, keys, rows=block, counts=sizes)
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
@@ -278,15 +308,17 @@ def links(
     A task walks the postings in key order and holds at most one of them and one
     batch.  A posting of more than ``block`` fingerprints is passed on row by
     row; it is then compared block by block, each pair of blocks in a task of
-    its own.  Instead of all pairs, each piece returns a forest that connects
-    the same nodes.
+    its own.  Instead of all pairs, each task returns stars that connect the
+    same nodes: at most one edge for a node, though copies meet in hundreds of
+    postings.  Edges of different tasks are then dealt by their larger node and
+    turned into stars once more.
     """
     kept = tuple(range(width)) if kept is None else kept
     stride = len(kept)
     linker = Linker(max_bits, min_shared)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, passing = None, None
+        held, passing, gathered = None, None, Gathered()
         for batch in batches:
             keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, stride)
@@ -301,15 +333,17 @@ def links(
             if held is not None:
                 keys, nodes, data = (np.concatenate(x) for x in zip(held, (keys, nodes, data)))
             last = int(np.searchsorted(keys, keys[-1], "left"))
-            yield from whole(keys[:last], nodes[:last], data[:last])
+            yield from whole(keys[:last], nodes[:last], data[:last], gathered)
             held = keys[last:], nodes[last:], data[last:]
             if len(held[0]) > block:
                 yield _long_rows(*held)
                 passing, held = held[0][0], None
         if held is not None:
-            yield from whole(*held)
+            yield from whole(*held, gathered)
+        for root, member in gathered.rest():
+            yield _edge_rows(root, member)
 
-    def whole(keys, nodes, data) -> Iterator[pa.RecordBatch]:
+    def whole(keys, nodes, data, gathered: Gathered) -> Iterator[pa.RecordBatch]:
         if not len(keys):
             return
         starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
@@ -319,8 +353,7 @@ def links(
             yield _long_rows(keys[long], nodes[long], data[long])
         several = np.repeat((sizes > 1) & (sizes <= block), sizes)
         if several.any():
-            root, member = linker.forest(keys[several], nodes[several], data[several])
-            if len(root):
+            for root, member in gathered.add(*linker.forest(keys[several], nodes[several], data[several])):
                 yield _edge_rows(root, member)
 
     index = postings(points, width, kept).repartition("key").sortWithinPartitions("key", "node")
@@ -328,7 +361,7 @@ def links(
     edges = found.where(F.col("key").isNull()).select("a", "b")
     long = found.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "fp")
     if long.isEmpty():
-        return edges.distinct()
+        return as_stars(edges)
 
     def compare(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
@@ -337,7 +370,25 @@ def links(
         return pa.table({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b])})
 
     blocks = per_group(dealt_blocks(long, ["key"], block), ["key", "i", "j"], compare, "a long, b long")
-    return edges.unionByName(blocks).distinct()
+    return as_stars(edges.unionByName(blocks))
+
+
+def as_stars(edges: DataFrame) -> DataFrame:
+    """Edges that join the same nodes, where many tasks found the same groups.
+
+    Dealt by the larger node, a part has some members of a group and all its
+    roots, so of each group little more than one edge a member is left.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = Gathered()
+        row = lambda pair: pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["a", "b"])
+        for batch in batches:
+            yield from map(row, gathered.add(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        yield from map(row, gathered.rest())
+
+    dealt = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition("b")
+    return in_arrow(dealt, work, "a long, b long").distinct()
 
 
 # classes ---------------------------------------------------------------------------
@@ -426,10 +477,14 @@ def near_copies(
     probability of 0.062, and all 128 groups and the bit limit miss about one pair
     in 3,000; scattered edits and higher similarities miss fewer.  Within a
     candidate class the sets of shingle hashes are compared exactly, block by
-    block.  Equal fingerprints are taken as copies.
+    block.  Equal fingerprints are taken as copies.  Of the 16 kept bytes, 35
+    differing bits may spoil every one, so the guaranteed number of equal bytes is
+    none: the count filter is the meeting in a posting (three equal bytes of four)
+    alone, and the kept bits decide.
     """
     prints = fingerprints(docs, id_col, text_col, 3, WIDE_WORDS, distinct=True)
-    found = materialise(classes(prints, WIDE_WORDS, WIDE_BITS, 1, block, WIDE_KEPT), "candidates")
+    least = max(0, len(WIDE_KEPT) - WIDE_BITS)
+    found = materialise(classes(prints, WIDE_WORDS, WIDE_BITS, least, block, WIDE_KEPT), "candidates")
     mixed = (
         found.where(F.col("component_id").isNotNull())
         .groupBy("component_id")
@@ -437,7 +492,8 @@ def near_copies(
         .where("mixed")
         .select("component_id")
     )
-    members = materialise(found.join(mixed, "component_id").select("doc_id", "component_id").distinct(), "members")
+    members = lookup_join(found, materialise(mixed, "mixed"), ["component_id"], "left_semi")
+    members = materialise(members.select("doc_id", "component_id").distinct(), "members")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -476,10 +532,9 @@ def near_copies(
 
     edges = per_group(dealt_blocks(nodes, ["component_id"], exact_block), ["component_id", "i", "j"], compare, "a long, b long")
     roots = connected(edges)
-    class_of = nodes.select("component_id", "sig", "node").join(roots, "node", "left")
+    class_of = materialise(nodes.select("component_id", "sig", "node").join(roots, "node", "left"), "exact-classes")
     named = (
-        sets.select("doc_id", "component_id", "sig")
-        .join(class_of, ["component_id", "sig"])
+        lookup_join(sets.select("doc_id", "component_id", "sig"), class_of, ["component_id", "sig"], "inner")
         .groupBy("doc_id")
         .agg(F.min(F.coalesce("root", "node")).alias("exact_id"))
     )

@@ -107,10 +107,62 @@ def test_near_copies_are_those_of_the_plain_comparison(spark, block):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in S.near_copies(df, exact_block=block).collect()}
     wrong = [i for i, s in enumerate(sets) if got[i] != least[find(s)]]
-    assert len(wrong) <= 3  # candidates are found with high probability, not certainty
+    assert wrong == []
     assert all(got[i] >= least[find(sets[i])] for i in got)  # what is joined is truly near
 
 
+def near_group(m):
+    """``m`` fingerprints of 4,096 bits, each a few scattered bits off one another, as near copies have."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, 512, dtype=np.uint8)
+    out = []
+    for i in range(m):
+        bits = np.zeros(4096, np.uint8)
+        bits[rng.choice(4096, 250, replace=False)] = 1
+        out.append((i, bytes(base ^ np.packbits(bits))))
+    return out
+
+
+def test_edges_of_a_group_of_near_copies_grow_with_its_members(spark, monkeypatch):
+    made = {}
+    seen = S.connected
+    for m in (150, 600):
+
+        def count(edges, m=m):
+            made[m] = edges.count()
+            return seen(edges)
+
+        monkeypatch.setattr(S, "connected", count)
+        prints = spark.createDataFrame(near_group(m), "doc_id long, fp binary")
+        found = S.classes(prints, S.WIDE_WORDS, S.WIDE_BITS, 0, kept=S.WIDE_KEPT).collect()
+        assert {r.component_id for r in found} == {0}
+    assert all(edges < 1.5 * m for m, edges in made.items())
+
+
+@pytest.mark.parametrize("limit", [4, 50, 10_000])
+def test_stars_connect_what_the_edges_connect(spark, limit):
+    rng = np.random.default_rng(limit)
+    a, b = rng.integers(0, 400, 500), rng.integers(0, 400, 500)
+    gathered, out = S.Gathered(limit), []
+    for i in range(0, 500, 20):
+        out += list(gathered.add(a[i : i + 20], b[i : i + 20]))
+    out += list(gathered.rest())
+    edges = [(int(x), int(y)) for r, m in out for x, y in zip(r, m)]
+
+    def groups(pairs):
+        label = {i: i for i in range(400)}
+        for _ in range(400):
+            before = dict(label)
+            for x, y in pairs:
+                label[x] = label[y] = min(label[x], label[y])
+            if before == label:
+                return label
+
+    assert groups(edges) == groups(list(zip(a.tolist(), b.tolist())))
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long")
+    assert groups([(r.a, r.b) for r in S.as_stars(df).collect()]) == groups(edges)
+
+
 def test_defined_cases(spark):
     df = spark.createDataFrame(
         [(1, "a b c d", 9), (1, "a b c d", 9), (None, "a b c d", 1), (None, "z z y", 1), (2, None, 0), (3, "", 0)],
