@@ -351,14 +351,44 @@ def selection_score(metrics: DataFrame, model: str = "model") -> DataFrame:
     return metrics.groupBy(model).agg(F.avg("auprc").alias("mean_auprc"), F.avg("brier").alias("mean_brier"))
 
 
-def score_audit(df: DataFrame, groups: Sequence[str], p: str) -> DataFrame:
-    """Finite, in range, and not constant."""
+def score_audit(
+    df: DataFrame, groups: Sequence[str], key: str, p: str, y: str, flagged: str, expected_rows: int, expected_groups: int, share: float
+) -> DataFrame:
+    """Gates on stored scores, one row per group, with the names of those that fail.
+
+    Rows must be as many as expected and keys distinct; scores finite, in range and
+    not constant; exactly ceil(share n) rows flagged; AUROC above one half and
+    average precision above the event rate.  The number of groups must be the
+    expected one as well.
+    """
+    groups = list(groups)
     v = F.col(p).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    out = df.groupBy(*groups).agg(
+    base = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.every(finite).alias("finite"),
         F.every(F.coalesce((v >= 0) & (v <= 1), F.lit(False))).alias("in_range"),
         F.stddev_pop(v).alias("sd"),
+        F.count_if(F.col(flagged)).alias("flagged_rows"),
     )
-    return out.withColumn("nondegenerate", F.col("finite") & (F.col("sd") > 1e-8))
+    # a key that repeats is found by its count, not by a list of keys
+    keys = df.groupBy(*groups, key).agg(F.count(F.lit(1)).alias("n")).groupBy(*groups).agg(F.sum(F.col("n") - 1).alias("repeated_keys"))
+    ranks = binary_metrics(df.where(finite), groups, p, y).select(*groups, "auroc", "auprc", "prevalence")
+    found = base.join(keys, groups).join(ranks, groups, "left")
+    n_groups = base.count()
+    exact = F.col("flagged_rows") == F.ceil(F.col("n_rows") * F.lit(share))
+    gates = {
+        "row_count": F.col("n_rows") == expected_rows,
+        "score_columns": F.lit(n_groups == expected_groups),
+        "repeated_keys": F.col("repeated_keys") == 0,
+        "not_finite": F.col("finite"),
+        "out_of_range": F.col("in_range"),
+        "constant": F.col("finite") & (F.col("sd") > 1e-8),
+        "capacity": exact,
+        "direction": (F.col("auroc") > 0.5) & (F.col("auprc") > F.col("prevalence")),
+    }
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(gate, F.lit(False)), F.lit(name)) for name, gate in gates.items()]))
+    return found.select(
+        *groups, "n_rows", "repeated_keys", "finite", "in_range", "sd", "flagged_rows", "auroc", "auprc", "prevalence",
+        F.array_join(failed, ";").alias("failures"),
+    )

@@ -486,6 +486,29 @@ def transfer_replicates(spark, sf_dir):
     return S.replicate_metrics(transfer_rows(spark, sf_dir), transfer_draws(spark, sf_dir), ["model"], "p", "y")
 
 
+CURVE_POINTS = [0.01 + i * (0.49 / 99) for i in range(99)] + [0.5]
+
+
+@query(
+    "transfer_decision_curve",
+    sql(
+        """WITH points AS (SELECT unnest(range(0, 99)) AS i UNION ALL SELECT 99),
+counted AS (SELECT model, i, CASE WHEN i = 99 THEN 0.5::DOUBLE ELSE 0.01::DOUBLE + i * (0.49::DOUBLE / 99) END AS threshold FROM points, (SELECT DISTINCT model FROM transfer_rows)),
+sums AS (SELECT model, threshold, count(*) AS n, avg(y) AS rate, count(*) FILTER (WHERE p >= threshold AND y = 1) AS tp, count(*) FILTER (WHERE p >= threshold AND y = 0) AS fp
+  FROM counted JOIN transfer_rows USING (model) GROUP BY 1, 2)
+SELECT model, round(threshold, 8) AS threshold, round((tp - fp * threshold / (1 - threshold)) / n, 8) + 0.0 AS net_benefit,
+  round(rate - (1 - rate) * threshold / (1 - threshold), 8) + 0.0 AS treat_all_net_benefit, 0.0::DOUBLE AS treat_none_net_benefit, n FROM sums""",
+        "transfer_rows",
+    ),
+)
+def transfer_decision_curve(spark, sf_dir):
+    """Net benefit of both scores at 100 thresholds from 0.01 to 0.50, on the chains with a known label."""
+    rows = transfer_rows(spark, sf_dir).withColumn("w", F.lit(1.0))
+    curve = M.decision_curve(rows, ["model"], "p", "y", "w", CURVE_POINTS)
+    sizes = rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(lookup_join(curve, sizes, ["model"], "inner"), 8)
+
+
 _TRANSFER = ("auroc", "auprc", "brier")
 _BOUNDS = ", ".join(
     f"round(quantile_cont({m}, 0.025), 5) AS {m}_low, round(quantile_cont({m}, 0.975), 5) AS {m}_high, count({m}) AS {m}_defined" for m in _TRANSFER

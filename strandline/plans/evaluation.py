@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from strandline.functions.values import wilson
 from strandline.operators import metrics as M
+from strandline.operators import ordering as O
 from strandline.operators import resample as S
 from strandline.operators.draws import binomial_sql, draw_table, draws_sql, event_counts, plan_draws, unit_sql
-from strandline.plans.bindings import scored_documents, scored_lines, unique_lines
+from strandline.plans.bindings import scored_documents, scored_lines, table, unique_lines
 from strandline.plans.registry import cte, query, rnd, rounded, sql
 from strandline.plans.stages import planned, staged
 from strandline.session import materialise
@@ -297,17 +298,36 @@ def selection_score(spark, sf_dir):
     return rounded(M.selection_score(M.binary_metrics(rows, ["model", "outcome"], "p", "y")), 5)
 
 
+CAPACITY = 0.2
+cte("audited", " UNION ALL ".join(f"SELECT row_id, weight, '{m}' AS model, '{o}' AS outcome, {y} AS y, {p} AS p FROM uniq" for (m, o), (y, p) in PAIRS.items()), "uniq")
+
+
 @query(
     "score_audit",
     sql(
-        """SELECT model, outcome, count(*) AS n_rows, true AS finite, bool_and(p BETWEEN 0 AND 1) AS in_range, round(stddev_pop(p), 6) AS sd,
-  stddev_pop(p) > 1e-8 AS nondegenerate FROM long GROUP BY 1, 2""",
-        "long",
+        f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY model, outcome ORDER BY p DESC, row_id) AS r, count(*) OVER (PARTITION BY model, outcome) AS n FROM audited),
+facts AS (SELECT model, outcome, count(*) AS n_rows, (count(*) - count(DISTINCT row_id))::BIGINT AS repeated_keys, bool_and(isfinite(p)) AS finite,
+  bool_and(p BETWEEN 0 AND 1) AS in_range, stddev_pop(p) AS sd, count(*) FILTER (WHERE r <= ceil(n * {CAPACITY}::DOUBLE)) AS flagged_rows FROM ranked GROUP BY 1, 2)
+SELECT model, outcome, f.n_rows, repeated_keys, finite, in_range, round(sd, 6) AS sd, flagged_rows, m.auroc, m.auprc, m.prevalence,
+  concat_ws(';', CASE WHEN f.n_rows <> (SELECT count(*) FROM lineitem) THEN 'row_count' END, CASE WHEN (SELECT count(*) FROM facts) <> {len(PAIRS)} THEN 'score_columns' END,
+    CASE WHEN repeated_keys > 0 THEN 'repeated_keys' END, CASE WHEN NOT finite THEN 'not_finite' END, CASE WHEN NOT in_range THEN 'out_of_range' END,
+    CASE WHEN NOT sd > 1e-8 THEN 'constant' END, CASE WHEN flagged_rows <> ceil(f.n_rows * {CAPACITY}::DOUBLE) THEN 'capacity' END,
+    CASE WHEN NOT (m.auroc > 0.5 AND m.auprc > m.prevalence) THEN 'direction' END) AS failures
+FROM facts f JOIN ({metrics_sql('audited', 'model, outcome', '1.0::DOUBLE')}) m USING (model, outcome)""",
+        "audited",
     ),
 )
 def score_audit(spark, sf_dir):
-    rows = M.scores_long(scored_lines(spark, sf_dir), [], PAIRS)
-    return rounded(M.score_audit(rows, ["model", "outcome"], "p"))
+    """Expected rows and score columns, distinct keys, sound scores, exact capacity and direction of every score."""
+    rows = unique_lines(spark, sf_dir)
+    flagged = rows
+    for model in dict.fromkeys(m for m, _ in PAIRS):
+        flagged, _ = O.capacity_flags(flagged, f"p_{model}", "row_id", CAPACITY, f"flag_{model}")
+    long = M.scores_long(flagged, ["row_id", *[f"flag_{m}" for m in THRESHOLDS]], PAIRS)
+    flag = F.when(F.col("model") == "fine", F.col("flag_fine")).otherwise(F.col("flag_tied"))
+    expected = table(spark, sf_dir, "lineitem").count()
+    long = materialise(long.withColumn("flagged", flag), "audited")
+    return rounded(M.score_audit(long, ["model", "outcome"], "row_id", "p", "y", "flagged", expected, len(PAIRS), CAPACITY))
 
 
 # resampling --------------------------------------------------------------------------------

@@ -11,10 +11,11 @@ from strandline.operators import drift as D
 from strandline.operators import metrics as M
 from strandline.operators import resample as S
 from strandline.plans.bindings import class_scores, encounters, scored_lines
-from strandline.plans.evaluation import entity_draws, metrics_sql, tidy
+from strandline.plans.evaluation import PAIRS, entity_draws, metrics_sql, newton_sql, tidy
 from strandline.plans.linkage import episodes, partition_label
 from strandline.plans.registry import cte, query, rnd, rounded, sql
 from strandline.plans.stages import staged
+from strandline.session import materialise
 
 ALPHAS = (0.1, 0.2, 0.05)
 MIN_ROWS = 145
@@ -379,26 +380,46 @@ def effective_size_wilson(spark, sf_dir):
     return rounded(sums.select("line_no", rate.alias("rate"), low.alias("low"), high.alias("high")))
 
 
-_HALF = "(SELECT *, status = 'F' AS late, y_any AS y, p_fine AS p FROM scored)"
-cte("half_metrics", metrics_sql(_HALF, "late", "weight").replace(", 6)", ", 12)"), "scored")
+cte("halves_long", "SELECT *, status = 'F' AS late FROM long", "long")
+_DRIFT_GROUPS = "late, model, outcome"
+cte("half_metrics", metrics_sql("halves_long", _DRIFT_GROUPS, "weight").replace(", 6)", ", 12)"), "halves_long")
+cte(
+    "half_scores",
+    """SELECT late, model, outcome, ln(p / (1 - p)) AS x, sum(weight * y) AS pos, sum(weight * (1 - y)) AS neg FROM
+ (SELECT * REPLACE (least(greatest(p, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS p) FROM halves_long) GROUP BY 1, 2, 3, 4""",
+    "halves_long",
+)
+cte("half_fits", newton_sql("half_scores", _DRIFT_GROUPS).replace(", 5)", ", 12)"), "half_scores")
+cte(
+    "half_all",
+    """SELECT m.*, CASE WHEN status = 'OK' THEN calibration_intercept END AS calibration_intercept, CASE WHEN status = 'OK' THEN calibration_slope END AS calibration_slope
+FROM half_metrics m JOIN half_fits USING (late, model, outcome)""",
+    "half_metrics",
+    "half_fits",
+)
+_DRIFT = ("calibration_intercept", "calibration_slope", "prevalence", "auroc", "auprc", "brier", "log_loss", "observed_expected")
 
 
 @query(
     "metric_drift",
     sql(
         " UNION ALL ".join(
-            f"SELECT '{m}' AS metric, round(o.{m}, 5) AS observed_value, round(r.{m}, 5) AS reference_value, round(o.{m} - r.{m}, 5) + 0.0 AS change FROM half_metrics o JOIN half_metrics r ON o.late AND NOT r.late"
-            for m in ("prevalence", "auroc", "auprc", "brier", "log_loss", "observed_expected")
+            f"""SELECT model, outcome, '{m}' AS metric, round(o.{m}, 4) + 0.0 AS observed_value, round(r.{m}, 4) + 0.0 AS reference_value, round(o.{m} - r.{m}, 4) + 0.0 AS change
+  FROM (SELECT * FROM half_all WHERE late) o JOIN (SELECT * FROM half_all WHERE NOT late) r USING (model, outcome)"""
+            for m in _DRIFT
         ),
-        "half_metrics",
+        "half_all",
     ),
 )
 def metric_drift(spark, sf_dir):
-    rows = scored_lines(spark, sf_dir).withColumn("late", F.col("status") == "F")
-    both = M.binary_metrics(rows, ["late"], "p_fine", "y_any", "weight").withColumn("model", F.lit("fine"))
-    names = ["prevalence", "auroc", "auprc", "brier", "log_loss", "observed_expected"]
-    out = D.metric_drift(both.where("late"), both.where("NOT late"), ["model"], names)
-    return rounded(out.drop("model"), 5)
+    """Calibration intercept and slope, and the other metrics, of every score and outcome against the earlier rows."""
+    groups = ["late", "model", "outcome"]
+    rows = M.scores_long(scored_lines(spark, sf_dir).withColumn("late", F.col("status") == "F"), ["late", "weight"], PAIRS)
+    table = materialise(M.score_table(rows, groups, "p", "y", "weight"), "scores")
+    both = M.summarise_scores(table, groups).join(M.fit_logit(table, groups), groups)
+    both = materialise(both, "half-metrics")
+    out = D.metric_drift(both.where("late"), both.where("NOT late"), ["model", "outcome"], _DRIFT)
+    return rounded(out, 4)
 
 
 cte(
