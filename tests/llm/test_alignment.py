@@ -81,6 +81,20 @@ def test_pieces_of_long_texts_give_the_same_ids(sides, size):
         assert "".join(A.text_pieces(text, size)) == " " + text
 
 
+def test_both_libraries_give_the_same_ids(sides):
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x300)]
+    texts = [f" {x}{c}{y}" for c in letters for x in ("", "a", " ", "1", "'", c) for y in ("b", " ", f"{c} x", f"\n{c}")]
+    common = letters + list(" \n\t'sdtrevemlation") * 40
+    texts += [" " + "".join(rng.choice(common) for _ in range(150)) for _ in range(3_000)]
+    words = "".join(sides[0].spelled[i].decode("utf-8", "ignore") for i in rng.choices(range(50_000), k=20_000))
+    texts += [" " + words[i : i + 400] for i in range(0, len(words), 400) if not A._BEYOND.search(words[i : i + 400])]
+    side = sides[0]
+    assert side.ranked is not None
+    slow = [e.ids for e in side.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert side.encode(texts) == slow
+
+
 def expected(rows, sides):
     found = [plain(t, sides) for _, t in rows]
     counts = Counter((a[i], b[j]) for a, b, links, _ in found for i, j in links)
