@@ -6,29 +6,37 @@ is split into k + 1 pieces; at least one of them must occur unchanged, so exact
 piece hits (one automaton over all pieces) give every candidate place, and
 Myers' bit-parallel distance, with words as symbols, decides it.
 
-Items are held by the tasks in blocks of ``block_items``, and each block makes
-one pass over the documents, so the benchmark may have any size.
-
-Defined cases: null or empty texts match nothing.  Items with fewer than
-``min_words`` words are too common to be evidence and are left out.  Repeated
-items count once; of several texts of one item the best match counts.  Repeated
-documents give repeated rows.
+Items are sent to the tasks in blocks of about ``block_items``.  Documents are read
+once: a task holds some megabytes of them and takes one block after the other, so
+neither it nor the driver ever holds more than one block, and the benchmark may
+have any size.
+
+Defined cases: null or empty texts match nothing.  Items of less than seven words
+allow no edit and are sought exactly; whether short ones are evidence enough to
+drop a document is the caller's choice (``min_words``; ``drop_contaminated`` asks
+for five).  Repeated items count once; of several texts of one item the best match
+counts.  Repeated documents give repeated rows, empty tables none.  Texts of any
+length are searched whole; a task holds the word list of one text.  Other columns
+are never read, whatever their names, and ``drop_contaminated`` hands them on.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import in_arrow, slices
+from strandline.session import materialise
 
 RATE = 0.15
-MIN_WORDS = 5
+EVIDENCE_WORDS = 5
 BLOCK_ITEMS = 5_000
+TEXT_BYTES = 32 << 20  # of documents that a task holds while it takes block after block
 _MARKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -115,13 +123,46 @@ class Finder:
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list[tuple[int | None, str]]]:
-    """Distinct items, at most about ``size`` at a time."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, size: int) -> list[Broadcast]:
+    """Distinct items, at most about ``size`` at a time; the driver holds one block while it sends it."""
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
+    rows = materialise(rows, "items")
     parts = max(1, -(-rows.count() // size))
+    context, sent = items.sparkSession.sparkContext, []
     for part in range(parts):
-        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield sorted(map(tuple, block.collect()), key=repr)
+        block = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        sent.append(context.broadcast(sorted(map(tuple, block.collect()), key=repr)))
+    return sent
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = TEXT_BYTES) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of documents, about ``size`` bytes at a time."""
+    held, total = [], 0
+    for batch in slices(batches):
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def finders(blocks: list[Broadcast], rate: float, min_words: int) -> Callable[[], Iterator[Finder]]:
+    """The blocks' automata, one after the other; a single one is built once per task."""
+    kept: list[Finder] = []
+
+    def each() -> Iterator[Finder]:
+        if kept:
+            yield from kept
+            return
+        for block in blocks:
+            finder = Finder(block.value, rate, min_words)
+            if len(blocks) == 1:
+                kept.append(finder)
+            yield finder
+
+    return each
 
 
 def matches(
@@ -132,29 +173,28 @@ def matches(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rate: float = RATE,
-    min_words: int = MIN_WORDS,
+    min_words: int = 1,
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """(doc_id, item_id, edits, item_words, end_word): every item within its budget in a document."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     names = ["doc_id", "item_id", "edits", "item_words", "end_word"]
-    out = None
-    for block in item_blocks(items, item_col, item_text_col, block_items):
+    blocks = item_blocks(items, item_col, item_text_col, block_items)
 
-        def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            finder = Finder(block, rate, min_words)
-            for batch in slices(batches):
-                rows = [
-                    (doc_id, item_id, *match)
-                    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for item_id, match in finder.find(text).items()
-                ]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = finders(blocks, rate, min_words)
+        for held in gathered(batches):
+            for finder in each():
+                for batch in held:
+                    rows = [
+                        (doc_id, item_id, *match)
+                        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                        for item_id, match in finder.find(text).items()
+                    ]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-        found = in_arrow(source, work, ", ".join(f"{n} long" for n in names))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return in_arrow(source, work, ", ".join(f"{n} long" for n in names))
 
 
 def drop_contaminated(
@@ -164,17 +204,19 @@ def drop_contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rate: float = RATE,
-    min_words: int = MIN_WORDS,
+    min_words: int = EVIDENCE_WORDS,
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """The documents in which no item occurs; all columns stay."""
-    for block in item_blocks(items, item_col, item_text_col, block_items):
-
-        def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            finder = Finder(block, rate, min_words)
-            for batch in slices(batches):
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not finder.find(t) for t in texts], pa.bool_()))
-
-        docs = in_arrow(docs, work, docs.schema)
-    return docs
+    """The documents in which no item of at least ``min_words`` words occurs; all columns stay."""
+    blocks = item_blocks(items, item_col, item_text_col, block_items)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = finders(blocks, rate, min_words)
+        for held in gathered(batches):
+            for finder in each():
+                for at, batch in enumerate(held):
+                    texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                    held[at] = batch.filter(pa.array([not finder.find(t) for t in texts], pa.bool_()))
+            yield from held
+
+    return in_arrow(docs, work, docs.schema)

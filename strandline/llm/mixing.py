@@ -12,8 +12,11 @@ one are kept whole, and the others share what is left; a small cell of large
 weight thus takes its own tokens from the rest and no more.  Where the cells with
 a weight hold fewer tokens than the budget, all of them are kept.
 
-``rake`` also gives weight over the largest weight, the rate at which no cell is
-capped.  One rare level sets it for all documents, so it is not a sampling plan.
+Targets of several dimensions may contradict each other; no weights meet them
+then, and the sweeps end at their limit.  ``converged`` tells whether every
+marginal agrees within the tolerance, and ``sample`` takes ``strict`` to stop
+instead.  The topic is an input like source and language; where a table has none,
+``topic_of`` stands in for it.
 
 Only the cells are swept, which are written to the shared folder every sweep;
 documents meet them in a join that is a broadcast only below a checked size.
@@ -74,7 +77,7 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 def rake(
     cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """``cells`` (dimensions, tokens) with ``weight``, tokens to raked tokens, and ``probability``."""
+    """``cells`` (dimensions, tokens) with ``weight``, raked tokens over tokens, and ``converged``."""
     names = list(targets)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     found = cells.where("tokens > 0").withColumn("raked", F.col("tokens").cast("double"))
@@ -84,7 +87,7 @@ def rake(
         goal = (F.col("share") / whole * total).alias(f"goal_{name}")
         found = found.join(present.select(F.col("level").alias(name), goal), name, "left").na.fill(0.0, [f"goal_{name}"])
     found = materialise(found, "cells")
-    held = found.columns
+    held, deviation = found.columns, 0.0
     for _ in range(sweeps):
         swept, off = found, []
         for name in names:
@@ -96,14 +99,13 @@ def rake(
         worst, seen = F.greatest(*off) if len(off) > 1 else off[0], Observation()
         swept = swept.observe(seen, F.max(F.when(F.col("raked") > 0, worst)).alias("worst"))
         found = materialise(swept.select(*held), "cells")
-        if (seen.get["worst"] or 0.0) <= tolerance:
+        deviation = seen.get["worst"] or 0.0
+        if deviation <= tolerance:
             break
     weighed = cells.where("tokens = 0").withColumn("weight", F.lit(1.0)).unionByName(
         found.select(*cells.columns, (F.col("raked") / F.col("tokens")).alias("weight"))
     )
-    weighed = materialise(weighed, "weights")
-    top = weighed.where("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
-    return weighed.withColumn("probability", F.least(F.lit(1.0), F.col("weight") / F.lit(top)))
+    return materialise(weighed.withColumn("converged", F.lit(deviation <= tolerance)), "weights")
 
 
 def draw(id_value: Column, seed: str = SEED) -> Column:
@@ -126,7 +128,7 @@ def mix(
     powers: Mapping[str, float] = POWERS,
     **limits,
 ) -> DataFrame:
-    """Cells with weight and probability, raked to ``targets`` or to tempered shares."""
+    """Cells with their weight, raked to ``targets`` or to tempered shares."""
     cells = materialise(cells_of(docs, dimensions, tokens), "cells")
     return rake(cells, targets or {n: tempered(cells, n, powers[n]) for n in dimensions}, **limits)
 
@@ -160,18 +162,24 @@ def to_budget(cells: DataFrame, share: float = SHARE) -> DataFrame:
 
 
 def with_weights(docs: DataFrame, cells: DataFrame, dimensions: Mapping[str, Column], prefix: str = "_") -> DataFrame:
-    """``docs`` with its cell's ``weight`` and ``probability``, both behind ``prefix``."""
+    """``docs`` with its cell's ``weight``, ``probability`` and ``converged``, all behind ``prefix``."""
     keys = {f"{prefix}{n}": level(c) for n, c in dimensions.items()}
-    right = cells.select(*[F.col(n).alias(f"{prefix}{n}") for n in dimensions], *[F.col(n).alias(f"{prefix}{n}") for n in ("weight", "probability")])
+    right = cells.select(*[F.col(n).alias(f"{prefix}{n}") for n in dimensions], *[F.col(n).alias(f"{prefix}{n}") for n in ("weight", "probability", "converged")])
     return lookup_join(docs.withColumns(keys), right, list(keys), "inner")
 
 
 def sample(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", seed: str = SEED, share: float = SHARE, **limits
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", seed: str = SEED, share: float = SHARE, topic: Column | None = None, strict: bool = False, **limits
 ) -> DataFrame:
-    """The documents drawn, ``share`` of all tokens, with all their columns and ``mix_weight``."""
-    dimensions = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(F.col(text_col))}
-    cells = to_budget(mix(docs, dimensions, token_count(F.col(text_col)), **limits), share)
+    """The documents drawn, ``share`` of all tokens, with all their columns and ``mix_weight``.
+
+    ``strict`` makes targets that cannot all be met an error.
+    """
+    dimensions = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(F.col(text_col)) if topic is None else topic}
+    cells = mix(docs, dimensions, token_count(F.col(text_col)), **limits)
+    if strict and not cells.where("NOT converged").isEmpty():
+        raise ValueError("the targets contradict each other, or need more sweeps")
+    cells = to_budget(cells, share)
     prefix = "_mix_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
@@ -180,7 +188,7 @@ def sample(
     return drawn.select(*kept, F.round(f"{prefix}weight", 6).alias("mix_weight"))
 
 
-def mix_sql(powers: Mapping[str, float] = POWERS, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, seed: str = SEED) -> str:
+def mix_sql(powers: Mapping[str, float] = POWERS, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, seed: str = SEED, share: float = SHARE) -> str:
     """Weights, probabilities and draws of all ``documents``, for DuckDB."""
     goals = ",\n".join(
         f"g_{n} AS (SELECT {n}, pow(t, {p}::DOUBLE) / sum(pow(t, {p}::DOUBLE)) OVER () * (SELECT sum(tokens) FROM cells) AS goal_{n}"
@@ -203,7 +211,12 @@ r AS (SELECT source, lang, topic, tokens, tokens::DOUBLE AS raked, 1e300::DOUBLE
   UNION ALL SELECT source, lang, topic, tokens, raked, max(greatest({keep})) OVER (), i + 1 FROM {step}),
 w AS (SELECT source, lang, topic, raked / tokens AS weight FROM r WHERE i = (SELECT max(i) FROM r)
   UNION ALL SELECT source, lang, topic, 1 FROM cells WHERE tokens = 0),
-p AS (SELECT *, least(1, weight / (SELECT max(raked / tokens) FROM r WHERE i = (SELECT max(i) FROM r))) AS probability FROM w)
+ranked AS (SELECT tokens, weight, coalesce(sum(tokens) OVER (best ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+  sum(tokens * weight) OVER (best ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER best AS k
+  FROM w JOIN cells USING (source, lang, topic) WHERE tokens > 0 AND weight > 0 WINDOW best AS (ORDER BY weight DESC)),
+solved AS (SELECT ({share} * (SELECT sum(tokens) FROM cells) - held) / rest AS constant, weight, k FROM ranked),
+p AS (SELECT *, CASE WHEN weight > 0 THEN least(1, weight * coalesce((SELECT constant FROM solved WHERE weight * constant < 1 ORDER BY k LIMIT 1), 'Infinity'::DOUBLE)) ELSE 0 END AS probability,
+  coalesce((SELECT max(worst) FROM r WHERE i = (SELECT max(i) FROM r)), 0) <= {tolerance} AS converged FROM w)
 SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
-  ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / pow(2, 52) < probability AS kept
+  ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / pow(2, 52) < probability AS kept, converged
 FROM d JOIN p USING (source, lang, topic)"""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import in_arrow, slices
+from strandline.llm.common import free_name, in_arrow, slices
 from strandline.operators.skew import lookup_join
 from strandline.session import materialise
 
@@ -274,10 +274,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     too.  ``length_col``, where there is one, follows the new text.
     """
     found = find(docs, id_col, text_col, **limits).where(F.size("spans") > 0)
-    spans = materialise(found.groupBy("text_key").agg(F.first("spans").alias("_spans")), "pii-spans")
-    key = next(k for k in (f"text_key{i or ''}" for i in range(len(docs.columns) + 1)) if k not in docs.columns)
+    key, held = free_name(docs.columns, "text_key"), free_name(docs.columns, "spans")
+    spans = materialise(found.groupBy("text_key").agg(F.first("spans").alias(held)), "pii-spans")
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
-    joined = lookup_join(keyed, spans.withColumnRenamed("text_key", key), [key], "left").select(*docs.columns, F.col("_spans"))
+    joined = lookup_join(keyed, spans.withColumnRenamed("text_key", key), [key], "left").select(*docs.columns, F.col(held))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

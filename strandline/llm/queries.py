@@ -71,10 +71,9 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialise(audio.encode(documents(spark, sf_dir), "doc_id", "text"), "audio")
-    found = audio.decode(stored, ("doc_id", "n_bytes"), pcm=False)
-    return found.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec"
-    )
+    digests = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    sounds = materialise(audio.decode(stored, ("doc_id", "n_bytes"), target=audio.PREVIEW_RATE), "pcm")
+    return audio.features(sounds, ("doc_id", "n_bytes", *digests, "codec"))
 
 
 @query
@@ -94,7 +93,7 @@ def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     # narrow rows of two passes: the cells, and the documents that meet them
     rows = materialise(rows, "mix-rows")
     dimensions = {n: F.col(n) for n in mixing.DIMENSIONS}
-    found = mixing.with_weights(rows, mixing.mix(rows, dimensions, F.col("n_tokens")), dimensions)
+    found = mixing.with_weights(rows, mixing.to_budget(mixing.mix(rows, dimensions, F.col("n_tokens"))), dimensions)
     return found.select(
         "doc_id",
         *[mixing.level(F.col(n)).alias(n) for n in mixing.DIMENSIONS],
@@ -102,6 +101,7 @@ def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("_weight", 6).alias("weight"),
         F.round("_probability", 6).alias("probability"),
         (mixing.draw(F.col("doc_id")) < F.col("_probability")).alias("kept"),
+        F.col("_converged").alias("converged"),
     )
 
 

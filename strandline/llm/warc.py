@@ -36,6 +36,7 @@ from strandline.operators.skew import lookup_join
 from strandline.session import materialise
 
 CHUNK_BYTES = 32 * 1024
+OUT_BYTES = 8 << 20  # of chunks that leave a task together
 DATE = "2020-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 CHUNKS = "archive int, record long, chunk_no int, chunks int, body binary, digest_so_far string"
@@ -74,6 +75,14 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
+def _chunk_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+        names=["archive", "record", "chunk_no", "chunks", "body", "digest_so_far"],
+    )
+
+
 def write_chunks(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk: int = CHUNK_BYTES, min_bytes: int = 0
 ) -> DataFrame:
@@ -92,8 +101,9 @@ def write_chunks(
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 16):
-            out: list[tuple] = []
+        out: list[tuple] = []
+        held = 0
+        for batch in slices(batches):
             for i in range(batch.num_rows):
                 archive, record, page_id, url, original = (batch.column(c)[i].as_py() for c in (0, 1, 2, 3, 5))
                 view = memoryview(batch.column(4)[i].as_buffer())
@@ -109,10 +119,13 @@ def write_chunks(
                     running.update(part)
                     body = b"".join([head if k == 0 else b"", part, b"\r\n\r\n" if k == count - 1 else b""])
                     out.append((archive, record, k, count, body, running.hexdigest()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()))],
-                names=["archive", "record", "chunk_no", "chunks", "body", "digest_so_far"],
-            )
+                    held += len(body)
+                    # beside the payload itself, a task holds some chunks and never a second copy of it
+                    if held >= OUT_BYTES:
+                        yield _chunk_rows(out)
+                        out, held = [], 0
+        if out:
+            yield _chunk_rows(out)
 
     return materialise(in_arrow(rows, work, CHUNKS), "warc")
 

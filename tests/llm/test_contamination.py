@@ -37,10 +37,11 @@ def edited(words, edits, rng):
 
 
 @pytest.mark.parametrize("block_items", [5000, 4])
-def test_no_item_within_its_budget_is_missed(spark, block_items):
+def test_no_item_within_its_budget_is_missed(spark, block_items, monkeypatch):
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(3, 40)))) for i in range(12)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 40)))) for i in range(12)]
+    monkeypatch.setattr(C, "TEXT_BYTES", 1_000)
     docs = []
     for d in range(120):
         words = rng.choices(vocabulary, k=rng.randrange(0, 60))
@@ -52,15 +53,17 @@ def test_no_item_within_its_budget_is_missed(spark, block_items):
     for d, text in docs:
         for i, body in items:
             item = C.words_of(body)
-            if len(item) >= C.MIN_WORDS:
-                edits, _ = plain_distance(item, C.words_of(text))
-                if edits <= int(C.RATE * len(item)):
-                    want[d, i] = edits
+            edits, _ = plain_distance(item, C.words_of(text))
+            if edits <= int(C.RATE * len(item)):
+                want[d, i] = edits
     df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in C.matches(df, table, block_items=block_items).collect()}
     assert got == want and len(want) > 20
     kept = {r.doc_id for r in C.drop_contaminated(df, table, block_items=block_items).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+    long = {i for i, body in items if len(C.words_of(body)) >= C.EVIDENCE_WORDS}
+    assert kept == {d for d, _ in docs} - {d for d, i in want if i in long}
+    every = C.drop_contaminated(df, table, min_words=1, block_items=block_items).collect()
+    assert {r.doc_id for r in every} == {d for d, _ in docs} - {d for d, _ in want}
 
 
 def test_defined_cases(spark):
@@ -68,9 +71,9 @@ def test_defined_cases(spark):
     df = spark.createDataFrame(
         [(1, None, 5), (2, "", 5), (3, item, 5), (3, item, 5), (None, f"x {item}", 5), (4, "y " * 50_000 + item, 5)], "doc_id long, text string, item_id int"
     )
-    table = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "x y"), (None, item)], "item_id long, text string")
+    table = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "x q"), (5, "y one"), (None, item)], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id) for r in C.matches(df, table).collect()), key=str)
-    assert got == sorted([(3, 1), (3, 1), (None, 1), (4, 1), (3, None), (3, None), (None, None), (4, None)], key=str)
+    assert got == sorted([(3, 1), (3, 1), (None, 1), (4, 1), (4, 5), (3, None), (3, None), (None, None), (4, None)], key=str)
     kept = C.drop_contaminated(df, table)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 2}
     assert C.matches(df.limit(0), table).count() == 0 and C.matches(df, table.limit(0)).count() == 0

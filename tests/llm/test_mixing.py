@@ -32,9 +32,23 @@ def test_raking_is_the_plain_iteration(spark):
     got, want = run(spark, CELLS, TARGETS), plain_rake(CELLS, TARGETS)
     for c, w in want.items():
         assert got[c].weight == pytest.approx(w, rel=1e-4)
-    top = max(want.values())
-    assert all(got[c].probability == pytest.approx(w / top, rel=1e-4) for c, w in want.items())
-    assert got["c", "en", "u"].weight == 1.0
+    assert got["c", "en", "u"].weight == 1.0 and all(r.converged for r in got.values())
+
+
+CONTRARY = [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}, {"t": 1.0}]
+
+
+def test_targets_that_contradict_each_other_are_told(spark):
+    got = run(spark, {("a", "x", "t"): 50, ("b", "y", "t"): 50}, CONTRARY, sweeps=4)
+    assert not any(r.converged for r in got.values())
+    rows = [(i, "word " * 5, s, g) for i, (s, g) in enumerate([("a", "x"), ("b", "y")] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {
+        n: spark.createDataFrame(list(t.items()), "level string, share double") for n, t in zip(M.DIMENSIONS, CONTRARY)
+    }
+    with pytest.raises(ValueError, match="contradict"):
+        M.sample(docs, targets=targets, topic=F.lit("t"), strict=True, sweeps=4)
+    assert M.sample(docs, targets=targets, topic=F.lit("t"), sweeps=4).count() <= 20
 
 
 def test_marginals_reach_their_targets(spark):

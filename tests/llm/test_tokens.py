@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,7 +62,9 @@ def test_a_batch_counts_once(spark):
 def test_rows_without_a_marker_are_not_read(spark):
     book = ledger(spark)
     book.commit("1", changes(spark, ("insert", 0, 1, "a", 10)))
-    changes(spark, ("insert", 0, 2, "a", 99)).select(*K.STATE, F.lit(1).alias("sign")).write.parquet(f"{book.root}/signed/2")
+    lost = changes(spark, ("insert", 0, 2, "a", 99)).select(*K.STATE, F.lit(1).alias("sign")).withColumn("bucket", book.bucket())
+    lost.write.partitionBy("bucket").parquet(f"{book.root}/signed/2")
+    K.added_up(lost, F.col("sign"), F.col("n_tokens")).write.parquet(f"{book.root}/rollups/2")
     assert totals(book) == {"a": (1, 10)}
     book.commit("2", changes(spark, ("insert", 0, 2, "a", 3)))
     assert totals(book) == {"a": (2, 13)}
@@ -80,3 +83,41 @@ def test_defined_cases(spark):
     assert totals(book) == {None: (1, 6), "a": (2, 4)}
     book.commit("2", changes(spark, ("revise", 0, 1, None, 1)))
     assert totals(book)[None] == (1, 1)
+
+
+def test_a_small_batch_reads_its_buckets_only(spark):
+    book = ledger(spark)
+    book.commit("1", changes(spark, *[("insert", 0, i, "a", 1) for i in range(500)]))
+    batch = changes(spark, ("revise", 0, 7, "b", 5))
+    mine = batch.select(book.bucket().alias("b")).first()["b"]
+    whole, part = book.signed(), book.signed([mine])
+    held = whole.where(F.col("bucket") == mine).count()
+    assert whole.count() == 500 and part.count() == held < 500 / 8
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    assert book.commit("2", batch) and totals(book) == {"a": (499, 499), "b": (1, 5)}
+
+
+@pytest.mark.parametrize("every", [2, 100])
+def test_totals_equal_a_recount_after_random_batches(spark, every):
+    rng = random.Random(every)
+    book = K.TokenLedger(spark, scratch_path(spark, "test-ledger"), buckets=4, compact_every=every)
+    live = {}
+    for name in range(7):
+        rows = []
+        for doc in rng.sample(range(20), rng.randrange(0, 9)):
+            op, src, n = rng.choice(["insert", "revise", "delete"]), rng.choice("ab"), rng.randrange(1, 50)
+            rows.append((op, 0, doc, src, n))
+            live.pop(doc, None) if op == "delete" else live.update({doc: (src, n)})
+        batch = changes(spark, *rows)
+        if name == 3:  # an attempt that lost its marker wrote other rows
+            lost = changes(spark, ("insert", 0, 1, "z", 99)).select(*K.STATE, F.lit(1).alias("sign")).withColumn("bucket", book.bucket())
+            lost.write.partitionBy("bucket").parquet(f"{book.root}/signed/{name}")
+        assert book.commit(str(name), batch)
+        assert not book.commit(str(name), batch)
+        want = {}
+        for src, n in live.values():
+            docs, tokens = want.get(src, (0, 0))
+            want[src] = docs + 1, tokens + n
+        assert totals(book) == want
+    assert bool(book._compacted()[1]) == (every == 2)
