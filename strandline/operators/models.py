@@ -18,7 +18,7 @@ from strandline.layout import MISSING_LEVEL, UNSEEN_LEVEL
 from strandline.operators import isotonic
 from strandline.operators.features import NumericState, frozen_level, scaled
 from strandline.operators.metrics import binary_metrics
-from strandline.session import scratch_path
+from strandline.session import materialise, scratch_path
 
 # Fixed values: (C, share of the absolute penalty) of the elastic-net candidates.
 ELASTIC_GRID = ((0.005, 0.15), (0.010, 0.15), (0.010, 0.50), (0.050, 0.50), (0.050, 0.85))
@@ -123,6 +123,35 @@ def score(candidate: Candidate, df: DataFrame, out: str = "p") -> DataFrame:
     return _probability(candidate.model.transform(df), out)
 
 
+def optimality(candidate: Candidate, df: DataFrame, y: str, c: float = 1.0, l1_share: float = 0.0, features: str = "features") -> dict[str, Any]:
+    """How far a fitted logistic model is from the minimum of its convex loss.
+
+    At the minimum the slope of the loss along each weight is met by the penalty: it
+    is minus the penalty's slope where the weight is not zero, and no larger than the
+    absolute penalty where it is.  ``violation`` is the largest gap over all weights
+    and the intercept, for the mean loss with penalty 1/(C n).
+    """
+    spark = df.sparkSession
+    weights = spark.createDataFrame(list(enumerate(map(float, candidate.model.coefficients))), "place int, w double")
+    vector = F.unwrap_udt(features)
+    rows = materialise(score(candidate, df).select((F.col("p") - F.col(y)).alias("e"), vector.alias("v")), "residuals")
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mean")).first()
+    n = facts["n"]
+    cells = rows.select("e", F.col("v.indices").alias("at"), F.posexplode("v.values").alias("k", "x"))
+    place = F.coalesce(F.get("at", F.col("k")), F.col("k"))
+    slopes = cells.groupBy(place.alias("place")).agg((F.sum(F.col("e") * F.col("x")) / n).alias("slope"))
+    penalty = 1.0 / (c * n)
+    w, bound = F.col("w"), F.lit(penalty * l1_share)
+    slope = F.coalesce("slope", F.lit(0.0)) + F.lit(penalty * (1 - l1_share)) * w
+    gap = F.when(w == 0, F.greatest(F.abs(slope) - bound, F.lit(0.0))).otherwise(F.abs(slope + bound * F.signum(w)))
+    found = weights.join(slopes, "place", "left").agg(
+        F.count(F.lit(1)).cast("int").alias("features"), F.max(gap).alias("largest"), F.count_if(w != 0).alias("used")
+    ).first()
+    return {
+        "features": found["features"], "n_rows": n, "used": found["used"], "violation": max(found["largest"], abs(facts["mean"])),
+    }
+
+
 def validity(scored: DataFrame, p: str, y: str, converged: bool | None) -> dict[str, Any]:
     """Gates a candidate must pass: finite, not constant, AUROC at least 0.5, converged."""
     v = F.col(p)
@@ -231,5 +260,5 @@ def batch_score(df: DataFrame, path: str, out: str = "p") -> DataFrame:
 __all__ = [
     "BOOSTED_GRID", "ELASTIC_GRID", "Candidate", "apply_calibrator", "batch_score", "boosted_grid",
     "choose", "choose_calibrator", "column_sets", "design_table", "elastic_net_grid", "fit_calibrator", "fit_platt",
-    "linear_score", "logistic", "save_model", "score", "validity",
+    "linear_score", "logistic", "optimality", "save_model", "score", "validity",
 ]

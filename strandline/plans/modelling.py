@@ -15,7 +15,7 @@ from strandline.plans.bindings import encoded, scored_documents, scored_lines
 from strandline.plans.evaluation import metrics_sql, newton_sql
 from strandline.plans.linkage import episodes, histories
 from strandline.plans.registry import cte, query, rounded, sql
-from strandline.plans.stages import staged
+from strandline.plans.stages import planned, staged
 from strandline.session import materialise, scratch_path
 
 NUMERIC = (
@@ -132,14 +132,43 @@ def report(spark, reports, chosen):
     )
 
 
+@planned
+def elastic_candidates(spark, sf_dir):
+    development, _ = split(full_design(spark, sf_dir))
+    return models.elastic_net_grid(development, "y")
+
+
 @query("elastic_net_grid")
 def elastic_net_grid(spark, sf_dir):
     """Five penalty settings; the valid one with the highest average precision wins."""
-    development, later = split(full_design(spark, sf_dir))
-    chosen, reports = models.choose(models.elastic_net_grid(development, "y"), later, "y")
+    _, later = split(full_design(spark, sf_dir))
+    chosen, reports = models.choose(elastic_candidates(spark, sf_dir), later, "y")
     return rounded(report(spark, reports, chosen))
 
 
+_DESIGN_SIZE = f"""(2 * {len(NUMERIC)} + (SELECT count(DISTINCT female) + 2 + count(DISTINCT payer) + 2 FROM model_rows WHERE year <= 1998)
+  + (SELECT count(*) FROM kept_ids))::INT AS features, (SELECT count(*) FROM model_rows WHERE year <= 1998) AS n_rows"""
+SLOPE_GAP = 1e-4  # of a mean loss
+
+
+@query(
+    "elastic_net_optimal",
+    sql(
+        " UNION ALL ".join(f"SELECT 'logistic_C{c:g}_l1{l1:g}' AS name, {_DESIGN_SIZE}, true AS optimal" for c, l1 in models.ELASTIC_GRID),
+        "model_rows",
+        "kept_ids",
+    ),
+)
+def elastic_net_optimal(spark, sf_dir):
+    """Every fit of the grid meets the conditions of the minimum of its penalised loss."""
+    development, _ = split(full_design(spark, sf_dir))
+    rows = []
+    for candidate, (c, l1) in zip(elastic_candidates(spark, sf_dir), models.ELASTIC_GRID):
+        found = models.optimality(candidate, development, "y", c, l1)
+        rows.append((candidate.name, found["features"], found["n_rows"], found["violation"] < SLOPE_GAP))
+    return spark.createDataFrame(rows, "name string, features int, n_rows long, optimal boolean")
+
+
 @query("boosted_trees_grid")
 def boosted_trees_grid(spark, sf_dir):
     """Three boosted settings, stopped early on the last development year."""
@@ -255,29 +284,13 @@ def calibrator_choice(spark, sf_dir):
     return rounded(spark.createDataFrame(table, "method string, brier double, chosen boolean"), 4)
 
 
-@query(
-    "logistic_l2_stationary",
-    sql(
-        f"""SELECT (2 * {len(NUMERIC)} + (SELECT count(DISTINCT female) + 2 + count(DISTINCT payer) + 2 FROM model_rows WHERE year <= 1998)
-  + (SELECT count(*) FROM kept_ids))::INT AS features, (SELECT count(*) FROM model_rows WHERE year <= 1998) AS n_rows, true AS stationary""",
-        "model_rows",
-        "kept_ids",
-    ),
-)
+@query("logistic_l2_stationary", sql(f"SELECT {_DESIGN_SIZE}, true AS stationary", "model_rows", "kept_ids"))
 def logistic_l2_stationary(spark, sf_dir):
     """The slope of the penalised loss is zero at the fitted weights, so they are the minimum."""
     development, _ = split(full_design(spark, sf_dir))
-    fitted = models.logistic(development, "y", c=1.0)
-    weights = spark.createDataFrame(list(enumerate(map(float, fitted.model.coefficients))), "place int, w double")
-    vector = F.unwrap_udt("features")
-    rows = materialise(models.score(fitted, development).select((F.col("p") - F.col("y")).alias("e"), vector.alias("v")), "residuals")
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mean")).first()
-    cells = rows.select("e", F.col("v.indices").alias("at"), F.posexplode("v.values").alias("k", "x"))
-    slopes = cells.groupBy(F.coalesce(F.get("at", F.col("k")), F.col("k")).alias("place")).agg((F.sum(F.col("e") * F.col("x")) / facts["n"]).alias("slope"))
-    # the penalty of a mean loss is 1 / (C n)
-    rest = F.abs(F.coalesce("slope", F.lit(0.0)) + F.col("w") / facts["n"])
-    found = weights.join(slopes, "place", "left").agg(F.count(F.lit(1)).cast("int").alias("features"), F.max(rest).alias("largest"))
-    return found.select("features", F.lit(facts["n"]).alias("n_rows"), ((F.col("largest") < 1e-3) & F.lit(abs(facts["mean"]) < 1e-3)).alias("stationary"))
+    found = models.optimality(models.logistic(development, "y", c=1.0), development, "y")
+    row = (found["features"], found["n_rows"], found["violation"] < SLOPE_GAP)
+    return spark.createDataFrame([row], "features int, n_rows long, stationary boolean")
 
 
 @query("frozen_batch_scoring")
