@@ -299,7 +299,7 @@ def table_fingerprint(spark, sf_dir):
     return K.fingerprint(table(spark, sf_dir, "customer").drop("c_acctbal"))
 
 
-_BAND = "(o_orderkey // 250) % 20 = 7"
+_BAND = "(o_orderkey // 50) % 20 = 7"
 
 
 @query(
@@ -316,7 +316,7 @@ def repaired_table_differences(spark, sf_dir):
     """Orders and a repaired version of them, compared by their hash trees; only ranges that differ are read."""
     old = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     key = F.col("o_orderkey")
-    band = F.pmod(F.floor(key / 250), F.lit(20)) == 7
+    band = F.pmod(F.floor(key / 50), F.lit(20)) == 7
     status = F.when(band & (key % 5 == 1), "R").otherwise(F.col("o_orderstatus"))
     kept = old.where(~(band & (key % 5 == 0))).withColumn("o_orderstatus", status)
     more = old.where(band & (key % 50 == 2)).withColumns({"o_orderkey": -key, "o_orderstatus": F.lit(None).cast("string")})
