@@ -425,6 +425,27 @@ def cohort_reconciliation(spark, sf_dir):
     return reconcile(rebuild(spark, sf_dir), published(spark, sf_dir), ["enc_id"], ["y_any", "y_1"])
 
 
+@query(
+    "amended_reconciliation",
+    sql(
+        """WITH a AS (SELECT enc_id, any_follow_up::INT AS y_any, leaf_1::INT AS y_1 FROM eps WHERE eligible),
+b AS (SELECT enc_id, CASE WHEN enc_id % 13 = 0 THEN 1 - y_any ELSE y_any END AS y_any, CASE WHEN enc_id % 17 <> 0 THEN y_1 END AS y_1 FROM a WHERE enc_id % 11 <> 0
+  UNION ALL SELECT -enc_id, y_any, y_1 FROM a WHERE enc_id % 19 = 5)
+SELECT (SELECT count(*) FROM a) AS left_n, (SELECT count(*) FROM b) AS right_n,
+  (SELECT count(*) FROM a ANTI JOIN b USING (enc_id)) + (SELECT count(*) FROM b ANTI JOIN a USING (enc_id)) AS key_mismatch_n,
+  (SELECT count(*) FROM a JOIN b USING (enc_id) WHERE a.y_any IS DISTINCT FROM b.y_any OR a.y_1 IS DISTINCT FROM b.y_1) AS label_mismatch_n""",
+        "eps",
+    ),
+)
+def amended_reconciliation(spark, sf_dir):
+    """A cohort against an amended one: rows gone, rows new, labels turned and labels lost."""
+    ours, key = published(spark, sf_dir).select("enc_id", "y_any", "y_1"), F.col("enc_id")
+    turned = F.when(key % 13 == 0, 1 - F.col("y_any")).otherwise(F.col("y_any"))
+    kept = ours.where(key % 11 != 0).withColumns({"y_any": turned, "y_1": F.when(key % 17 != 0, F.col("y_1"))})
+    more = ours.where(key % 19 == 5).withColumn("enc_id", -key)
+    return reconcile(ours, kept.unionByName(more), ["enc_id"], ["y_any", "y_1"])
+
+
 @query(
     "related_entity_rows",
     sql(
