@@ -11,6 +11,7 @@ from strandline.plans import (  # noqa: F401
     relations,
     scalars,
     scans,
+    trees,
 )
 from strandline.plans.registry import ORACLE, QUERIES
 

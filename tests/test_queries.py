@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tab
 # selection jobs need more rows than the smallest tables hold, and there the
 # strata have one facility each, so resampling has no spread
 LARGER_DIR = os.environ.get("TEST_LARGER_DIR", "/root/testdata/sf0.01")
-NEEDS_MORE_ROWS = {"max_t_intervals", "elastic_net_grid", "boosted_trees_grid", "frozen_batch_scoring", "calibrator_choice"}
+NEEDS_MORE_ROWS = {"max_t_intervals", "elastic_net_grid", "boosted_trees_grid", "frozen_batch_scoring", "calibrator_choice", "leafwise_first_tree", "leafwise_boosted_trees"}
 
 
 @pytest.fixture(scope="module")
