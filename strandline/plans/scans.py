@@ -9,6 +9,7 @@ from strandline.layout import NULL_TOKENS
 from strandline.plans.bindings import encounters, sql_in, table
 from strandline.plans.registry import query, rnd, sql
 from strandline.session import materialise, scratch_path
+from strandline.sources import gzip_members as G
 from strandline.sources import readers as R
 from strandline.sources import writers as W
 
@@ -84,6 +85,20 @@ def scan_gzip_csv(spark, sf_dir):
     return R.read_all_text(spark, path, ["event_id", "user_id", "event_type"])
 
 
+@query(
+    "scan_gzip_members",
+    "SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type FROM events",
+)
+def scan_gzip_members(spark, sf_dir):
+    """Files of many gzip members, each file read by several tasks."""
+    path = scratch_path(spark, "members")
+    names = ["event_id", "user_id", "event_type"]
+    lines = table(spark, sf_dir, "events").select(F.to_csv(F.struct(*names)).alias("value"))
+    G.write_gzip_members(lines, path, header=",".join(names))
+    record = F.from_csv("value", F.lit(", ".join(f"{c} string" for c in names)), {"mode": "FAILFAST"})
+    return G.read_gzip_lines(spark, path, header=True).select(record.alias("r")).select("r.*")
+
+
 RECORD = layout(
     subject=TEXT, features=layout(amount=DOUBLE, nation=INT), label=layout(leaf=TEXT, any=INT), ids=T.ArrayType(LONG)
 )
