@@ -23,6 +23,10 @@ from strandline.session import materialise
 
 RANGE_ROWS = 200_000
 MAX_RANGES = 4096
+SKETCH_CUTS = 1_000  # places that a sketch gives
+SKETCH_SLACK = 2  # cuts by which a bracket is wider on each side
+SKETCH_ACCURACY = 10_000
+SKETCHED_GROUPS = 10_000
 SAMPLE_VALUES = 32  # per range, for edges of types that are not numbers
 
 
@@ -203,16 +207,59 @@ def _single(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]
 def order_statistics(df: DataFrame, groups: Sequence[str], value: str, ranks: Mapping[str, Callable], rows: int = RANGE_ROWS) -> DataFrame:
     """Values with given ranks (1-based) in each group, one column per entry.
 
-    Each entry of ``ranks`` maps the column holding the group size to a rank.
+    Each entry of ``ranks`` maps the column holding the group size to a rank; a rank
+    that no row has gives null.  For numbers, sketches that merge bracket each rank; a second pass
+    counts what is below a bracket and ranks only what is inside, so only that is
+    shuffled.  A rank that its bracket misses, or a table of more than
+    ``SKETCHED_GROUPS`` groups, is ranked from all distinct values; the values are the same.
     """
     df, keys = _single(df, groups)
+    df = required(df, *keys, value).select(*keys, value)
+    if not isinstance(df.schema[value].dataType, T.NumericType):
+        return _from_all_values(df, keys, value, ranks, rows).select(*groups, "n", *ranks)
+    shares = [i / SKETCH_CUTS for i in range(SKETCH_CUTS + 1)]
+    sketch = F.percentile_approx(value, shares, SKETCH_ACCURACY).alias("_cuts")
+    sizes = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch), "sketch")
+    if sizes.count() > SKETCHED_GROUPS:
+        return _from_all_values(df, keys, value, ranks, rows).select(*groups, "n", *ranks)
+    place = F.col("_k") - 1
+    position = place * SKETCH_CUTS / F.greatest(F.col("n") - 1, F.lit(1))
+    wanted = sizes.select(
+        *keys, "n", "_cuts", F.inline(F.array(*[F.struct(F.lit(name).alias("_entry"), rank(F.col("n")).cast("long").alias("_k")) for name, rank in ranks.items()]))
+    ).where(F.col("_k").between(1, F.col("n")))
+    # a place outside the cuts is null: no bound on that side
+    bounds = F.struct(
+        "_entry", "_k",
+        F.get("_cuts", (F.floor(position) - SKETCH_SLACK).cast("int")).alias("lo"),
+        F.get("_cuts", (F.ceil(position) + SKETCH_SLACK).cast("int")).alias("hi"),
+    )
+    plan = wanted.groupBy(*keys).agg(F.collect_list(bounds).alias("_brackets"))
+    v = F.col(value)
+    hits = F.filter("_brackets", lambda b: b["hi"].isNull() | (v <= b["hi"]))
+    # all that is below a bracket becomes one null value, counted before the shuffle
+    inside = F.transform(hits, lambda b: F.struct(b["_entry"].alias("_entry"), b["_k"].alias("_k"), F.when(b["lo"].isNull() | (v >= b["lo"]), v).alias("_v")))
+    near = lookup_join(df, plan, keys, "inner").select(*keys, F.inline(inside))
+    counts = materialise(near.groupBy(*keys, "_entry", "_k", "_v").agg(F.count(F.lit(1)).cast("double").alias("n")), "bracket")
+    below = counts.where("_v IS NULL").select(*keys, "_entry", F.col("n").alias("_below"))
+    totals = running_totals(counts.where("_v IS NOT NULL"), [*keys, "_entry"], "_v", ["n"], rows)
+    upto = F.col("cum_n") + F.coalesce("_below", F.lit(0.0))
+    ranked = totals.join(below, [*keys, "_entry"], "left").where((upto >= F.col("_k")) & (upto - F.col("n") < F.col("_k")))
+    found = materialise(ranked.select(*keys, "_entry", F.col("_v").alias(value)), "ranked")
+    missed = wanted.join(found, [*keys, "_entry"], "left_anti").select(*keys).distinct()
+    columns = [F.max(F.when(F.col("_entry") == name, F.col(value))).alias(name) for name in ranks]
+    out = sizes.select(*keys, "n").join(found.groupBy(*keys).agg(*columns), keys, "left")
+    if not missed.isEmpty():
+        exact = _from_all_values(lookup_join(df, missed, keys, "left_semi"), keys, value, ranks, rows)
+        out = out.join(missed, keys, "left_anti").unionByName(exact)
+    return out.select(*groups, "n", *ranks)
+
+
+def _from_all_values(df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, Callable], rows: int) -> DataFrame:
     ranked = _ranked(df, keys, value, None, rows)
     size, cum, n = F.col("total_n"), F.col("cum_n"), F.col("n")
     at = lambda k: F.max(F.when((cum >= k) & (cum - n < k), F.col(value)))
-    found = ranked.groupBy(*keys).agg(
-        F.max(size).alias("_size"), *[at(rank(size)).alias(name) for name, rank in ranks.items()]
-    )
-    return found.select(*groups, F.col("_size").alias("n"), *ranks)
+    found = ranked.groupBy(*keys).agg(F.max(size).alias("_size"), *[at(rank(size)).alias(name) for name, rank in ranks.items()])
+    return found.select(*keys, F.col("_size").alias("n"), *ranks)
 
 
 def order_statistic(df: DataFrame, groups: Sequence[str], value: str, rank: Callable, out: str = "value", rows: int = RANGE_ROWS) -> DataFrame:
@@ -227,18 +274,11 @@ def upper_quantile(df: DataFrame, groups: Sequence[str], value: str, q: float, o
 
 def linear_quantile(df: DataFrame, groups: Sequence[str], value: str, q: float, out: str = "value", rows: int = RANGE_ROWS) -> DataFrame:
     """Linear interpolation at position (n-1) q."""
-    df, keys = _single(df, groups)
-    ranked = _ranked(df, keys, value, None, rows).withColumn("_pos", (F.col("total_n") - 1) * F.lit(float(q)))
-    at = lambda pos: F.max(
-        F.when((F.col("cum_n") > pos) & (F.col("cum_n") - F.col("n") <= pos), F.col(value).cast("double"))
-    )
-    picked = ranked.groupBy(*keys).agg(
-        at(F.floor("_pos")).alias("_lo"),
-        at(F.ceil("_pos")).alias("_hi"),
-        F.max(F.col("_pos") - F.floor("_pos")).alias("_f"),
-        F.max("total_n").alias("n"),
-    )
-    return picked.select(*groups, "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(out))
+    place = lambda n: (n - 1) * F.lit(float(q))
+    around = {"_lo": lambda n: F.floor(place(n)) + 1, "_hi": lambda n: F.ceil(place(n)) + 1}
+    found = order_statistics(df, groups, value, around, rows)
+    lo, hi, part = F.col("_lo").cast("double"), F.col("_hi").cast("double"), place(F.col("n")) - F.floor(place(F.col("n")))
+    return found.select(*groups, "n", (lo + (hi - lo) * part).alias(out))
 
 
 def weighted_step_quantile(df: DataFrame, groups: Sequence[str], value: str, weight: str, q: float, out: str = "value", rows: int = RANGE_ROWS) -> DataFrame:

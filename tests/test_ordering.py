@@ -41,6 +41,36 @@ def test_running_totals(df, rows, size):
         assert r["cum_n"] == len(mine) and r["cum_w"] == pytest.approx(sum(x[3] for x in mine))
 
 
+@pytest.mark.parametrize("case", ["plain", "poor sketch", "many groups"])
+def test_brackets_give_the_exact_rank(spark, monkeypatch, case):
+    """Ranks by sketch and bracket, with a sketch too poor to bracket them, and without one."""
+    if case == "poor sketch":
+        monkeypatch.setattr(O, "SKETCH_ACCURACY", 3)
+    if case == "many groups":
+        monkeypatch.setattr(O, "SKETCHED_GROUPS", 1)
+    rng = np.random.default_rng(8)
+    values = {0: rng.normal(size=20_000), 1: np.round(rng.exponential(size=7_000), 2), 2: np.array([3.5]), 3: np.full(900, -1.0)}
+    flat = np.concatenate(list(values.values()))
+    group = np.repeat(list(values), [len(v) for v in values.values()])
+    df = spark.createDataFrame(list(zip(map(int, group), map(float, flat))), "g int, v double").repartition(16)
+    ranks = {"first": lambda n: F.lit(1), "mid": lambda n: F.ceil(n * F.lit(0.37)), "last": lambda n: n, "beyond": lambda n: n + 1}
+    got = {r["g"]: r for r in O.order_statistics(df, ["g"], "v", ranks, 500).collect()}
+    for g, v in values.items():
+        v, r = np.sort(v), got[g]
+        assert (r["n"], r["first"], r["mid"], r["last"], r["beyond"]) == (len(v), v[0], v[math.ceil(len(v) * 0.37) - 1], v[-1], None)
+    assert O.linear_quantile(df, [], "v", 0.613).first()["value"] == pytest.approx(np.quantile(flat, 0.613), abs=1e-12)
+
+
+def test_only_the_bracket_is_counted(spark, monkeypatch):
+    df = spark.range(50_000).select(F.xxhash64("id").alias("v"))
+    written = {}
+    real = O.materialise
+    monkeypatch.setattr(O, "materialise", lambda d, label: written.setdefault(label, real(d, label)))
+    value = O.order_statistic(df, [], "v", lambda n: F.floor(n * F.lit(0.8))).first()["value"]
+    assert value == sorted(r["v"] for r in df.collect())[39_999]
+    assert written["bracket"].count() < 50_000 * (2 * O.SKETCH_SLACK + 3) / O.SKETCH_CUTS
+
+
 @pytest.mark.parametrize("size", [7, 100_000])
 def test_quantiles(df, rows, size):
     for g in (0, 1):
