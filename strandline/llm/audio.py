@@ -28,7 +28,7 @@ from strandline.llm.common import free_name, in_arrow, slices
 
 UNIT = 64
 RATE, TARGET_RATE = 8_000, 16_000
-PREVIEW_RATE = 2_000  # at which the query stores its samples; at 16,000 Hz they are four times the text
+PACKED = {"parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20)}  # how the query stores media and samples
 RESAMPLED = 1 << 20  # samples made at a time
 CODECS = {"mulaw": 7, "alaw": 6, "ima_adpcm": 17}  # format tags of WAV
 HEADER = struct.Struct("<4sI4s4sIHHIIHHHH4sI")
@@ -104,6 +104,24 @@ def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
     return out
 
 
+def paired(pcm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every second sample, and how far the ones between are from the mean of their neighbours: no sample is lost."""
+    even, odd = pcm[::2], pcm[1::2]
+    return even, (odd - _means(even, len(odd))).astype(np.int16)
+
+
+def unpaired(even: np.ndarray, residue: np.ndarray) -> np.ndarray:
+    out = np.empty(len(even) + len(residue), np.int16)
+    out[::2] = even
+    out[1::2] = _means(even, len(residue)) + residue
+    return out
+
+
+def _means(even: np.ndarray, n: int) -> np.ndarray:
+    wide = even.astype(np.int32)
+    return (wide[:n] + np.append(wide[1:], wide[-1:])[:n]) >> 1
+
+
 def pad(payload: bytes) -> bytes:
     return payload + bytes(max(UNIT, -(-len(payload) // UNIT) * UNIT) - len(payload))
 
@@ -173,17 +191,22 @@ def pcm_of(files: list[tuple[str, bytes]]) -> list[np.ndarray]:
 
 def summary(codec: str, pcm: np.ndarray) -> str:
     """Whole-number features of a sound: length, extremes, sums, sign changes, checksum."""
-    wide = pcm.astype(np.int64)
-    signs = np.count_nonzero(np.diff(pcm < 0))
-    return (
-        f"codec={codec};samples={len(pcm)};low={wide.min()};high={wide.max()};sum={wide.sum()};"
-        f"squares={np.dot(wide, wide)};crossings={signs}"
-    )
-
-
-def decode(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), media_col: str = "media", target: int = TARGET_RATE) -> DataFrame:
+    low, high, total, squares, signs = 0, 0, 0, 0, 0
+    if len(pcm):
+        low, high = int(pcm.min()), int(pcm.max())
+    for start in range(0, len(pcm), RESAMPLED):
+        wide = pcm[start : start + RESAMPLED].astype(np.int64)
+        total, squares = total + int(wide.sum()), squares + int(np.dot(wide, wide))
+        # one sample more, so that a change at the edge of two pieces counts
+        signs += np.count_nonzero(np.diff(pcm[start : start + RESAMPLED + 1] < 0))
+    return f"codec={codec};samples={len(pcm)};low={low};high={high};sum={total};squares={squares};crossings={signs}"
+
+
+def decode(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), media_col: str = "media", target: int = TARGET_RATE, pairs: bool = False) -> DataFrame:
     """``keep`` plus ``codec``, ``payload`` as stored, and ``pcm`` at ``target`` Hz with its ``rate``.
 
+    With ``pairs`` the samples are stored as ``paired`` gives them, in ``pcm`` and ``residue``.
+
     ``payload`` is given as its length, SHA-256, and CRC-32 of the last 64 bytes
     next to length and SHA-256 of the file, all from the bytes read back.
     """
@@ -192,13 +215,14 @@ def decode(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), media_col: str
 
     source = media.select(*keep, F.col(media_col).alias(free_name(list(keep), "media")))
     at = len(keep)
-    names = [*keep, "codec", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "rate", "pcm"]
+    names = [*keep, "codec", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "rate", "pcm", *(["residue"] if pairs else [])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             stored = batch.column(at).to_pylist()
             files = [unwrap(m) for m in stored]
             sounds = [resample(p, rate, target) for p, (_, rate, _) in zip(pcm_of([(c, d) for c, _, d in files]), files)]
+            halves = [paired(s) for s in sounds] if pairs else [(s,) for s in sounds]
             columns = [
                 pa.array([c for c, _, _ in files]),
                 pa.array([len(d) for _, _, d in files], pa.int64()),
@@ -207,26 +231,28 @@ def decode(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), media_col: str
                 pa.array([len(m) for m in stored], pa.int64()),
                 pa.array([hashlib.sha256(m).hexdigest() for m in stored]),
                 pa.array([target] * len(files), pa.int32()),
-                pa.array([s.astype("<i2").tobytes() for s in sounds], pa.binary()),
+                *[pa.array([h.astype("<i2").tobytes() for h in half], pa.binary()) for half in zip(*halves)],
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:at]]
     fields += ["codec string", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long"]
-    fields += ["media_sha256 string", "rate int", "pcm binary"]
+    fields += ["media_sha256 string", "rate int", "pcm binary", *(["residue binary"] if pairs else [])]
     return in_arrow(source, work, ", ".join(fields))
 
 
-def features(sounds: DataFrame, keep: tuple[str, ...] = ("doc_id", "codec"), codec_col: str = "codec", pcm_col: str = "pcm") -> DataFrame:
-    """``keep`` and the ``feature`` of every stored sound, from the samples as they are read."""
-    own = [free_name(list(keep), n) for n in ("sound_codec", "sound_pcm")]
-    source = sounds.select(*keep, F.col(codec_col).alias(own[0]), F.col(pcm_col).alias(own[1]))
+def features(sounds: DataFrame, keep: tuple[str, ...] = ("doc_id", "codec"), codec_col: str = "codec", pcm_col: str = "pcm", residue_col: str | None = None) -> DataFrame:
+    """``keep`` and the ``feature`` of every stored sound, from all samples as they are read."""
+    columns = [codec_col, pcm_col, *([residue_col] if residue_col else [])]
+    own = [free_name(list(keep), n) for n in ("sound_codec", "sound_pcm", "sound_residue")]
+    source = sounds.select(*keep, *[F.col(c).alias(o) for c, o in zip(columns, own)])
     at = len(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            pairs = zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist())
-            found = pa.array([summary(c, np.frombuffer(data, "<i2")) for c, data in pairs], pa.string())
+            codecs, *halves = (batch.column(at + i).to_pylist() for i in range(len(columns)))
+            parts = ([np.frombuffer(h, "<i2") for h in half] for half in zip(*halves))
+            found = pa.array([summary(c, unpaired(*p) if residue_col else p[0]) for c, p in zip(codecs, parts)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], found], names=[*keep, "feature"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:at]]

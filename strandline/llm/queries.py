@@ -70,10 +70,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialise(audio.encode(documents(spark, sf_dir), "doc_id", "text"), "audio")
+    stored = materialise(audio.encode(documents(spark, sf_dir), "doc_id", "text"), "audio", **audio.PACKED)
     digests = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
-    sounds = materialise(audio.decode(stored, ("doc_id", "n_bytes"), target=audio.PREVIEW_RATE), "pcm")
-    return audio.features(sounds, ("doc_id", "n_bytes", *digests, "codec"))
+    sounds = materialise(audio.decode(stored, ("doc_id", "n_bytes"), pairs=True), "pcm", **audio.PACKED)
+    return audio.features(sounds, ("doc_id", "n_bytes", *digests, "codec"), residue_col="residue")
 
 
 @query

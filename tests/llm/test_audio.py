@@ -88,3 +88,28 @@ def test_every_row_comes_back(spark):
         assert bytes(row.pcm) == sound.astype("<i2").tobytes() and heard[row.doc_id] == A.summary(row.codec, sound)
     assert heard[4] == heard[5] and out[4].media_sha256 == out[5].media_sha256
     assert A.decode(A.encode(df.limit(0), "doc_id", "text")).count() == 0
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 1001])
+def test_pairs_lose_no_sample(size):
+    rng = np.random.default_rng(5)
+    pcm = rng.integers(-32768, 32768, size).astype(np.int16)
+    assert A.unpaired(*A.paired(pcm)).tolist() == pcm.tolist()
+
+
+def test_features_in_pieces(monkeypatch):
+    pcm = np.random.default_rng(6).integers(-32768, 32768, 1000).astype(np.int16)
+    whole = A.summary("mulaw", pcm)
+    monkeypatch.setattr(A, "RESAMPLED", 7)
+    assert A.summary("mulaw", pcm) == whole
+
+
+def test_query_hears_every_sample(spark, tmp_path):
+    from strandline.llm import queries
+
+    texts = [None, "", "quiet", "a" * 99 + "b", "a" * 98 + "ba", "x" * 5000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    for row in queries.QUERIES["op4_telephony_audio"](spark, str(tmp_path)).collect():
+        payload = A.pad((texts[row.doc_id] or "").encode())
+        assert row.feature == A.summary(row.codec, A.resample(A.pcm_of([(row.codec, payload)])[0], 8000, 16000))
