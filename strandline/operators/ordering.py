@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.operators.contracts import required
-from strandline.operators.skew import lookup_join
+from strandline.operators.skew import crowded, lookup_join
 from strandline.session import materialise
 
 RANGE_ROWS = 200_000
 MAX_RANGES = 4096
+CROWDED_RANGES = 4  # times the rows of a range, at which a part is cut again
 SKETCH_CUTS = 1_000  # places that a sketch gives
 SKETCH_SLACK = 2  # cuts by which a bracket is wider on each side
 SKETCH_ACCURACY = 10_000
@@ -117,15 +118,27 @@ def running_rows(
     """Row-level ``cum_<m>`` in the order (lead columns, tie).
 
     ``lead`` columns are ascending, and ``tie`` settles the order of equal
-    leads; both may have any type that has an order.  Rows are moved once, by
-    (group, lead, range of tie).
+    leads; both may have any type that has an order.  Rows are moved once: by
+    group where no group is crowded, by (group, range of the first lead) where no
+    value of it is, and else by (group, lead, range of tie).
     """
     groups, lead, measures = list(groups), list(lead), list(measures)
     df = required(df, *groups, *lead, tie)
+    if groups and not crowded(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")), groups, CROWDED_RANGES * rows):
+        return _in_parts(df, groups, lead, tie, measures)
+    edges = range_edges(df, lead[0], rows)
+    if edges:
+        cut = with_range(df, lead[0], edges)
+        totals = cut.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(m).alias(m) for m in measures])
+        totals = materialise(totals, "ranges")
+        if totals.where(F.col("_rows") > CROWDED_RANGES * rows).isEmpty():
+            offsets = materialise(_before(totals, groups, ["_range"], measures).drop("_rows", *measures), "offsets")
+            local = _in_parts(cut, [*groups, "_range"], lead, tie, measures)
+            cums = [(F.col(f"_before_{m}") + F.col(f"cum_{m}")).alias(f"cum_{m}") for m in measures]
+            return lookup_join(local, offsets, [*groups, "_range"], "inner").select(*df.columns, *cums)
     tie_edges = range_edges(df, tie, rows)
     if not tie_edges:  # no more than ``rows`` rows altogether
-        w = Window.partitionBy(*groups).orderBy(*lead, tie).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(m).over(w).alias(f"cum_{m}") for m in measures])
+        return _in_parts(df, groups, lead, tie, measures)
     cut = with_range(df, tie, tie_edges, "_tie_range")
     cells = materialise(cut.groupBy(*groups, *lead, "_tie_range").agg(*[F.sum(m).alias(m) for m in measures]), "cells")
     per_lead = cells.groupBy(*groups, *lead).agg(*[F.sum(m).alias(m) for m in measures])
@@ -152,11 +165,17 @@ def running_rows(
     )
     keys = [*groups, *lead, "_tie_range"]
     inside = Window.partitionBy(*keys).orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(cell_offsets, keys)
+    joined = lookup_join(cut, materialise(cell_offsets, "offsets"), keys, "inner")
     cums = [(F.col(f"_c_{m}") + F.sum(m).over(inside)).alias(f"cum_{m}") for m in measures]
     return joined.select(*df.columns, *cums)
 
 
+def _in_parts(df: DataFrame, parts: list[str], lead: list[str], tie: str, measures: list[str]) -> DataFrame:
+    """``cum_<m>`` inside each part, none of which is long."""
+    w = Window.partitionBy(*parts).orderBy(*lead, tie).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("*", *[F.sum(m).over(w).alias(f"cum_{m}") for m in measures])
+
+
 def order_number(df: DataFrame, groups: Sequence[str], lead: Sequence[str], tie: str, out: str = "order_no") -> DataFrame:
     """Position of each row in its group by (lead, tie), starting at 1."""
     numbered = running_rows(df.withColumn("_one", F.lit(1).cast("long")), groups, lead, tie, ["_one"])
