@@ -8,7 +8,7 @@ from strandline.functions.values import wilson
 from strandline.operators import metrics as M
 from strandline.operators import ordering as O
 from strandline.operators import resample as S
-from strandline.operators.draws import binomial_sql, draw_table, draws_sql, event_counts, plan_draws, unit_sql
+from strandline.operators.draws import draw_table, draws_sql, plan_draws
 from strandline.plans.bindings import scored_documents, scored_lines, table, unique_lines
 from strandline.plans.registry import cte, query, rnd, rounded, sql
 from strandline.plans.stages import planned, staged
@@ -537,32 +537,27 @@ cte(
  (SELECT *, row_number() OVER (ORDER BY p, doc_id) - 1 AS i, count(*) OVER () AS n FROM docs)""",
     "docs",
 )
-cte("bin_sizes", "SELECT bin, count(*) AS n, sum(y)::BIGINT AS events FROM doc_bins GROUP BY 1", "doc_bins")
-_BIN_U = unit_sql(f"'{BIN_SEED}:' || bin || ':' || replicate")
-cte(
-    "bin_draws",
-    binomial_sql(
-        f"(SELECT *, events / n::DOUBLE AS p, {_BIN_U} AS u FROM bin_sizes, (SELECT unnest(range(1, {BIN_REPS + 1}))::INT AS replicate))",
-        "bin, replicate", "n", "p", "u", "n, events, p, u",
-    ),
-    "bin_sizes",
-)
+cte("draws_b", draws_sql("doc_bins", "bin", "doc_id", BIN_REPS, BIN_SEED), "doc_bins")
 
 
 @query(
     "in_bin_resampling",
     sql(
-        """SELECT bin, any_value(n) AS n, any_value(events) AS events, round(quantile_cont(k / n::DOUBLE, 0.025), 6) AS observed_low,
-  round(quantile_cont(k / n::DOUBLE, 0.975), 6) AS observed_high FROM bin_draws GROUP BY 1""",
-        "bin_draws",
+        """SELECT bin, any_value(n) AS n, any_value(events) AS events, round(quantile_cont(o, 0.025), 6) AS observed_low, round(quantile_cont(o, 0.975), 6) AS observed_high
+FROM (SELECT bin, replicate, sum(mult * y) / sum(mult)::DOUBLE AS o FROM doc_bins JOIN draws_b USING (bin, doc_id) GROUP BY 1, 2)
+JOIN (SELECT bin, count(*) AS n, sum(y)::BIGINT AS events FROM doc_bins GROUP BY 1) USING (bin) GROUP BY 1""",
+        "doc_bins",
+        "draws_b",
     ),
 )
 def in_bin_resampling(spark, sf_dir):
-    """Rows drawn with replacement inside each equal-count bin: only how many events are drawn matters."""
+    """Rows drawn with replacement inside each equal-count bin."""
     rows = M.with_equal_count_bin(scored_documents(spark, sf_dir).select("doc_id", "y", "p"), [], "p", "doc_id")
-    point = materialise(rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events")), "bins")
-    reps = event_counts(point, ["bin"], "n", "events", BIN_REPS, BIN_SEED)
-    reps = reps.select("bin", (F.col("events") / F.col("n")).alias("observed"))
+    rows = materialise(rows.select("bin", "doc_id", "y"), "bins")
+    draws = plan_draws(rows, ["bin"], "doc_id", BIN_REPS, BIN_SEED)
+    sums = S.replicate_sums(rows, draws, ["bin"], {"n": F.count(F.lit(1)), "k": F.coalesce(F.sum("y"), F.lit(0))})
+    reps = sums.select("bin", (F.col("k") / F.col("n")).alias("observed"))
+    point = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
     return rounded(point.join(S.intervals(reps, ["bin"], ["observed"]).drop("observed_defined"), "bin"))
 
 
