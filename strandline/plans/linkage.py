@@ -360,31 +360,44 @@ def repair_comparison(spark, sf_dir):
 
 # independent rebuild --------------------------------------------------------------
 
+REACH = 30  # days after a stay in which a follow-up starts
+
+
 def rebuild(spark, sf_dir):
     """The same cohort by another way: rows joined to their successor by order
-    number, and each day's cell handed to the thirty end days it follows."""
+    number, and each end day to the cells of the two buckets of days it reaches into.
+
+    The sizes of these joins do not show in the files they are read from, so none is
+    left to be broadcast.
+    """
     adm = admissions(spark, sf_dir)
     keys = ["year", "entity_id"]
     slim = adm.select(*keys, "enc_id", "start_day")
-    numbered = order_number(slim, keys, ["start_day"], "enc_id")
+    numbered = materialise(order_number(slim, keys, ["start_day"], "enc_id"), "numbered")
     successor = numbered.select(*keys, (F.col("order_no") - 1).alias("order_no"), F.col("start_day").alias("_next"))
     gap = F.col("_next") - F.col("start_day") - F.greatest("stay", F.lit(0))
     base = (
         adm.where("principal_1 AND age >= 18 AND died = 0 AND disposition NOT IN (2, 20) AND stay >= 0 AND month BETWEEN 1 AND 11")
-        .join(numbered.select("enc_id", "order_no"), "enc_id")
-        .join(successor, [*keys, "order_no"], "left")
+        .select(*keys, "enc_id", "start_day", "stay")
+        .join(numbered.select("enc_id", "order_no").hint("merge"), "enc_id")
+        .join(successor.hint("merge"), [*keys, "order_no"], "left")
         .where(gap.isNull() | (gap >= 1))
-        .withColumn("end_day", F.col("start_day") + F.greatest("stay", F.lit(0)))
+        .select(*keys, "enc_id", (F.col("start_day") + F.greatest("stay", F.lit(0))).alias("end_day"))
     )
+    base = materialise(base, "base")
     status = F.col("planned_status")
     days = adm.groupBy(*keys, "start_day").agg(
         F.min(F.when(status == 0, F.struct("start_day", "enc_id", "cause_code"))).alias("u"),
         F.min(F.when(status == -1, F.col("start_day"))).alias("x"),
     )
-    reach = F.explode(F.sequence(F.col("start_day") - 30, F.col("start_day") - 1)).alias("end_day")
-    ahead = days.where("u IS NOT NULL OR x IS NOT NULL").select(*keys, reach, "u", "x")
+    bucket = lambda day: F.floor(day / F.lit(REACH)).alias("_bucket")
+    days = days.where("u IS NOT NULL OR x IS NOT NULL").select(*keys, "start_day", bucket(F.col("start_day")), "u", "x")
+    ends = base.select(*keys, "end_day").distinct()
+    reach = F.array_distinct(F.array(bucket(F.col("end_day") + 1), bucket(F.col("end_day") + REACH)))
+    ends = ends.withColumn("_bucket", F.explode(reach))
+    ahead = ends.join(days.hint("merge"), [*keys, "_bucket"]).where(F.col("start_day").between(F.col("end_day") + 1, F.col("end_day") + REACH))
     ahead = ahead.groupBy(*keys, "end_day").agg(F.min("u").alias("u"), F.min("x").alias("x"))
-    found = base.join(ahead, [*keys, "end_day"], "left")
+    found = base.join(ahead.hint("merge"), [*keys, "end_day"], "left")
     return found.where("x IS NULL OR (u IS NOT NULL AND x > u.start_day)").select(
         "year",
         "enc_id",
