@@ -77,7 +77,9 @@ cte(
 def episodes(spark, sf_dir):
     rule = L.development_rule("principal_1", "age", "died", "disposition")
     cohort = F.col("any_1") & (F.col("age") >= 18)
-    return L.build_episodes(admissions(spark, sf_dir), cohort, rule, carry=CARRY)
+    # code arrays are most of a row and stay in their own table, so that linkage does not move them
+    adm = admissions(spark, sf_dir).drop("dx", "pr", "prday")
+    return L.build_episodes(adm, cohort, rule, carry=CARRY)
 
 
 def partition_label():
