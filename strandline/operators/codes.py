@@ -46,12 +46,13 @@ def encode_rows(rows: DataFrame, vocabulary: DataFrame, unseen: int = UNSEEN_ID)
     ).drop("_id")
 
 
-def encode_arrays(df: DataFrame, key: str, columns: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+def encode_arrays(df: DataFrame, key: str, columns: Mapping[str, tuple[DataFrame, str]], keep: bool = True) -> DataFrame:
     """Code arrays to id arrays, position by position.
 
     ``columns`` maps an array column to its vocabulary and the name of the ids.
     All arrays of a row are taken apart together, so their rows move once to be
     grouped again and once to meet the table.
+    Without ``keep`` only the lengths of the code arrays go into the join, not the codes.
     """
     rows = df.select(key, F.posexplode(F.arrays_zip(*columns)).alias("pos", "_z"))
     for column, (vocabulary, out) in columns.items():
@@ -59,11 +60,13 @@ def encode_arrays(df: DataFrame, key: str, columns: Mapping[str, tuple[DataFrame
         rows = encode_rows(rows, vocabulary).withColumnRenamed("id", out).drop("code")
     outs = [out for _, out in columns.values()]
     arrays = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", *outs))).alias("_a"))
-    joined = df.join(arrays, key, "left")
+    sizes = {c: f"_size_{c}" for c in columns}
+    sized = df.withColumns({size: F.size(c) for c, size in sizes.items()})
+    joined = (sized if keep else sized.drop(*columns)).join(arrays, key, "left")
     empty = F.array().cast("array<int>")
     # a shorter array was filled up beside a longer one
-    ids = {out: F.when(F.size(c) > 0, F.slice(F.col("_a")[out], F.lit(1), F.size(c))).otherwise(empty) for c, (_, out) in columns.items()}
-    return joined.withColumns(ids).drop("_a")
+    ids = {out: F.when(F.col(sizes[c]) > 0, F.slice(F.col("_a")[out], F.lit(1), F.col(sizes[c]))).otherwise(empty) for c, (_, out) in columns.items()}
+    return joined.withColumns(ids).drop("_a", *sizes.values())
 
 
 def encode_array(df: DataFrame, key: str, codes: str, vocabulary: DataFrame, out: str) -> DataFrame:

@@ -400,9 +400,9 @@ def id_space(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 
 @staged
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admissions with both code arrays as ids."""
+    """Admissions with ids in place of both code arrays."""
     sides = {side: (vocabulary(spark, sf_dir, side), f"{side}_ids") for side in ("dx", "pr")}
-    return encode_arrays(admissions(spark, sf_dir), "enc_id", sides)
+    return encode_arrays(admissions(spark, sf_dir), "enc_id", sides, keep=False)
 
 
 cte(
