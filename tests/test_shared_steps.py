@@ -30,7 +30,7 @@ def folder(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["cohort_rebuild", "episodes", "encoded_arrays"])
+@pytest.mark.parametrize("name", ["cohort_rebuild", "cohort_reconciliation", "episodes", "encoded_arrays"])
 def test_twins_on_own_rows(spark, folder, name):
     con = duckdb.connect()
     for t in ("part", "orders", "lineitem"):
