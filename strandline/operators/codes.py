@@ -11,7 +11,7 @@ from strandline.functions.text import normalize_code
 from strandline.functions.values import ratio
 from strandline.layout import EMPTY_ID, FIRST_CODE_ID, UNSEEN_ID
 from strandline.operators.ordering import dense_index
-from strandline.operators.skew import lookup_join
+from strandline.operators.skew import keyed_join, lookup_join
 
 
 # vocabulary ---------------------------------------------------------------
@@ -62,7 +62,7 @@ def encode_arrays(df: DataFrame, key: str, columns: Mapping[str, tuple[DataFrame
     arrays = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", *outs))).alias("_a"))
     sizes = {c: f"_size_{c}" for c in columns}
     sized = df.withColumns({size: F.size(c) for c, size in sizes.items()})
-    joined = (sized if keep else sized.drop(*columns)).join(arrays, key, "left")
+    joined = keyed_join(sized if keep else sized.drop(*columns), arrays, [key], "left")
     empty = F.array().cast("array<int>")
     # a shorter array was filled up beside a longer one
     ids = {out: F.when(F.col(sizes[c]) > 0, F.slice(F.col("_a")[out], F.lit(1), F.col(sizes[c]))).otherwise(empty) for c, (_, out) in columns.items()}

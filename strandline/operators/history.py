@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.arrays import real_ids
 from strandline.layout import Encounter, Stay
 from strandline.operators.linkage import range_summary, running
-from strandline.operators.skew import crowded, lookup_join, spread_join
+from strandline.operators.skew import crowded, keyed_join, lookup_join, spread_join
 
 DAY_US = 86_400_000_000
 BAG_DAYS = 180  # how long the codes of a stay are seen
@@ -75,7 +75,7 @@ def id_bags(index: DataFrame, spans: DataFrame, codes: Sequence[str], layout: En
     # a span touches two parts of the axis at most
     cut = spans.withColumn("_part", F.explode(F.sequence(part("first"), part("last"))))
     rows = index.select(*keys, part("axis").alias("_part")).distinct()
-    met = rows.join(cut, [*layout.entity, "_part"]).where("axis BETWEEN first AND last")
+    met = keyed_join(rows, cut, [*layout.entity, "_part"]).where("axis BETWEEN first AND last")
     ids = lambda c: F.array_sort(F.collect_list(F.when(F.col("column") == c, F.col("id"))))
     return met.groupBy(*keys).agg(*[ids(c).alias(f"bag_{c}") for c in codes])
 
@@ -105,9 +105,9 @@ def with_history(
     aggs |= {f"prior_max_{s}_180d": ("180d", F.max(f"max_{s}")) for s in severities}
     numbers = [name for name in aggs if name != "_last_end"]
     found = range_summary(cells, rows, layout.entity, "axis", frames, aggs)
-    found = found.join(id_bags(rows, spans, codes, layout), keys, "left")
+    found = keyed_join(found, id_bags(rows, spans, codes, layout), keys, "left")
     hot = crowded(cells, list(layout.entity))
-    joined = spread_join(rows, found, keys, "left") if hot else rows.join(found, keys, "left")
+    joined = spread_join(rows, found, keys, "left") if hot else keyed_join(rows, found, keys, "left")
     month = F.col(layout.month)
     return joined.withColumns(
         {

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.skew import keyed_join
+
 
 class JoinContractError(ValueError):
     """Keys are not unique, lack a partner, or disagree."""
@@ -37,7 +39,7 @@ def checked_join(
         if not duplicate_keys(side, on).isEmpty():
             raise JoinContractError(f"{name} side repeats a key of {on}")
     marked = right.withColumnsRenamed({c: f"_right_{c}" for c in agree}).withColumn("_found", F.lit(True))
-    joined = left.join(marked, on, "left")
+    joined = keyed_join(left, marked, on, "left")
     bad = [F.count_if(~F.col(c).eqNullSafe(F.col(f"_right_{c}")) & F.col("_found")).alias(c) for c in agree]
     found = joined.agg(F.count_if(F.col("_found").isNull()).alias("_orphans"), *bad).first()
     if found["_orphans"] and not orphans:

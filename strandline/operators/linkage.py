@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandline.functions.text import to_number
 from strandline.functions.values import window_fits_year
 from strandline.layout import Encounter
-from strandline.operators.skew import crowded, spread_join
+from strandline.operators.skew import crowded, keyed_join, spread_join
 from strandline.session import materialise
 
 
@@ -49,7 +49,7 @@ def range_summary(
         cells = cells.withColumn("_bucket", F.explode(near))
         parts = [*keys, "_bucket"]
     # only parts that hold a query are worth a window
-    cells = cells.join(points.select(*parts).distinct(), parts, "left_semi")
+    cells = keyed_join(cells, points.select(*parts).distinct(), parts, "left_semi")
     together = points.unionByName(cells.withColumn("_query", F.lit(False)), allowMissingColumns=True)
     base = Window.partitionBy(*parts).orderBy(axis)
     spans = {
@@ -92,7 +92,7 @@ def running(
     )
     inside = Window.partitionBy(*keys, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     found = {n: both[how](F.col(f"_carry_{n}"), none[how](total[how](f"_{n}").over(inside))) for n, (how, _) in values.items()}
-    joined = marked.join(carry, [*keys, cell])
+    joined = keyed_join(marked, carry, [*keys, cell])
     return joined.select(*df.columns, *[c.alias(n) for n, c in found.items()])
 
 
@@ -144,7 +144,7 @@ def day_cells(adm: DataFrame, layout: Encounter = Encounter(), carry: Sequence[s
 
 def _attach(rows: DataFrame, answers: DataFrame, on: list[str], crowd: bool) -> DataFrame:
     """Left join of rows to their answers; spread out when an entity is crowded."""
-    return spread_join(rows, answers, on, "left") if crowd else rows.join(answers, on, "left")
+    return spread_join(rows, answers, on, "left") if crowd else keyed_join(rows, answers, on, "left")
 
 
 def with_next_start(

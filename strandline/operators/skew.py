@@ -29,6 +29,15 @@ def lookup_join(
     return spread_join(left, right, on, how)
 
 
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join of two tables that both grow with the input.
+
+    Neither side is broadcast: the planner takes sizes from compressed files with
+    most columns left out, and such a table can be many times larger in memory.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def hot_keys(df: DataFrame, on: list[str], rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Keys with more than ``rows`` rows and the number of parts to cut them into.
 

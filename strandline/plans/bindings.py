@@ -18,7 +18,7 @@ from strandline.functions.values import sigmoid
 from strandline.layout import FIRST_CODE_ID
 from strandline.operators.codes import cause_code, code_rows, encode_arrays, fit_vocabulary, planned_columns
 from strandline.operators.ordering import order_number
-from strandline.operators.skew import lookup_join
+from strandline.operators.skew import keyed_join, lookup_join
 from strandline.plans.registry import cte
 from strandline.plans.stages import staged
 
@@ -201,7 +201,7 @@ FLAGS = (
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encounters with code arrays and the flag table."""
     no_text = F.array().cast("array<string>")
-    adm = encounters(spark, sf_dir).join(encounter_codes(spark, sf_dir), "enc_id", "left")
+    adm = keyed_join(encounters(spark, sf_dir), encounter_codes(spark, sf_dir), ["enc_id"], "left")
     adm = adm.withColumns({"dx": F.coalesce("dx", no_text), "pr": F.coalesce("pr", no_text)})
     adm = adm.withColumn("principal", F.coalesce(F.get("dx", F.lit(0)), F.lit("")))
     return adm.withColumns(flag_columns(F.col("principal"), F.col("dx"), F.col("pr")))

@@ -5,6 +5,7 @@ import datetime
 import duckdb
 import pytest
 from check_queries import compare
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from strandline.operators import codes as C
@@ -64,3 +65,11 @@ def test_spans_move_once(spark):
     spans = id_spans(rows, ["ids"])
     assert spans._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted((r.id, r["first"], r["last"]) for r in spans.collect()) == [(4, 14, 181), (4, 182, 542), (9, 14, 374)]
+
+
+def test_growing_tables_are_not_broadcast(spark, folder):
+    """Every join of the published cohort, whose small files become large tables in memory."""
+    adm = bindings.admissions(spark, folder)
+    rule = linkage.L.development_rule("principal_1", "age", "died", "disposition")
+    plan = linkage.L.build_episodes(adm.drop("dx", "pr"), F.col("any_1"), rule)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
