@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from strandline.operators import codes as C
+from strandline.operators import history as H
 from strandline.operators.history import id_spans
 from strandline.plans import bindings, linkage
 
@@ -73,3 +74,31 @@ def test_growing_tables_are_not_broadcast(spark, folder):
     rule = linkage.L.development_rule("principal_1", "age", "died", "disposition")
     plan = linkage.L.build_episodes(adm.drop("dx", "pr"), F.col("any_1"), rule)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_arrays_are_encoded_where_they_are(spark):
+    rows = spark.createDataFrame([(k, ["a.", None, "zz", "b"][k % 3:], None if k % 5 == 0 else ["", "B"]) for k in range(300)], "k int, x array<string>, y array<string>").coalesce(1)
+    ids = spark.createDataFrame([("A", 4), ("B", 5)], "code string, id int")
+    columns = {"x": (ids, "x_ids"), "y": (ids, "y_ids")}
+    there, moved = C.encode_arrays(rows, "k", columns), C.encode_arrays(rows, "k", columns, rows=1)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(there) == 0 < exchanges(moved)
+    assert sorted(there.collect(), key=lambda r: r.k) == sorted(moved.select(*there.columns).collect(), key=lambda r: r.k)
+    twice = C.encode_arrays(rows.unionAll(rows), "k", columns)
+    assert exchanges(twice) > 0
+
+
+def test_only_stays_an_index_can_see_are_taken_apart(spark):
+    shape = "year int, entity_id int, start_day int, stay int, ids array<int>"
+    rows = spark.createDataFrame(
+        [(2000, 1, d, s, [10 + i, 10 + i % 3]) for i, (d, s) in enumerate([(5, 2), (60, 0), (100, 3), (240, 1), (300, 0), (360, 2)])]
+        + [(2000, 2, 9, 0, [99]), (2000, None, 9, 0, [98]), (2000, 1, None, 0, [97])], shape
+    )
+    index = rows.where("start_day IN (100, 300) AND entity_id = 1")
+    at = index.withColumn("axis", (2 * F.col("start_day")).cast("long"))
+    seen = H.seen_stays(rows, index)
+    assert sorted(r.start_day for r in seen.collect()) == [5, 60, 100, 240]
+    crowd = rows.groupBy("year", "entity_id").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(seen.collect()) == sorted(H.seen_stays(rows, index, crowd).collect())
+    bags = lambda stays: {r.axis: r.bag_ids for r in H.id_bags(at, id_spans(stays, ["ids"]), ["ids"]).collect()}
+    assert bags(seen) == bags(rows) and len(bags(rows)) == 2
