@@ -27,7 +27,10 @@ from strandline.session import materialise, ship
 BLOCK = 4_096  # clusters whose multiplicities are made together
 FAN = 1_024  # ranges of blocks that one task makes of one range before they are dealt anew
 TABLE = 1 << 21  # cells of a distribution function held at a time
-ROWS = 4_096  # rows of sums that a task multiplies
+KEYS = 2_048  # keys whose sums a task holds for all replicates
+FEW_ROWS, ROWS = 16_384, 1 << 19  # rows of sums of a task, however many keys they have, and with few keys
+TASKS = 32  # that share the work at least, where there are rows for them
+STEP = 512  # rows of the matrix taken at a time
 
 # The steps of a 32-bit mixing function.
 GOLDEN = 0x9E3779B9
@@ -252,12 +255,24 @@ def draw_table(draws: Draws) -> DataFrame:
     return found.select(*draws.strata, "replicate", draws.cluster, "mult")
 
 
+def key_parts(rows: int, keys: int, packs: int) -> int:
+    """Parts of the keys that are multiplied apart.
+
+    Every part makes the matrix of its pack again, so there are no more than the sums of
+    ``KEYS`` keys, ``ROWS`` rows or ``TASKS`` tasks ask for, and with ``FEW_ROWS`` rows
+    a part needs no other.
+    """
+    most = -(-rows // (packs * FEW_ROWS))
+    asked = max(-(-keys // KEYS), -(-rows // (packs * ROWS)), -(-TASKS // packs))
+    return max(1, min(most, asked))
+
+
 def added_up(sums: DataFrame, draws: Draws, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """(replicate, keys.., measures): ``sums``, one row per (cluster, keys), times the multiplicities.
 
     A task has the multiplicities of one pack of blocks as a matrix and some of
-    the keys; what leaves it is one row per key, with an array over the replicates
-    for each measure.  Measures that are whole numbers stay so.
+    the keys (``key_parts``); what leaves it is one row per key, with an array over the
+    replicates for each measure.  Measures that are whole numbers stay so.
     """
     keys, measures, strata, replicates = list(keys), list(measures), _keys(draws), draws.replicates
     own = [f"_k{i}" for i in range(len(keys))]
@@ -265,7 +280,8 @@ def added_up(sums: DataFrame, draws: Draws, keys: Sequence[str], measures: Seque
     rows = rows if draws.strata else rows.withColumn("_all", F.lit(0))
     rows = materialise(rows.join(draws.placed, [*strata, draws.cluster]).drop(draws.cluster), "cluster-sums")
     kinds = {m: "long" if rows.schema[m].dataType.typeName() in ("long", "integer", "byte", "short") else "double" for m in measures}
-    parts = max(1, -(-rows.count() // (draws.packs * ROWS * 4)))
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*own) if own else F.lit(0)).alias("keys")).first()
+    parts = key_parts(facts["n"], facts["keys"], draws.packs)
     part = F.pmod(F.xxhash64(*own), F.lit(parts)) if own else F.lit(0)
     left = rows.select("*", part.cast("long").alias("_part"))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part")
@@ -284,15 +300,15 @@ def added_up(sums: DataFrame, draws: Draws, keys: Sequence[str], measures: Seque
         out = [np.zeros((len(first), replicates)) for _ in measures]
         if table.num_rows:
             matrix = Matrix(blocks, strata)
-            at = matrix.at(table, strata)[order]
-            values = [table.column(m).to_numpy(zero_copy_only=False).astype(float)[order] for m in measures]
-            for start in range(0, len(at), 512):
-                mine = slice(start, start + 512)
-                here = place[mine]
-                edges = np.flatnonzero(np.diff(here, prepend=-1))
-                times = matrix.rows[at[mine]].astype(float)
-                for total, value in zip(out, values):
-                    total[here[edges]] += np.add.reduceat(times * value[mine, None], edges, axis=0)
+            at, times = matrix.at(table, strata)[order], matrix.rows.astype(float)
+            values = np.array([table.column(m).to_numpy(zero_copy_only=False).astype(float)[order] for m in measures])
+            ends = np.append(first[1:], len(place))
+            for key, (start, end) in enumerate(zip(first, ends)):
+                for low in range(start, end, STEP):
+                    mine = slice(low, min(end, low + STEP))
+                    # all measures of a key by one product with the rows of its clusters
+                    for total, added in zip(out, values[:, mine] @ times[at[mine]]):
+                        total[key] += added
         heads = [table.column(k).take(pa.array(order[first])) for k in own]
         offsets = pa.array(np.arange(len(first) + 1) * replicates, pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(total.ravel())) for total in out]

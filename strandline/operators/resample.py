@@ -41,8 +41,9 @@ def replicate_scores(df: DataFrame, draws: Draws, groups: Sequence[str], p: str,
 
 def replicate_metrics(df: DataFrame, draws: Draws, groups: Sequence[str], p: str, y: str, weight: str | None = None, rows: int = RANGE_ROWS) -> DataFrame:
     """AUROC, average precision, Brier, log loss, rate and O/E per replicate."""
-    edges = range_edges(df, p, rows)
     table = materialise(replicate_scores(df, draws, groups, p, y, weight), "replicate_scores")
+    # a replicate holds a score once, so its ranges follow the distinct scores, not the rows of the input
+    edges = range_edges(table.select("p").distinct(), "p", rows)
     return summarise_scores(table, ["replicate", *groups], rows, edges)
 
 
