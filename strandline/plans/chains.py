@@ -17,6 +17,7 @@ from strandline.plans.bindings import stays, table
 from strandline.plans.evaluation import metrics_sql, tidy
 from strandline.plans.registry import cte, query, rnd, rounded, sql
 from strandline.plans.stages import planned, staged
+from strandline.session import materialise
 
 # source rows, some of them unusable -----------------------------------------------------
 
@@ -122,6 +123,7 @@ UNION ALL SELECT stay_id, 'C' || (k % 7), '2', CASE WHEN k % 3 = 0 THEN '9' ELSE
 )
 
 
+@staged
 def stay_codes(spark, sf_dir):
     """Two codes per stay, some rows repeated; dates as text."""
     rows = stays(spark, sf_dir)
@@ -220,7 +222,7 @@ cte(
 )
 def unseen_codes_per_chain(spark, sf_dir):
     """Events whose code a vocabulary does not have; this source maps them to id 3."""
-    counts = stay_codes(spark, sf_dir).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(stay_codes(spark, sf_dir).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "code-counts")
     common = counts.agg(F.sum("n") / F.count(F.lit(1))).first()[0]
     known = counts.where(F.col("n") >= F.lit(common)).select("code", F.lit(FIRST_CODE_ID).alias("id"))
     events = lookup_join(chain_events(spark, sf_dir), known, ["code"], "left")
