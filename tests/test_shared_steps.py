@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from strandline.operators import codes as C
 from strandline.operators import history as H
+from strandline.operators import linkage as L
 from strandline.operators.history import id_spans
-from strandline.plans import bindings, linkage
+from strandline.operators.joins import JoinContractError, checked_join
+from strandline.plans import bindings, linkage, modelling
 
 
 @pytest.fixture(scope="module")
@@ -113,3 +115,74 @@ def test_only_stays_an_index_can_see_are_taken_apart(spark):
     assert sorted(seen.collect()) == sorted(H.seen_stays(rows, index, crowd).collect())
     bags = lambda stays: {r.axis: r.bag_ids for r in H.id_bags(at, id_spans(stays, ["ids"]), ["ids"]).collect()}
     assert bags(seen) == bags(rows) and len(bags(rows)) == 2
+
+
+def _moves(df):
+    """Places at which the final plan moves rows, and the keys by which it does."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+
+
+def test_frames_move_cells_once(spark):
+    cells = spark.createDataFrame([(1, 5, 2), (1, 9, 3), (1, None, 7), (None, 5, 11), (2, 5, 13), (3, 1, 17)], "e int, d int, n int")
+    asked = spark.createDataFrame([(1, 9), (1, 4), (1, None), (None, 5), (3, 40), (4, 5)], "e int, d int")
+    frames = {"ahead": (1, 5), "near": (-3, 0)}
+    found = L.range_summary(cells, asked, ["e"], "d", frames, {"a": ("ahead", F.sum("n")), "b": ("near", F.sum("n"))})
+    assert sorted(found.where("d IS NOT NULL AND e IS NOT NULL").collect()) == [(1, 4, 5, None), (1, 9, None, 3), (3, 40, None, None), (4, 5, None, None)]
+    # the distinct points by their axis, then points and cells by their part
+    assert len(_moves(found)) == 2
+
+
+def test_wide_rows_move_once_for_both_answers(spark, folder):
+    adm = bindings.admissions(spark, folder).withColumn("cause", F.col("cause_code"))
+    cells = L.day_cells(adm).localCheckpoint()
+    out = L.with_next_gap(L.with_follow_up(adm, cells, crowd=False), cells, crowd=False)
+    by_entity = [m for m in _moves(out) if m.count("#") == 2]
+    assert len(by_entity) == 3  # the rows, their follow-up and the next starts
+    plain = L.with_next_gap(L.with_follow_up(adm, cells, crowd=True), cells, crowd=True)
+    names = ["enc_id", "next_start", "next_gap", "first_unplanned_day", "follow_up_key", "first_unknown_day", "planned_follow_ups", "unknown_follow_ups"]
+    assert sorted(map(str, out.select(names).collect())) == sorted(map(str, plain.select(names).collect()))
+    assert out.where("next_gap IS NOT NULL").count() and out.where("follow_up_key IS NOT NULL").count()
+
+
+def test_answers_of_missing_keys_and_days_are_none(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, None, "b"), (None, 5, "c"), (1, 6, "d"), (1, 5, "e"), (2, 5, "f")], "e int, d int, k string")
+    answers = spark.createDataFrame([(1, 5, 50, None), (1, 6, None, None), (1, None, 1, 1), (None, 5, 2, 2), (2, 5, None, 8)], "e int, d int, x int, y int")
+    out = L._attach(rows, answers, ["e", "d"], False)
+    assert out.columns == ["e", "d", "k", "x", "y"]
+    assert sorted(tuple(r)[2:] for r in out.collect()) == [("a", 50, None), ("b", None, None), ("c", None, None), ("d", None, None), ("e", 50, None), ("f", None, 8)]
+
+
+def test_spans_of_dealt_rows_stay_where_they_are(spark):
+    rows = spark.createDataFrame([(1, 1, d, d % 2, [4 + d % 3, 9]) for d in range(0, 900, 30)] + [(2, 1, 5, 0, [4, 4])], "year int, entity_id int, start_day int, stay int, ids array<int>")
+    dealt = rows.repartition("year", "entity_id")
+    found = id_spans(dealt, ["ids"], dealt=True)
+    # only where they were dealt above
+    assert len(_moves(found)) == 1 and sorted(found.collect()) == sorted(id_spans(rows, ["ids"]).collect())
+
+
+def test_a_vocabulary_reads_its_rows_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([("A1", 1995), ("B1", 1996), ("A1", 1996), ("", 1995)], "code string, year int").coalesce(1)
+    counted = F.udf(lambda c: (reads.add(1), c)[1], "string").asNondeterministic()
+    found = C.fit_vocabulary(rows.withColumn("code", counted("code")), "year", [1995, 1996])
+    assert sorted(found.collect()) == [("A1", 1995, 2, 4), ("B1", 1996, 1, 5)] and reads.value == 4
+
+
+def test_a_checked_join_moves_partners_only(spark):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    right = spark.createDataFrame([(1, True), (2, True), (3, False), (4, None)], "k int, ok boolean")
+    found = checked_join(left, right, ["k"], within=F.col("ok"))
+    assert sorted(r.k for r in found.collect()) == [1, 2]
+    with pytest.raises(JoinContractError, match="repeats"):
+        checked_join(left, right.unionByName(right.where("k = 3")), ["k"], within=F.col("ok"))
+    with pytest.raises(JoinContractError, match="no partner"):
+        checked_join(left.unionByName(right.where("k = 3").select("k")), right, ["k"], within=F.col("ok"))
+
+
+def test_model_rows_equal_those_joined_to_all_codes(spark, folder):
+    rows = modelling.model_rows(spark, folder)
+    codes = bindings.encoded(spark, folder).select("enc_id", "dx_ids", "pr_ids")
+    index = linkage.episodes(spark, folder).where("eligible").select("enc_id")
+    assert rows.count() and sorted(map(str, rows.select("enc_id", "dx_ids", "pr_ids").collect())) == sorted(map(str, index.join(codes, "enc_id").collect()))
