@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandline.functions.ids import draw, unit_draw
 from strandline.layout import EMPTY_ID, FIRST_CODE_ID, MASK_ID, UNSEEN_ID
 
 
@@ -35,6 +40,11 @@ def any_prefix(codes: Column, prefixes: list[str] | tuple[str, ...]) -> Column:
     return F.coalesce(F.exists(codes, lambda x: x.rlike(pattern)), F.lit(False))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often and in whichever lambda it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # procedure timing ---------------------------------------------------------
 
 def day_is_missing(day: Column) -> Column:
@@ -106,7 +116,7 @@ def _timed_ids(ids: Column, days: Column, stay: Column, shift: int) -> Column:
 
 
 def _or_empty_token(sequence: Column) -> Column:
-    return F.when(F.size(sequence) > 0, sequence).otherwise(F.array(_entry(F.lit(EMPTY_ID), 0, 0, 0)))
+    return bound(sequence, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(_entry(F.lit(EMPTY_ID), 0, 0, 0))))
 
 
 def visit_sequence(
@@ -138,8 +148,8 @@ def single_visit_sequence(
 ) -> Column:
     """First-vocabulary ids (at most ``first_limit``), then second ones, cut to ``limit``."""
     head = F.slice(_first_ids(first, 0, 0, 0), 1, min(first_limit, limit))
-    tail = F.slice(_timed_ids(second, second_days, stay, shift), F.lit(1), F.lit(limit) - F.size(head))
-    return _or_empty_token(F.concat(head, tail))
+    tail = lambda h: F.slice(_timed_ids(second, second_days, stay, shift), F.lit(1), F.lit(limit) - F.size(h))
+    return _or_empty_token(bound(head, lambda h: F.concat(h, tail(h))))
 
 
 def field(sequence: Column, name: str) -> Column:
@@ -154,24 +164,44 @@ def masked_sample(key: Column, ids: Column, seed: int, vocabulary_size: int, sha
     (10%).  The choice depends only on the key, the position and the seed, so
     a recomputed task gives the same sample.  Each entry holds the input id
     and, where picked, the original id.
+
+    One md5 is taken per real id, and others only for picked ones; the draws are
+    those of ``ids.unit_draw`` and ``ids.draw`` over seed, key, position and use.
     """
-    parts = lambda pos, use: [F.lit(seed), key, pos, F.lit(use)]
-    scored = F.transform(
-        ids, lambda x, i: F.struct(x.alias("id"), unit_draw(parts(i, "pick")).alias("u"), i.alias("pos"))
-    )
-    lowest = F.array_min(
-        F.transform(F.filter(scored, lambda e: e["id"] > EMPTY_ID), lambda e: F.struct(e["u"], e["pos"]))
-    )["pos"]
-
-    def corrupt(e: Column) -> Column:
-        how = unit_draw(parts(e["pos"], "how"))
-        other = F.lit(FIRST_CODE_ID) + draw(parts(e["pos"], "id"), F.lit(vocabulary_size - FIRST_CODE_ID))
-        picked = (e["id"] > EMPTY_ID) & ((e["u"] < share) | (e["pos"] == lowest) & (lowest_u >= share))
-        changed = F.when(how < 0.8, F.lit(MASK_ID)).when(how < 0.9, other.cast("int")).otherwise(e["id"])
-        return F.struct(
-            F.when(picked, changed).otherwise(e["id"]).alias("input"),
-            F.when(picked, e["id"]).alias("label"),
-        )
-
-    lowest_u = F.array_min(F.transform(F.filter(scored, lambda e: e["id"] > EMPTY_ID), lambda e: e["u"]))
-    return F.transform(scored, corrupt)
+
+    @F.arrow_udf("array<struct<input:int,label:int>>")
+    def sample(heads: pa.Array, arrays: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = arrays.flatten().cast(pa.int32())
+        ends = np.cumsum(lengths)
+        at = np.flatnonzero(pc.fill_null(pc.greater(values, EMPTY_ID), False).to_numpy(zero_copy_only=False))
+        row = np.searchsorted(ends, at, side="right")
+        pos = at - (ends - lengths)[row]
+        texts = [head.encode() for head in heads.to_pylist()]
+
+        def bits(entries: np.ndarray, use: bytes, digits: int) -> list[bytes]:
+            pairs = zip(row[entries].tolist(), pos[entries].tolist())
+            return [md5(b"%b:%d:%b" % (texts[r], i, use), usedforsecurity=False).digest()[: digits // 2] for r, i in pairs]
+
+        unit = lambda entries, use: np.frombuffer(b"".join(bits(entries, use, 8)), ">u4") / float(2**32)
+        u = unit(np.arange(len(at)), b"pick")
+        picked = u < share
+        # of a row without a pick, the first of its lowest draws
+        without = np.flatnonzero(np.bincount(row, picked, len(lengths))[row] == 0)
+        order = without[np.lexsort((pos[without], u[without], row[without]))]
+        picked[order[np.unique(row[order], return_index=True)[1]]] = True
+        chosen = np.flatnonzero(picked)
+        how = unit(chosen, b"how")
+        swapped = chosen[(how >= 0.8) & (how < 0.9)]
+        inputs = values.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        inputs[at[chosen[how < 0.8]]] = MASK_ID
+        inputs[at[swapped]] = [FIRST_CODE_ID + int.from_bytes(b) % (vocabulary_size - FIRST_CODE_ID) for b in bits(swapped, b"id", 12)]
+        unlabelled = np.ones(len(values), bool)
+        unlabelled[at[chosen]] = False
+        missing = values.is_null().to_numpy(zero_copy_only=False)
+        fields = [pa.array(inputs, pa.int32(), mask=missing), pa.array(values.fill_null(0).to_numpy(zero_copy_only=False), pa.int32(), mask=unlabelled)]
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        entries = pa.StructArray.from_arrays(fields, ["input", "label"])
+        return pa.ListArray.from_arrays(offsets, entries, mask=arrays.is_null())
+
+    return sample(F.concat_ws(":", F.lit(seed).cast("string"), key.cast("string")), ids.cast("array<int>"))

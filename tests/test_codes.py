@@ -1,4 +1,6 @@
+import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +109,36 @@ def test_masked_sample_picks_at_least_one_and_keeps_reserved(spark):
     assert 0.7 < share < 0.9 and out[999][0]["label"] is None
 
 
+def plain_masked(key, ids, seed, size, share=0.15):
+    """The sample by its definition, from one md5 per draw."""
+    head = f"{seed}:" if key is None else f"{seed}:{key}:"
+    bits = lambda i, use, digits: int(hashlib.md5(f"{head}{i}:{use}".encode()).hexdigest()[:digits], 16)
+    u = {i: bits(i, "pick", 8) / 2**32 for i, x in enumerate(ids) if x is not None and x > 3}
+    picked = {i for i in u if u[i] < share} or ({min(u, key=lambda i: (u[i], i))} if u else set())
+    how = {i: bits(i, "how", 8) / 2**32 for i in picked}
+    other = lambda i: 4 + bits(i, "id", 12) % (size - 4)
+    return [(x if i not in picked or how[i] >= 0.9 else 1 if how[i] < 0.8 else other(i), x if i in picked else None) for i, x in enumerate(ids)]
+
+
+def test_masked_sample_of_null_empty_and_reserved_ids(spark):
+    rows = [(k, [4 + (k * i) % 40 if i % 3 else 3 for i in range(k % 9)]) for k in range(120)]
+    rows += [(500, None), (None, [9, 8, 7]), (None, [None, 5]), (501, []), (502, [1, 2, 3]), (503, [None])]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, k long, ids array<int>").repartition(3)
+    for part in (df, df.where("n > 122")):
+        got = {r["n"]: r["s"] and [tuple(e) for e in r["s"]] for r in part.select("n", A.masked_sample(F.col("k"), F.col("ids"), 7, 44).alias("s")).collect()}
+        assert got == {n: ids and plain_masked(k, ids, 7, 44) for n, (k, ids) in enumerate(rows) if n in got}
+
+
+def test_masked_sample_of_a_long_sequence_takes_a_draw_per_id(spark):
+    ids = [4 + i % 90 for i in range(6000)]
+    rows = spark.createDataFrame([(1, ids)], "k int, ids array<int>")
+    began = time.perf_counter()
+    got = rows.select(A.masked_sample(F.col("k"), F.col("ids"), 7, 94).alias("s")).first()["s"]
+    assert [tuple(e) for e in got] == plain_masked(1, ids, 7, 94)
+    # a draw per pair of positions would be 36 million md5 sums, several times over
+    assert time.perf_counter() - began < 20
+
+
 def test_frozen_one_hot_and_scaling(spark):
     development = spark.createDataFrame([(10.0, 1), (None, 2), (20.0, None)], "age double, payer int")
     later = spark.createDataFrame([(1000.0, 99), (None, None)], "age double, payer int")
