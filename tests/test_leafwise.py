@@ -81,6 +81,68 @@ def test_fit_lowers_the_loss_and_scores_as_it_was_fitted(spark):
     assert all(len(t.leaves) <= 8 and min(s.n for s in t.leaves.values()) >= 5 for t in forest.trees)
 
 
+def random_rows(number, seed):
+    rng = np.random.default_rng(seed)
+    x = np.stack([rng.integers(-4, 5, number), rng.random(number) < 0.2, rng.integers(0, 9, number) / 4, rng.integers(-3, 1, number)], axis=1).astype(float)
+    y = (rng.random(number) < 1 / (1 + np.exp(1 - x[:, 0] - 2 * x[:, 1] * x[:, 2]))).astype(int)
+    return x, y
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_trees_of_a_fit_are_those_grown_from_the_same_slopes(spark, monkeypatch, tasks):
+    monkeypatch.setattr(W, "TASK_ROWS", 700 // tasks)
+    monkeypatch.setattr(W, "JOB_TREES", 2)
+    x, y = random_rows(700, 3)
+    df = table(spark, x, y)
+    settings = W.Settings(9, 12, 0.3, 1.0, 0.8, 0.7, bins=15, rounds=3, patience=3)
+    forest = W.fit(df, "id", "y", "later", "features", settings)
+    assert len(forest.losses) == 3
+    rows = W.binned(df.where("not later"), "features", forest.edges).cache()
+    f = {r["id"]: forest.start for r in rows.select("id").collect()}
+    for number, tree in enumerate(forest.trees):
+        scores = spark.createDataFrame(list(f.items()), "id long, f double")
+        grown = W.grow(W.with_slopes(W.drawn(rows, 0.8, number, "id").join(scores, "id"), "y"), settings, number)
+        assert tree.order == grown.order and len(tree.order) > 2
+        assert {k: (c.place, c.upto, c.left.n) for k, c in tree.cuts.items()} == {k: (c.place, c.upto, c.left.n) for k, c in grown.cuts.items()}
+        values, expected = tree.values(settings), grown.values(settings)
+        assert values == pytest.approx(expected)
+        placed = rows.select("id", W.node_of(grown.cuts).alias("node")).collect()
+        f = {r["id"]: f[r["id"]] + expected[r["node"]] for r in placed}
+    scored = {r["id"]: r["p"] for r in W.score(forest, df.where("not later"), "features").select("id", "p").collect()}
+    assert len(forest.trees) == 3 and scored == pytest.approx({k: 1 / (1 + np.exp(-v)) for k, v in f.items()})
+
+
+def test_draws_are_those_of_spark(spark):
+    values = [0, 1, -1, 5, 2**31 - 1, -(2**31), 123456789]
+    for kind, long in (("int", False), ("long", True)):
+        wide = [*values, 2**62 + 7, -(2**63)] if long else values
+        df = spark.createDataFrame([(v,) for v in wide], f"v {kind}")
+        for number in (0, 3, 1599):
+            got = W.drawn_values(np.array(wide, np.int64), 0.5, number, long)
+            assert {v for v, k in zip(wide, got) if k} == {r["v"] for r in W.drawn(df, 0.5, number, "v").collect()}
+
+
+def test_no_marked_row_stops_the_fit(spark):
+    x, y = random_rows(200, 4)
+    with pytest.raises(ValueError, match="validation"):
+        W.fit(table(spark, x, y, np.zeros(200)), "id", "y", "later", "features", W.Settings(4, 5, rounds=3))
+
+
+def test_query_fits_the_whole_setting(spark, monkeypatch):
+    """Five trees at a step of 0.3 are not the setting of the grid."""
+    from strandline.plans import trees
+
+    x, y = random_rows(3000, 6)
+    design = table(spark, x, y).select(F.col("id").alias("enc_id"), (1996 + F.col("id") % 5).cast("int").alias("year"), "y", "features")
+    monkeypatch.setattr(trees, "full_design", lambda spark, sf_dir: design)
+    fits, fit = [], W.fit
+    monkeypatch.setattr(W, "fit", lambda *a: fits.append((a[-1], fit(*a))) or fits[-1][1])
+    row = trees.leafwise_boosted_trees(spark, "").first()
+    (settings, forest), = fits
+    assert settings == W.GRID[0] == W.Settings(15, 100, 0.05, 5.0, 0.8, 1.0, 127, 1600, 75)
+    assert row["trees"] == len(forest.trees) > 5 and len(forest.losses) == min(1600, len(forest.trees) + 75)
+
+
 def test_sparse_and_dense_vectors_meet_the_same_bins(spark):
     from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
     from pyspark.sql import types as T
